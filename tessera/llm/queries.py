@@ -11,6 +11,21 @@ from tessera.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.wavelet import document_digests, write_shards
+
+    shards = write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return document_digests(shards)
+
+
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.winnowing import edited_neighbours
+
+    return edited_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import mix
 
@@ -39,7 +54,7 @@ FROM o
 
 
 def queries() -> dict[str, Query]:
-    return {"op6_mix_sources": op6_mix_sources}
+    return {"op2_wavelet_shards": op2_wavelet_shards, "op6_mix_sources": op6_mix_sources, "op8_winnowing": op8_winnowing}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,6 +11,12 @@ from tessera.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.partenum import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,7 +60,7 @@ FROM o
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_wavelet_shards": op2_wavelet_shards, "op6_mix_sources": op6_mix_sources, "op8_winnowing": op8_winnowing}
+    return {"op1_ngram_join": op1_ngram_join, "op2_wavelet_shards": op2_wavelet_shards, "op6_mix_sources": op6_mix_sources, "op8_winnowing": op8_winnowing}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -32,6 +32,19 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.permutation import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pii import base_digest, find_pii
+
+    found = find_pii(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", base_digest().alias("base_sha256"), "spans")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import mix
 
@@ -60,7 +73,8 @@ FROM o
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_ngram_join": op1_ngram_join, "op2_wavelet_shards": op2_wavelet_shards, "op6_mix_sources": op6_mix_sources, "op8_winnowing": op8_winnowing}
+    found = (op1_ngram_join, op2_wavelet_shards, op4_permutation_index, op6_mix_sources, op8_winnowing, op9_pii_spans)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

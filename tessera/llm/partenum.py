@@ -6,10 +6,11 @@ partitions, each of these into a few second-level ones, and every choice of
 second-level partitions that could agree gives a signature, a hash of the set's
 elements in them. Two sets that differ in at most k elements share a signature.
 
-A signature's sets are compared with the one of smallest id only. Sets that end in
-different components although they met under one such leader are compared by their
-differences from it: the difference of two sets is that of their differences, and the
-triangle inequality for Jaccard distance leaves out most of these.
+A signature's sets are compared with the one of smallest id, its leader. Sets of one
+leader that are in different components after that are compared with each other. A
+parity sketch of each set (every element flips one bit of 1024) goes before both
+comparisons: two sets differ in at least as many elements as their sketches in bits,
+so what it leaves out is never similar. What it leaves is compared by the whole texts.
 """
 
 from __future__ import annotations
@@ -95,18 +96,18 @@ def scheme(share: Fraction, band: int, low: int, high: int) -> tuple[np.ndarray,
     k = tolerance(share, high, high)
     if k == 0:
         return None
-    if k <= 3:
-        first, parts, keep, spare = 1, k + 3, 3, 0
-    else:
-        parts, keep, spare = 3, 2, 0
-        for _ in range(20):
-            first = k // 2 + 1 + spare
-            weak = first * 3 * (1 - 2 / (3 * first)) ** low
-            need = min(k, math.ceil(weak + 3 * math.sqrt(weak)))
-            if need <= spare:
-                break
-            spare = need
-        first = k // 2 + 1 + spare
+    low = math.ceil(share * low)  # sets of the band below come as well
+    # small sets have few elements in a partition: more choices of larger parts tell them apart
+    spoilt, parts = (k, k + 3) if k <= 3 else (2, 5) if k <= 24 else (1, 3)
+    keep, spare = parts - spoilt, 0
+    for _ in range(20):
+        first = k // (spoilt + 1) + 1 + spare
+        weak = first * math.comb(parts, keep) * (1 - keep / (parts * first)) ** low
+        need = 0 if k <= 3 else min(k, math.ceil(weak + 3 * math.sqrt(weak)))
+        if need <= spare:
+            break
+        spare = need
+    first = k // (spoilt + 1) + 1 + spare
     n = first * parts
     cuts = np.array([(i << 64) // n for i in range(1, n)], np.uint64)
     columns = np.array(list(combinations(range(parts), keep)))
@@ -142,10 +143,23 @@ def signatures(s: np.ndarray, share: Fraction) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """1024 bits, as 16 long integers: each element flips one."""
+    return np.packbits(np.bincount((s & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).view(np.int64)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def possible(a: str, b: str, share: Fraction) -> F.Column:
+    """Whether two sets, by size and sketch (structs with n and sk), can be similar; never false for similar ones."""
+    p, q = share.numerator, share.denominator
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    flips = sum((F.bit_count(F.col(f"{a}.sk")[i].bitwiseXOR(F.col(f"{b}.sk")[i])) for i in range(16)), F.lit(0))
+    return (F.least(n, m) * q >= F.greatest(n, m) * p) & (flips * (p + q) <= (n + m) * (q - p))
+
+
 def ngram_join(docs: DataFrame, share: Fraction = Fraction(85, 100), words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id) for each row of docs.
 
@@ -162,34 +176,40 @@ def ngram_join(docs: DataFrame, share: Fraction = Fraction(85, 100), words: int
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(words)
+
+        def table(keys: list, sigs: list, own: list) -> pd.DataFrame:
+            rows = np.array([len(x) for x in sigs])
+            about = np.full(rows.sum(), None, object)
+            about[np.cumsum(rows) - rows] = pd.Series(own, dtype=object).to_numpy()
+            return pd.DataFrame({"sig": _signed(np.concatenate(sigs)), "k": np.repeat(np.array(keys, np.int64), rows), "own": about})
+
         for b in batches:
-            keys, sigs, other, sizes = [], [], [], []
+            keys, sigs, own = [], [], []
             for k, t in zip(b["k"], b["t"]):
-                s = shingles(t)
+                s, none = shingles(t), pd.isna(k)
                 blob = s.tobytes()
-                sig = signatures(s, share) if pd.notna(k) else np.empty(0, np.uint64)
-                row = len(sig) + 1
-                keys.append(np.full(row, -1 if pd.isna(k) else k, np.int64))
-                sigs += [np.array([xxhash.xxh3_64_intdigest(blob)], np.uint64), sig]
-                other.append(np.zeros(row, np.int64))
-                other[-1][0] = xxhash.xxh3_64_intdigest(blob, 1) >> 1 | 1  # never 0: the set itself
-                sizes.append(np.zeros(row, np.int64))
-                sizes[-1][0] = len(s) if pd.notna(k) else -1 - len(s)
+                keys.append(-1 if none else k)
+                sigs.append(np.concatenate([np.array([xxhash.xxh3_64_intdigest(blob)], np.uint64), signatures(s, share) if not none else np.empty(0, np.uint64)]))
+                own.append(np.concatenate([np.array([xxhash.xxh3_64_intdigest(blob, 1) >> 1, len(s), none], np.int64), sketch(s)]))
                 if len(keys) >= 512:
-                    yield pd.DataFrame({"sig": _signed(np.concatenate(sigs)), "x": np.concatenate(other), "k": np.concatenate(keys), "n": np.concatenate(sizes)})
-                    keys, sigs, other, sizes = [], [], [], []
+                    yield table(keys, sigs, own)
+                    keys, sigs, own = [], [], []
             if keys:
-                yield pd.DataFrame({"sig": _signed(np.concatenate(sigs)), "x": np.concatenate(other), "k": np.concatenate(keys), "n": np.concatenate(sizes)})
-
-    signed = slim.mapInPandas(sign, "sig long, x long, k long, n long")
-    least = F.min(F.when(F.col("n") >= 0, F.col("k"))).over(Window.partitionBy("sig", "x"))
-    met = written(signed.withColumn("m", least).where("x <> 0 or m < k").select("k", "m", (F.col("x") != 0).alias("own"), "n"))
-    rows = met.where("own").select("k", "n", F.when(F.col("n") > 0, F.col("m")).otherwise(F.col("k")).alias("c"))
-    named = rows.where("n >= 0").select("k", "c").distinct()
-
-    pairs = met.where("not own").select("k", "m").distinct()
-    pairs = pairs.join(named.select("k", F.col("c").alias("a")), "k").join(named.select(F.col("k").alias("m"), F.col("c").alias("b")), "m")
-    pairs = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+                yield table(keys, sigs, own)
+
+    signed = slim.mapInPandas(sign, "sig long, k long, own array<long>")
+    least = F.min(F.when(F.col("own").isNull() | (F.col("own")[2] == 0), F.col("k"))).over(Window.partitionBy("sig"))
+    met = written(signed.withColumn("m", least).where("own is not null or m < k"))
+    own = F.col("own")
+    rows = met.where("own is not null").select("sig", "k", own[0].alias("x"), own[1].alias("n"), (own[2] == 1).alias("none"), F.slice("own", 4, 16).alias("sk"))
+    # one document stands for all with the same set
+    same = rows.where("not none and n > 0").groupBy("sig", "x", "n").agg(F.min("k").alias("c"), F.first("sk").alias("sk"))
+    classes = written(rows.where("not none").select("k", "sig", "x", "n").join(same, ["sig", "x", "n"], "left").select("k", "n", F.coalesce("c", "k").alias("c"), "sk"))
+    named = classes.where("sk is not null").select("k", "c", F.struct("n", "sk").alias("s")).distinct()
+
+    pairs = met.where("own is null").select("k", "m").distinct()
+    pairs = pairs.join(named.select("k", F.col("c").alias("a"), F.col("s").alias("x")), "k").join(named.select(F.col("k").alias("m"), F.col("c").alias("b"), F.col("s").alias("y")), "m")
+    pairs = written(pairs.where("a <> b").select("a", "b", "x", "y", possible("x", "y", share).alias("maybe")).dropDuplicates(["a", "b"]))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, last, leader = Shingler(words), None, None
@@ -199,40 +219,36 @@ def ngram_join(docs: DataFrame, share: Fraction = Fraction(85, 100), words: int
                 if last != (x.b, x.tb):
                     last, leader = (x.b, x.tb), shingles(x.tb)
                 s = shingles(x.ta)
-                apart = np.setxor1d(s, leader, assume_unique=True)
-                both = (len(s) + len(leader) - len(apart)) // 2
-                found.append((x.a, x.b, len(s), len(leader), both, _signed(apart)))
-            yield pd.DataFrame(found, columns=["a", "b", "na", "nb", "both", "apart"])
+                both = len(np.intersect1d(s, leader, assume_unique=True))
+                if both * q >= p * (len(s) + len(leader) - both):
+                    found.append((x.a, x.b))
+            yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     texts = slim.where("k is not null")
-    joined = pairs.join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
-    stars = written(joined.mapInPandas(compare, "a long, b long, na long, nb long, both long, apart array<long>"))
-    near = F.col("both") * q >= p * (F.col("na") + F.col("nb") - F.col("both"))
 
+    def links(which: DataFrame) -> DataFrame:
+        """The pairs (a, b) of similar documents, by their whole texts."""
+        both = which.join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
+        return both.mapInPandas(compare, "a long, b long")
+
+    # an id that has several texts is one document
     twice = named.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("a", "b")
-    first = written(connected_components(stars.where(near).select("a", "b").union(twice)))
-
-    open_ = stars.where(~near).select("b").distinct()
-    distance = (F.lit(1.0) - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d")
-    member = stars.join(open_, "b").join(first.withColumnRenamed("id", "a"), "a", "left").select("b", "a", F.col("na").alias("n"), distance, "apart", F.coalesce("component", "a").alias("c"))
-    one, two = member.alias("x"), member.alias("y")
-    n = F.col("x.n") + F.col("y.n")
-    differ = F.size("x.apart") + F.size("y.apart") - 2 * F.size(F.array_intersect("x.apart", "y.apart"))
-    close = (
-        (F.col("x.b") == F.col("y.b"))
-        & (F.col("x.c") < F.col("y.c"))
-        & (F.abs(F.col("x.d") - F.col("y.d")) <= float(1 - share) + 1e-9)
-        & (F.least("x.n", "y.n") * q >= p * F.greatest("x.n", "y.n"))
-        & (q * (n - differ) >= p * (n + differ))
-    )
-    more = one.join(two, close).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+    first = written(connected_components(links(pairs.where("maybe").select("a", "b")).union(twice)))
+
+    def part(df: DataFrame, of: str, name: str) -> DataFrame:
+        """df with the component of a column."""
+        return df.join(first.select(F.col("id").alias(of), F.col("component").alias("_c")), of, "left").withColumn(name, F.coalesce("_c", of)).drop("_c")
+
+    inside = written(part(part(pairs.select("a", "b", "x"), "a", "ca"), "b", "cb"))
+    open_ = inside.where("ca <> cb").select("b").distinct()
+    member = inside.join(open_, "b").select("b", "a", F.col("ca").alias("c"), "x")
+    one, two = member.withColumnRenamed("x", "s1").alias("u"), member.withColumnRenamed("x", "s2").alias("v")
+    meet = (F.col("u.b") == F.col("v.b")) & (F.col("u.c") < F.col("v.c")) & possible("s1", "s2", share)
+    more = one.join(two, meet).select(F.col("u.a").alias("a"), F.col("v.a").alias("b")).distinct()
+    more = part(part(links(more), "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     second = connected_components(more)
     final = first.join(second.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select(F.col("id").alias("c"), F.coalesce("to", "component").alias("component_id"))
     loose = second.join(first, second["id"] == first["component"], "left_anti").select(F.col("id").alias("c"), F.col("component").alias("component_id"))
-    out = rows.join(final.union(loose), "c", "left")
-    null = F.col("n") < 0
-    return out.select(
-        F.when(~null, F.col("k")).alias(id_col),
-        F.when(null, -1 - F.col("n")).otherwise(F.col("n")).alias("n_shingles"),
-        F.when(~null, F.coalesce("component_id", "c")).alias("component_id"),
-    )
+    known = classes.join(final.union(loose), "c", "left").select(F.col("k").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "c").alias("component_id"))
+    null = F.lit(None).cast("long")
+    return known.union(rows.where("none").select(null.alias(id_col), F.col("n").alias("n_shingles"), null.alias("component_id")))

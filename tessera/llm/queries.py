@@ -38,6 +38,14 @@ def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import is_held_out, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model).select("doc_id", is_held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.pii import base_digest, find_pii
 
@@ -73,7 +81,7 @@ FROM o
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_ngram_join, op2_wavelet_shards, op4_permutation_index, op6_mix_sources, op8_winnowing, op9_pii_spans)
+    found = (op1_ngram_join, op2_wavelet_shards, op4_permutation_index, op6_mix_sources, op7_toxicity, op8_winnowing, op9_pii_spans)
     return {f.__name__: f for f in found}
 
 

@@ -59,6 +59,12 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pagetext import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 #: The same rule with a sort: documents in hash order, until the middle of one passes the rest of the target.
 OP6 = r"""
 WITH d AS (
@@ -81,7 +87,7 @@ FROM o
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_ngram_join, op2_wavelet_shards, op4_permutation_index, op6_mix_sources, op7_toxicity, op8_winnowing, op9_pii_spans)
+    found = (op1_ngram_join, op2_wavelet_shards, op4_permutation_index, op6_mix_sources, op7_toxicity, op8_winnowing, op9_pii_spans, op10_page_text)
     return {f.__name__: f for f in found}
 
 

@@ -38,6 +38,15 @@ def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.maxplus import digests, encode
+
+    docs, model = table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    return digests(encode(docs, model), docs, model)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.toxicity import is_held_out, score, train
 
@@ -87,7 +96,7 @@ FROM o
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_ngram_join, op2_wavelet_shards, op4_permutation_index, op6_mix_sources, op7_toxicity, op8_winnowing, op9_pii_spans, op10_page_text)
+    found = (op1_ngram_join, op2_wavelet_shards, op4_permutation_index, op5_sentencepiece, op6_mix_sources, op7_toxicity, op8_winnowing, op9_pii_spans, op10_page_text)
     return {f.__name__: f for f in found}
 
 

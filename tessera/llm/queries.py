@@ -32,6 +32,12 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op3_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pseudolm import pseudo_likelihood
+
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.permutation import nearest_neighbours
 
@@ -96,7 +102,7 @@ FROM o
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_ngram_join, op2_wavelet_shards, op4_permutation_index, op5_sentencepiece, op6_mix_sources, op7_toxicity, op8_winnowing, op9_pii_spans, op10_page_text)
+    found = (op1_ngram_join, op2_wavelet_shards, op3_pseudo_likelihood, op4_permutation_index, op5_sentencepiece, op6_mix_sources, op7_toxicity, op8_winnowing, op9_pii_spans, op10_page_text)
     return {f.__name__: f for f in found}
 
 

@@ -50,19 +50,11 @@ def targets(sizes: list[tuple[object, int, int]], repeat: int) -> dict[object, f
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeat: int = 3, seed: str = "mix:", id_col: str = "doc_id") -> DataFrame:
-    """(id_col, source, size, source_size, target, copies, taken) for each row of docs (id_col, source, text).
+def thresholds(slim: DataFrame, weights: tuple[int, ...], repeat: int) -> DataFrame:
+    """A row for each source of slim (_source, _size, _h): its size, target, copies for all, and the hash below which one more is taken.
 
-    Sources in code-point order, null last, get the weights in turn and share the
-    total size; ``targets`` caps them. A source's documents all get
-    ``floor(target / size)`` copies; one more goes to the documents whose hash comes
-    before the point where the rest of the target is used up (a document counts if
-    its middle comes before that point, so the error is at most half of one
-    document, or of the rows that share one id). Null text has size 0; an empty
-    table gives no rows; a source of size 0 has target 0 and takes nothing; other
-    columns are ignored. Only one row for each source reaches the driver.
+    Only one row for each source reaches the driver, and a source's boundary bucket.
     """
-    slim = written(docs.select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), word_count().alias("_size"), id_hash(id_col, seed).alias("_h")))
     found = slim.groupBy("_source").agg(F.sum("_size")).collect()
     found = sorted(((r[0], int(r[1])) for r in found), key=lambda x: (x[0] is None, x[0] or ""))
     sized = [(s, n, weights[k % len(weights)]) for k, (s, n) in enumerate(found)]
@@ -96,20 +88,38 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeat: int = 3,
             else:
                 x["open"] = False
     rows = [(s, x["n"], x["target"], x["copies"], x["low"]) for s, x in state.items()]
-    schema = T.StructType([T.StructField("_s", slim.schema["_source"].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("_base", T.LongType()), T.StructField("_low", T.LongType())])
-    plan = slim.sparkSession.createDataFrame(rows, schema)
-    copies = (F.col("_base") + (F.col("_h") < F.col("_low")).cast("long")).alias("copies")
-    both = slim.join(plan, F.col("_source").eqNullSafe(F.col("_s")))
-    out = both.select(F.col("_id").alias(id_col), F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", copies)
-    return out.withColumn("taken", F.col("size") * F.col("copies"))
+    schema = T.StructType([T.StructField("_s", slim.schema["_source"].dataType), T.StructField("_total", T.LongType()), T.StructField("_target", T.DoubleType()), T.StructField("_base", T.LongType()), T.StructField("_low", T.LongType())])
+    return slim.sparkSession.createDataFrame(rows, schema)
+
+
+def copies() -> F.Column:
+    return (F.col("_base") + (F.col("_h") < F.col("_low")).cast("long")).alias("copies")
+
 
+def slimmed(docs: DataFrame, seed: str, id_col: str) -> DataFrame:
+    return written(docs.select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), word_count().alias("_size"), id_hash(id_col, seed).alias("_h")))
 
-def apply_mix(docs: DataFrame, **options: object) -> DataFrame:
-    """docs with every row as often as ``mix`` takes it (0 to ``repeat`` times); the columns stay.
 
-    Rows are matched by their id's hash, so rows that share an id share a fate.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeat: int = 3, seed: str = "mix:", id_col: str = "doc_id") -> DataFrame:
+    """(id_col, source, size, source_size, target, copies, taken) for each row of docs (id_col, source, text).
+
+    Sources in code-point order, null last, get the weights in turn and share the
+    total size; ``targets`` caps them. A source's documents all get
+    ``floor(target / size)`` copies; one more goes to the documents whose hash comes
+    before the point where the rest of the target is used up (a document counts if
+    its middle comes before that point, so the error is at most half of one
+    document, or of the rows that share one id). Null text has size 0; an empty
+    table gives no rows; a source of size 0 has target 0 and takes nothing; other
+    columns are ignored.
     """
-    key = options.get("id_col", "doc_id")
-    taken = mix(docs, **options).where("copies > 0").select(F.col(key).alias("_k"), F.col("source").alias("_s"), "copies").distinct()
-    both = docs.join(taken, F.col(key).eqNullSafe(F.col("_k")) & F.col("source").eqNullSafe(F.col("_s")))
-    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_n")).drop("_n")
+    slim = slimmed(docs, seed, id_col)
+    both = slim.join(thresholds(slim, weights, repeat), F.col("_source").eqNullSafe(F.col("_s")))
+    out = both.select(F.col("_id").alias(id_col), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), copies())
+    return out.withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeat: int = 3, seed: str = "mix:", id_col: str = "doc_id") -> DataFrame:
+    """docs with every row as often as ``mix`` takes it (0 to ``repeat`` times); the columns stay, and no text is moved."""
+    plan = thresholds(slimmed(docs, seed, id_col), weights, repeat)
+    both = docs.withColumn("_h", id_hash(id_col, seed)).join(plan, docs["source"].eqNullSafe(plan["_s"])).withColumn("_copies", copies())
+    return both.where("_copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -177,50 +177,65 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1], x[2])))
 
 
+def scanned(text: str) -> list[list[int]]:
+    """Base and wide spans of a text, each as kind, start, end, whether it is a base one, votes and features."""
+    if not text:
+        return []
+    base = base_spans(text)
+    found = base + wide_spans(text, base)
+    return [[KINDS.index(kind), s, e, int(i < len(base)), *votes(text, kind, s, e, i < len(base)), *features(text, kind, s, e)] for i, (kind, s, e) in enumerate(found)]
+
+
+def fit(patterns: DataFrame) -> np.ndarray | None:
+    """The classifier's weights from a column ``x`` of scanned spans; None if there are none.
+
+    Only counts by vote and feature pattern, a bounded number, reach the driver.
+    """
+    tally = patterns.groupBy(F.slice("x", 5, 100).alias("p")).count().orderBy("p").collect()
+    if not tally:
+        return None
+    rows, counts = np.array([r[0] for r in tally]), np.array([r[1] for r in tally], float)
+    prob, _, _ = fit_reliability(rows[:, :6], counts)
+    return fit_classifier(rows[:, 6:], prob, counts)
+
+
+def decided(found: list, theta: np.ndarray | None, threshold: float) -> tuple[list, list]:
+    """(base spans, added spans) among scanned ones."""
+    spans = [(KINDS[x[0]], int(x[1]), int(x[2])) for x in found]
+    base = [s for s, x in zip(spans, found) if x[3]]
+    extra = [(s, x) for s, x in zip(spans, found) if not x[3]]
+    if not extra or theta is None:
+        return base, []
+    keep = 1 / (1 + np.exp(-encode(np.array([list(x[10:]) for _, x in extra])) @ theta)) >= threshold
+    return base, [s for (s, _), good in zip(extra, keep) if good]
+
+
 def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_email, n_ip, n_card, n_phone, base, spans, n_added) for each row.
 
     The counts and ``base`` are of the strict spans; ``spans`` has these and the added
     ones, as kind:start:end in code points, end exclusive. Null text is empty; an empty
     table gives no rows; rows that repeat give the same result each. The text is read
-    once. Only counts by vote and feature pattern (a bounded number) reach the driver.
+    once, and nothing but spans is kept of it.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for k, t in zip(b["k"], b["t"]):
-                base = base_spans(t) if t else []
-                wide = wide_spans(t, base) if t else []
-                found = [[KINDS.index(kind), s, e, int(i < len(base)), *votes(t, kind, s, e, i < len(base)), *features(t, kind, s, e)] for i, (kind, s, e) in enumerate(base + wide)]
-                out.append((k, found))
-            yield pd.DataFrame(out, columns=["k", "found"]).astype({"k": b["k"].dtype})
+            yield pd.DataFrame({"k": b["k"], "found": pd.Series([scanned(t) for t in b["t"]], index=b.index, dtype=object)})
 
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     seen = written(slim.mapInPandas(scan, f"k {kind}, found array<array<int>>"))
-    pattern = F.slice("x", 5, 100)
-    tally = seen.select(F.explode("found").alias("x")).groupBy(pattern.alias("p")).count().orderBy("p").collect()
-    theta = None
-    if tally:
-        rows, counts = np.array([r[0] for r in tally]), np.array([r[1] for r in tally], float)
-        vote = rows[:, :6]
-        prob, _, _ = fit_reliability(vote, counts)
-        theta = fit_classifier(rows[:, 6:], prob, counts)
+    theta = fit(seen.select(F.explode("found").alias("x")))
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for k, found in zip(b["k"], b["found"]):
-                spans = [(KINDS[x[0]], int(x[1]), int(x[2])) for x in found]
-                base = [s for s, x in zip(spans, found) if x[3]]
-                extra = [(s, x) for s, x in zip(spans, found) if not x[3]]
-                if extra:
-                    keep = 1 / (1 + np.exp(-encode(np.array([list(x[10:]) for _, x in extra])) @ theta)) >= threshold
-                    extra = [s for (s, _), good in zip(extra, keep) if good]
-                n = [sum(s[0] == kind for s in base) for kind in KINDS]
-                out.append((k, *n, joined(base), joined(base + extra), len(extra)))
-            yield pd.DataFrame(out, columns=["k", *[f"n_{x}" for x in KINDS], "base", "spans", "n_added"]).astype({"k": b["k"].dtype})
+            for found in b["found"]:
+                base, extra = decided(found, theta, threshold)
+                out.append((*(sum(s[0] == kind for s in base) for kind in KINDS), joined(base), joined(base + extra), len(extra)))
+            done = pd.DataFrame(out, columns=[*[f"n_{x}" for x in KINDS], "base", "spans", "n_added"])
+            yield done.assign(k=b["k"].array)
 
     counts = ", ".join(f"n_{x} long" for x in KINDS)
     out = seen.mapInPandas(decide, f"k {kind}, {counts}, base string, spans string, n_added long")
@@ -231,32 +246,40 @@ def base_digest(base: str = "base") -> F.Column:
     return F.sha2(base, 256)
 
 
-def masked(text: str, spans: str) -> str:
+def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
     """The text with each span replaced by its kind in angle brackets; overlapping spans become one."""
     cut: list[list] = []
-    for x in sorted(((int(s), int(e), k) for k, s, e in (y.split(":") for y in spans.split(",") if y))):
-        if cut and x[0] < cut[-1][1]:
-            cut[-1][1] = max(cut[-1][1], x[1])
+    for k, s, e in sorted(spans, key=lambda x: (x[1], x[2], x[0])):
+        if cut and s < cut[-1][2]:
+            cut[-1][2] = max(cut[-1][2], e)
         else:
-            cut.append(list(x))
+            cut.append([k, s, e])
     out, at = [], 0
-    for s, e, k in cut:
+    for k, s, e in cut:
         out += [text[at:s], f"<{k}>"]
         at = e
     return "".join([*out, text[at:]])
 
 
-def mask_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with their personal data masked; every row and column stays.
+def mask_pii(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """docs with their personal data masked; every row and column stays, a null text too.
 
-    Spans belong to a text, so rows are matched by id and the text's hash.
+    Reads the text twice, to learn and to mask, and moves none of it.
     """
-    key = F.xxhash64(text_col)
-    keyed = docs.select(F.struct(F.col(id_col), key.alias("h")).alias("key"), F.col(text_col).alias("t"))
-    flat = keyed.select(F.to_json("key").alias("k"), "t")
-    spans = find_pii(flat, id_col="k", text_col="t").where("spans <> ''").groupBy("k").agg(F.first("spans").alias("_spans"))
-    mask = F.pandas_udf(lambda t, s: pd.Series([masked(x, y) for x, y in zip(t, s)], dtype=object), "string")
-    both = docs.withColumn("_k", F.to_json(F.struct(F.col(id_col), key.alias("h")))).join(spans.withColumnRenamed("k", "_k"), "_k", "left")
-    plain = both.where("_spans is null").select(*docs.columns)
-    hit = both.where("_spans is not null").withColumn(text_col, mask(F.col(text_col), F.col("_spans")))
-    return plain.unionByName(hit.select(*docs.columns))
+
+    def patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"x": pd.Series([x for t in b["t"] for x in scanned(t)], dtype=object)})
+
+    theta = fit(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInPandas(patterns, "x array<int>"))
+
+    def mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            text = []
+            for t in b[text_col]:
+                found = scanned(t)
+                text.append(masked(t, [s for some in decided(found, theta, threshold) for s in some]) if found else t)
+            b[text_col] = pd.Series(text, index=b.index, dtype=object)
+            yield b
+
+    return docs.mapInPandas(mask, docs.schema)

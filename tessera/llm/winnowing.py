@@ -112,7 +112,7 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     heads = dict(ids.groupBy(part_of("k", cuts).alias("p")).agg(F.max("k")).collect())
     order = sorted(heads, reverse=True)
     follows = [(heads[p], order[n - 1]) for n, p in enumerate(order)]  # the head of a part closes the part above it
-    halo = F.create_map(*[F.lit(x) for pair in follows for x in pair]) if follows else F.create_map().cast("map<bigint,int>")
+    halo = F.create_map(*[x for head, above in follows for x in (F.lit(head).cast("long"), F.lit(above))]) if follows else F.create_map().cast("map<bigint,int>")
     placed = slim.withColumn("p", part_of("k", cuts))
     copies = F.array_compact(F.array(F.struct("p", F.lit(False).alias("halo")), F.when(halo[F.col("k")].isNotNull(), F.struct(halo[F.col("k")].alias("p"), F.lit(True).alias("halo")))))
     rows = placed.withColumn("x", F.explode(copies)).select("x.p", "x.halo", "k", "t", "none")

@@ -53,4 +53,4 @@ def test_table(spark):
 
 
 def test_masked_overlaps():
-    assert masked("abcdef", "card:1:3,phone:2:5") == "a<card>f"
+    assert masked("abcdef", [("phone", 2, 5), ("card", 1, 3)]) == "a<card>f"

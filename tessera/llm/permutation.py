@@ -147,7 +147,9 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, id_col:
 
     shape = "task int, at int, ids binary, x binary, near binary"
     index = written(rows.mapInPandas(pack(segment), shape)).select(F.struct("task", "at").alias("seg"), F.struct("ids", "x", "near").alias("segment"))
-    asked = written(rows.where(F.col("id") % every == 0).mapInPandas(pack(QUERIES), shape)).select(F.struct("task", "at").alias("blk"), F.struct("ids", "x", "near").alias("block"))
+    queries = rows.where(F.col("id") % every == 0)
+    queries = queries.repartition(max(1, -(-queries.count() // QUERIES)))
+    asked = written(queries.mapInPandas(pack(QUERIES), shape)).select(F.struct("task", "at").alias("blk"), F.struct("ids", "x", "near").alias("block"))
     # the numbers of the blocks and segments are small lists; each side is repeated for the other's
     numbers = lambda df, c: [tuple(r[0]) for r in df.select(c).collect()]
     segs, blks = numbers(index, "seg"), numbers(asked, "blk")

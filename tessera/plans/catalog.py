@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import platform
+from tessera.plans import documents, platform
 
-MODULES = (platform,)
+MODULES = (platform, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -55,6 +55,23 @@ FIXTURES = {
                concat(l_returnflag, CASE WHEN l_quantity > 25 THEN '~|' ELSE ' ok' END, l_orderkey % 100) AS text, l_orderkey * 100 + {ROW} AS pos FROM {{lineitem}}""",
 }
 
+_LINES = FIXTURES["line_rows"]
+FIXTURES["cells"] = f"""
+        SELECT sheet, row, 1 AS col, CAST(line AS STRING) AS value, row * 10 + 1 AS pos FROM ({_LINES}) a
+        UNION ALL SELECT sheet, row, 2, concat('Part  ', part, ' .'), row * 10 + 2 FROM ({_LINES}) b
+        UNION ALL SELECT sheet, row, 3, CASE WHEN row % 3 = 0 THEN '' ELSE flag END, row * 10 + 3 FROM ({_LINES}) c
+        UNION ALL SELECT sheet, row, 4, concat('x ', CAST(quantity AS BIGINT), ' шт'), row * 10 + 4 FROM ({_LINES}) d
+        UNION ALL SELECT sheet, row, 5, concat(CAST(floor(price) AS BIGINT), ',50'), row * 10 + 5 FROM ({_LINES}) e
+        UNION ALL SELECT sheet, row, 1, concat('0', line), row * 10 + 6 FROM ({_LINES}) g WHERE row % 4 = 0
+        UNION ALL SELECT o_orderkey, 100, 1, 'Всего  по смете', 1001 FROM {{orders}} WHERE o_orderkey % 5 < 2
+        UNION ALL SELECT o_orderkey, 100, 3, concat('-', o_orderkey % 900), 1003 FROM {{orders}} WHERE o_orderkey % 5 < 2
+        UNION ALL SELECT o_orderkey, 100, 4, concat(o_orderkey % 500, '.25'), 1004 FROM {{orders}} WHERE o_orderkey % 5 < 2
+        UNION ALL SELECT o_orderkey, 101, 1, 'Локальный сметный расчет', 1011 FROM {{orders}} WHERE o_orderkey % 4 = 0
+        UNION ALL SELECT o_orderkey, 102, k, v, 1020 + k FROM {{orders}} CROSS JOIN (VALUES (1, 'Обоснование'), (2, 'Наименование работ'), (3, 'Единица'), (4, 'Количество')) t(k, v) WHERE o_orderkey % 3 = 0
+        UNION ALL SELECT o_orderkey, 103, 1, 'Ведомость ресурсов', 1031 FROM {{orders}} WHERE o_orderkey % 6 = 1
+        UNION ALL SELECT o_orderkey, 104 + k, 1, v, 1041 + k FROM {{orders}} CROSS JOIN (VALUES (1, 'Трудозатраты'), (2, 'Материалы')) t(k, v) WHERE o_orderkey % 6 < 3
+        UNION ALL SELECT o_orderkey, 99, 1, 'Основание: проект', 991 FROM {{orders}} WHERE o_orderkey % 7 = 0"""
+
 _TABLE = re.compile(r"\{(\w+)\}")
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import documents, platform
+from tessera.plans import documents, pages, platform
 
-MODULES = (platform, documents)
+MODULES = (platform, documents, pages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import documents, pages, platform
+from tessera.plans import documents, pages, platform, streams
 
-MODULES = (platform, documents, pages)
+MODULES = (platform, documents, pages, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -29,14 +29,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, keep_order: bool = False) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and stored as Parquet in the shared folder.
 
-    Cuts the lineage in a way that survives a lost executor.
+    Cuts the lineage in a way that survives a lost executor. What was shuffled for it
+    is needed no more; the driver's collector is run so that executors drop those files
+    before the next step writes its own.
     """
     spark = df.sparkSession
     path = scratch_dir(spark)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

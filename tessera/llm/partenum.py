@@ -8,7 +8,7 @@ elements in them. Two sets that differ in at most k elements share a signature.
 
 A signature's sets are compared with the one of smallest id, its leader. Sets of one
 leader that are in different components after that are compared with each other. A
-parity sketch of each set (every element flips one bit of 1024) goes before both
+parity sketch of each set (every element flips one bit of 1024, or of 16,384) goes before both
 comparisons: two sets differ in at least as many elements as their sketches in bits,
 so what it leaves out is never similar. What it leaves is compared by the whole texts.
 """
@@ -29,8 +29,17 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import connected_components, written
 
-#: Largest over smallest size of a band.
-BAND = 1.6
+
+
+def shape(share: Fraction) -> tuple[float, int, int, float]:
+    """(largest over smallest size of a band, parts of large sets' partitions, parts left out, size that spare partitions are reckoned for).
+
+    The size counts from 0, the smallest of the band, to 1, the largest. At a lower
+    similarity sets differ more and partitions hold less, so that choices of two parts
+    of three would give too many signatures; then one part of two is chosen.
+    """
+    return (1.6, 3, 1, 0.0) if share >= Fraction(85, 100) else (1.4, 2, 1, 0.5)
+
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 
@@ -79,7 +88,7 @@ def tolerance(share: Fraction, a: int, b: int) -> int:
 def bands(share: Fraction, upto: int) -> list[tuple[int, int]]:
     out, low = [], 1
     while low <= upto:
-        high = max(low, math.floor(low * BAND) - 1)
+        high = max(low, math.floor(low * shape(share)[0]) - 1)
         out.append((low, high))
         low = high + 1
     return out
@@ -96,13 +105,13 @@ def scheme(share: Fraction, band: int, low: int, high: int) -> tuple[np.ndarray,
     k = tolerance(share, high, high)
     if k == 0:
         return None
-    low = math.ceil(share * low)  # sets of the band below come as well
+    _, large, left_out, middle = shape(share)
     # small sets have few elements in a partition: more choices of larger parts tell them apart
-    spoilt, parts = (k, k + 3) if k <= 3 else (2, 5) if k <= 24 else (1, 3)
+    spoilt, parts = (k, k + 3) if k <= 3 else (2, 5) if k <= 12 else (1, 3) if k <= 48 else (left_out, large)
     keep, spare = parts - spoilt, 0
     for _ in range(20):
         first = k // (spoilt + 1) + 1 + spare
-        weak = first * math.comb(parts, keep) * (1 - keep / (parts * first)) ** low
+        weak = first * math.comb(parts, keep) * (1 - keep / (parts * first)) ** (low * (high / low) ** middle)
         need = 0 if k <= 3 else min(k, math.ceil(weak + 3 * math.sqrt(weak)))
         if need <= spare:
             break
@@ -143,9 +152,13 @@ def signatures(s: np.ndarray, share: Fraction) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """1024 bits, as 16 long integers: each element flips one."""
-    return np.packbits(np.bincount((s & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).view(np.int64)
+#: Sets of more elements have the wide sketch as well.
+WIDE_FROM = 1000
+
+
+def sketch(s: np.ndarray, bits: int = 1024) -> np.ndarray:
+    """So many bits, as long integers: each element flips one."""
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.int64)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -153,11 +166,14 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def possible(a: str, b: str, share: Fraction) -> F.Column:
-    """Whether two sets, by size and sketch (structs with n and sk), can be similar; never false for similar ones."""
+    """Whether two sets, by size and sketch (structs with n, sk and wide), can be similar; never false for similar ones."""
     p, q = share.numerator, share.denominator
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     flips = sum((F.bit_count(F.col(f"{a}.sk")[i].bitwiseXOR(F.col(f"{b}.sk")[i])) for i in range(16)), F.lit(0))
-    return (F.least(n, m) * q >= F.greatest(n, m) * p) & (flips * (p + q) <= (n + m) * (q - p))
+    x, y = F.col(f"{a}.wide"), F.col(f"{b}.wide")
+    more = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda u, v: u + v)
+    near = lambda bits: bits * (p + q) <= (n + m) * (q - p)
+    return (F.least(n, m) * q >= F.greatest(n, m) * p) & near(flips) & ((F.size(x) == 0) | (F.size(y) == 0) | near(more))
 
 
 def ngram_join(docs: DataFrame, share: Fraction = Fraction(85, 100), words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,7 +206,7 @@ def ngram_join(docs: DataFrame, share: Fraction = Fraction(85, 100), words: int
                 blob = s.tobytes()
                 keys.append(-1 if none else k)
                 sigs.append(np.concatenate([np.array([xxhash.xxh3_64_intdigest(blob)], np.uint64), signatures(s, share) if not none else np.empty(0, np.uint64)]))
-                own.append(np.concatenate([np.array([xxhash.xxh3_64_intdigest(blob, 1) >> 1, len(s), none], np.int64), sketch(s)]))
+                own.append(np.concatenate([np.array([xxhash.xxh3_64_intdigest(blob, 1) >> 1, len(s), none], np.int64), sketch(s), sketch(s, 16384) if len(s) >= WIDE_FROM else np.empty(0, np.int64)]))
                 if len(keys) >= 512:
                     yield table(keys, sigs, own)
                     keys, sigs, own = [], [], []
@@ -201,11 +217,11 @@ def ngram_join(docs: DataFrame, share: Fraction = Fraction(85, 100), words: int
     least = F.min(F.when(F.col("own").isNull() | (F.col("own")[2] == 0), F.col("k"))).over(Window.partitionBy("sig"))
     met = written(signed.withColumn("m", least).where("own is not null or m < k"))
     own = F.col("own")
-    rows = met.where("own is not null").select("sig", "k", own[0].alias("x"), own[1].alias("n"), (own[2] == 1).alias("none"), F.slice("own", 4, 16).alias("sk"))
+    rows = met.where("own is not null").select("sig", "k", own[0].alias("x"), own[1].alias("n"), (own[2] == 1).alias("none"), F.slice("own", 4, 16).alias("sk"), F.slice("own", 20, 256).alias("wide"))
     # one document stands for all with the same set
-    same = rows.where("not none and n > 0").groupBy("sig", "x", "n").agg(F.min("k").alias("c"), F.first("sk").alias("sk"))
-    classes = written(rows.where("not none").select("k", "sig", "x", "n").join(same, ["sig", "x", "n"], "left").select("k", "n", F.coalesce("c", "k").alias("c"), "sk"))
-    named = classes.where("sk is not null").select("k", "c", F.struct("n", "sk").alias("s")).distinct()
+    same = rows.where("not none and n > 0").groupBy("sig", "x", "n").agg(F.min("k").alias("c"), F.first("sk").alias("sk"), F.first("wide").alias("wide"))
+    classes = written(rows.where("not none").select("k", "sig", "x", "n").join(same, ["sig", "x", "n"], "left").select("k", "n", F.coalesce("c", "k").alias("c"), "sk", "wide"))
+    named = classes.where("sk is not null").select("k", "c", F.struct("n", "sk", "wide").alias("s")).distinct()
 
     pairs = met.where("own is null").select("k", "m").distinct()
     pairs = pairs.join(named.select("k", F.col("c").alias("a"), F.col("s").alias("x")), "k").join(named.select(F.col("k").alias("m"), F.col("c").alias("b"), F.col("s").alias("y")), "m")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table, written
-from tessera.llm.maxplus import encode, whole
+from tessera.llm.maxplus import encode
 from tessera.llm.mixing import apply_mix
 from tessera.llm.partenum import ngram_join
 from tessera.llm.pii import mask_pii
@@ -53,7 +53,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_ids, ids): the ids of each text, little-endian 32-bit integers in binary."""
     import public_tokenizers
 
-    found = whole(encode(docs, public_tokenizers.path("piece_bpe_32k.model")))
+    found = encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), "ids")
 
 

@@ -26,9 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import written
+
 SPACE = "▁"
 #: Longest chunk, in code points of the prepared text.
-CHUNK = 1 << 15
+CHUNK = 1 << 16
 NONE = -1
 
 State = tuple[int, int]  # (end of the last piece, piece); the piece is START where nothing before matters
@@ -74,7 +76,7 @@ class Lookup:
 class Vocabulary:
     """A SentencePiece byte-pair model with byte fallback, read from its file."""
 
-    REMEMBERED = 1_000_000
+    REMEMBERED = 500_000
     CACHE = 1 << 21
 
     def __init__(self, path: str) -> None:
@@ -98,7 +100,8 @@ class Vocabulary:
         inside = set("".join(long_))
         #: Letters that stand in no piece of several letters.
         self.lone = frozenset(c for c in [*map(chr, range(128)), *(x for x in self.pieces if len(x) == 1)] if c not in inside and c != SPACE)
-        lone = re.escape("".join(sorted(self.lone)))
+        # of these the cut takes the first 256 letters only: a larger class is matched several times slower
+        lone = re.escape("".join(sorted(c for c in self.lone if c < "\u0100")))
         #: Stretches that no piece reaches out of.
         self.stretch = re.compile(f"[{lone}]|{SPACE}*[^{SPACE}{lone}]+|{SPACE}+") if lone else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -137,6 +140,7 @@ class Vocabulary:
         self.cache_keys = np.full(self.CACHE, -1, np.int64)
         self.cache_ok = np.zeros(self.CACHE, bool)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.bytes_of = [SPACE.join(x.split(SPACE)).replace(SPACE, " ").encode() for x in self.text]
         for b, i in self.byte.items():
             self.bytes_of[i] = bytes([b])
@@ -195,8 +199,8 @@ class Vocabulary:
             nx, ny = self.length[x], self.length[y]
             ok = np.zeros(len(new), bool)
             for w in np.unique(nx + ny):
-                for i in range(0, len(sel := np.flatnonzero(nx + ny == w)), 100_000):
-                    part = sel[i : i + 100_000]
+                for i in range(0, len(sel := np.flatnonzero(nx + ny == w)), 30_000):
+                    part = sel[i : i + 30_000]
                     rows = np.full((len(part), w), -1, np.int64)
                     cols = np.arange(w)
                     left = cols < nx[part][:, None]
@@ -229,22 +233,28 @@ class Vocabulary:
 
     # -- stretches ----------------------------------------------------------
 
-    def solve(self, stretches: list[str]) -> list[list[int]]:
-        """The pieces (ranks) of each stretch: position by position, all stretches of one length at once.
-
-        At each place at most one piece ends a path of weight 0 from the start.
-        """
-        out: list[list[int]] = [[] for _ in stretches]
+    def solve(self, stretches: list[str]) -> list[bytes]:
+        """The ids of each stretch, in binary: position by position, all stretches of one length at once."""
+        out: list[bytes] = [b""] * len(stretches)
         sizes = np.array([len(s) for s in stretches])
         for w in np.unique(sizes):
-            for i in range(0, len(sel := np.flatnonzero(sizes == w)), 50_000):
-                some = sel[i : i + 50_000]
+            for i in range(0, len(sel := np.flatnonzero(sizes == w)), 20_000):
+                some = sel[i : i + 20_000]
                 points = np.frombuffer("".join(stretches[k] for k in some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), w)
-                for k, row in zip(some, self._solve(points)):
-                    out[k] = row
+                path = self._solve(points)
+                strange = (path == self.last_rank).any(axis=1)
+                kept = path >= 0
+                ids = self.of_rank[path[kept]].astype("<u4").tobytes()
+                ends = (4 * np.cumsum(kept.sum(axis=1))).tolist()
+                for k, begin, end in zip(some.tolist(), [0, *ends], ends):
+                    out[k] = ids[begin:end]
+                for j in np.flatnonzero(strange):
+                    k = int(some[j])
+                    out[k] = np.array(self.ids_of(path[j][kept[j]].tolist(), stretches[k]), "<u4").tobytes()
         return out
 
-    def _solve(self, points: np.ndarray) -> list[list[int]]:
+    def _solve(self, points: np.ndarray) -> np.ndarray:
+        """The pieces (ranks) of each row, -1 before the first; at each place at most one piece ends a path of weight 0."""
         n, w = points.shape
         uniq, back = np.unique(points, return_inverse=True)
         letter = np.array([self.letter.get(chr(c), self.last_rank) for c in uniq], np.int64)[back.reshape(points.shape)]
@@ -275,27 +285,25 @@ class Vocabulary:
             good = free.copy()
             good[~free] = self.compatible(p[~free], t[~free])
             last[r[good], end] = t[good]
-        out: list[list[int]] = []
-        for k in range(n):
-            at, path = w, []
-            while at:
-                t = int(last[k, at])
-                path.append(t)
-                at -= int(self.length[t])
-            out.append(path[::-1])
-        return out
+        steps, at = [], np.full(n, w)
+        while (at > 0).any():
+            piece = np.where(at > 0, last[rows, at], NONE)
+            steps.append(piece)
+            at = at - np.where(piece >= 0, self.length[piece], 0)
+        return np.stack(steps[::-1], axis=1)
 
     def prepare(self, text: str) -> str:
         """The text as the model sees it: a space before it, spaces as their mark; empty stays empty."""
         return ((SPACE if self.prefix else "") + text.replace(" ", SPACE)) if text else ""
 
     def learn(self, cut: Iterable[list[str]]) -> None:
-        known = self.known
-        if len(known) > self.REMEMBERED:
-            known.clear()
-        new = list(set().union(*cut).difference(known))
-        for s, path in zip(new, self.solve(new)):
-            known[s] = np.array(self.ids_of(path, s), "<u4").tobytes()
+        if len(self.known) > self.REMEMBERED:  # what was needed lately is taken over as it is met again
+            self.older, self.known = self.known, {}
+        new = set().union(*cut).difference(self.known)
+        seen = new.intersection(self.older)
+        self.known.update(zip(seen, map(self.older.__getitem__, seen)))
+        new = list(new.difference(seen))
+        self.known.update(zip(new, self.solve(new)))
 
     def encode_short(self, texts: list[str]) -> list[bytes]:
         """Ids (little-endian, 32 bits) of prepared texts, stretch by stretch."""
@@ -315,15 +323,15 @@ class Vocabulary:
         a, b = text[at - 1], text[at]
         return (b == SPACE and a != SPACE) or a in self.lone or b in self.lone
 
-    def fits(self, a: int, b: int) -> bool:
-        if a == START:
-            return True
-        got = self.pairs.get((a, b))
-        if got is None:
+    def ask(self, pairs: set[tuple[int, int]]) -> None:
+        """Makes ``self.pairs`` know whether these neighbours are left as they are."""
+        new = sorted(pairs.difference(self.pairs))
+        if new:
             if len(self.pairs) > self.REMEMBERED:
                 self.pairs.clear()
-            got = self.pairs[a, b] = bool(self.compatible(np.array([a]), np.array([b]))[0])
-        return got
+                new = sorted(pairs)
+            x = np.array(new, np.int64)
+            self.pairs.update(zip(new, self.compatible(x[:, 0], x[:, 1]).tolist()))
 
     def ending(self, text: str, end: int) -> list[int]:
         """All pieces (ranks) that end at a place."""
@@ -352,17 +360,21 @@ class Vocabulary:
         at: dict[int, list[State]] = {}
         for s in states:
             at.setdefault(s[0], []).append(s)
-        for end in range(first, last + 1):
-            for r in self.ending(text, end):
-                state = (end, r)
-                for prev in at.get(end - int(self.length[r]), ()):
-                    if self.fits(prev[1], r):
-                        mine = paths.setdefault(state, {})
-                        for entry, weight in paths[prev].items():
-                            mine[entry] = max(mine.get(entry, -np.inf), weight)
-                        back.setdefault(state, []).append(prev)
-                if state in paths:
-                    at.setdefault(end, []).append(state)
+        for low in range(first, last + 1, 64):
+            nodes = {end: self.ending(text, end) for end in range(low, min(low + 64, last + 1))}
+            ends = {end: [r for _, r in at.get(end, ())] for end in range(low - self.longest, low)} | nodes
+            self.ask({(a, r) for end, rs in nodes.items() for r in rs for a in ends.get(end - int(self.length[r]), ()) if a != START})
+            for end, rs in nodes.items():
+                for r in rs:
+                    state = (end, r)
+                    for prev in at.get(end - int(self.length[r]), ()):
+                        if prev[1] == START or self.pairs[prev[1], r]:
+                            mine = paths.setdefault(state, {})
+                            for entry, weight in paths[prev].items():
+                                mine[entry] = max(mine.get(entry, -np.inf), weight)
+                            back.setdefault(state, []).append(prev)
+                    if state in paths:
+                        at.setdefault(end, []).append(state)
         return paths, back
 
     def borders(self, text: str, begin: int, end: int) -> tuple[int, int]:
@@ -498,17 +510,27 @@ def vocabulary(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
+DIGEST = "n_ids long, ids_crc32 long, decoded_sha256 string"
+
+
+def digested(v: Vocabulary, keys: pd.Series, ids: list[bytes]) -> pd.DataFrame:
+    return pd.DataFrame({"k": keys, "n_ids": [len(x) // 4 for x in ids], "ids_crc32": [zlib.crc32(x) for x in ids], "decoded_sha256": [hashlib.sha256(v.decode(x).encode()).hexdigest() for x in ids]})
+
+
 def product(matrices: list[Matrix]) -> Matrix:
     return reduce(compose, matrices)
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """(id_col, part, ids) of each row: the ids in binary (little-endian, 32 bits), by chunks in order.
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, digest: bool = False) -> DataFrame:
+    """(id_col, ids) of each row: the ids of its whole text in binary (little-endian, 32 bits).
+
+    With ``digest``, (id_col, n_ids, ids_crc32, decoded_sha256) instead: the count and
+    the checksum of these ids, and the hash of the text decoded from them.
 
-    A text of one chunk is one row with part 0. The chunks of a longer one are
-    separate rows, which meet only as transfer matrices, by a key of the row's own;
-    null and empty texts have no ids. Repeated rows are encoded each. Columns beside
-    id_col and text_col are ignored.
+    A text of one chunk is encoded where it stands. The chunks of a longer one are
+    rows of their own, which meet only as transfer matrices, by a key of the text's own,
+    and are put together at the end. Null and empty texts have no ids. Repeated rows are
+    encoded each. Columns beside id_col and text_col are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
@@ -517,14 +539,12 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(model)
         for b in batches:
-            for at in range(0, len(b), 1000):
-                some = b.iloc[at : at + 1000]
-                yield pd.DataFrame({"k": some["k"], "part": 0, "ids": v.encode_short([v.prepare(t) for t in some["t"]])})
+            for at in range(0, len(b), 1500):
+                some = b.iloc[at : at + 1500]
+                ids = v.encode_short([v.prepare(t) for t in some["t"]])
+                yield digested(v, some["k"], ids) if digest else pd.DataFrame({"k": some["k"], "ids": ids})
 
-    out = f"k {kind}, part int, ids binary"
-    small = slim.where(size <= chunk).mapInPandas(short, out)
-
-    from tessera.llm.common import written
+    small = slim.where(size <= chunk).mapInPandas(short, f"k {kind}, {DIGEST if digest else 'ids binary'}")
 
     longest = 64  # more than any piece of a model
     prepared = F.concat(F.lit(SPACE), F.translate("t", " ", SPACE))
@@ -550,37 +570,25 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             for a, x, c, y, w in entries:
                 m.setdefault((int(a), int(x)), {})[int(c), int(y)] = float(w)
             ms.append(m)
-        found = settle(ms)
-        return pd.DataFrame({"row": b["row"], "begin": b["begin"], "x": [[*s, *t] for s, t in found]})
-
-    matrices = pieces.mapInPandas(flat, "row string, begin int, m array<array<int>>")
-    borders = matrices.groupBy("row").applyInPandas(meet, "row string, begin int, x array<int>")
+        return pd.DataFrame({"row": b["row"], "begin": b["begin"], "x": [[*s, *t] for s, t in settle(ms)]})
 
     def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(model)
         for b in batches:
             ids = [v.trace(r.t, r.begin - r.low, r.end - r.low, (r.x[0] - r.low, r.x[1]), (r.x[2] - r.low, r.x[3]))[1] for r in b.itertuples(index=False)]
-            yield pd.DataFrame({"k": b["k"], "part": b["begin"] // chunk, "row": b["row"], "ids": ids})
-
-    traced = pieces.join(borders, ["row", "begin"]).mapInPandas(back, f"k {kind}, part int, row string, ids binary")
-    return small.withColumn("row", F.lit(None).cast("string")).unionByName(traced).withColumnRenamed("k", id_col)
-
+            yield pd.DataFrame({"k": b["k"], "row": b["row"], "begin": b["begin"], "ids": ids})
 
-def digests(encoded: DataFrame, docs: DataFrame, model: str, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, n_ids, ids_crc32, decoded_sha256) of each encoded row: count, checksum of the ids in binary, hash of the text decoded from them."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    matrices = pieces.select("row", "n", "begin", "low", "end", "t").mapInPandas(flat, "row string, begin int, m array<array<int>>")
+    borders = matrices.groupBy("row").applyInPandas(meet, "row string, begin int, x array<int>")
+    traced = pieces.join(borders, ["row", "begin"]).mapInPandas(back, f"k {kind}, row string, begin int, ids binary")
+    parts = traced.groupBy("row", "k").agg(F.array_sort(F.collect_list(F.struct("begin", "ids"))).alias("x"))
+    joined = F.aggregate("x", F.lit(b"").cast("binary"), lambda a, y: F.concat(a, y["ids"]))
+    whole = parts.select("k", joined.alias("ids"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = vocabulary(model)
+    def sum_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"k": b["k"], "n_ids": [len(x) // 4 for x in b["ids"]], "ids_crc32": [zlib.crc32(x) for x in b["ids"]], "decoded_sha256": [hashlib.sha256(v.decode(x).encode()).hexdigest() for x in b["ids"]]})
-
-    return whole(encoded, id_col).withColumnRenamed(id_col, "k").mapInPandas(run, f"k {kind}, n_ids long, ids_crc32 long, decoded_sha256 string").withColumnRenamed("k", id_col)
+            yield digested(vocabulary(model), b["k"], b["ids"].tolist())
 
-
-def whole(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, ids) with the parts of each row put together; a row's parts are as large as its text."""
-    one = encoded.where("row is null").select(id_col, "ids")
-    parts = encoded.where("row is not null").groupBy("row", id_col).agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("x"))
-    joined = F.aggregate("x", F.lit(b"").cast("binary"), lambda a, y: F.concat(a, y["ids"]))
-    return one.union(parts.select(id_col, joined.alias("ids")))
+    if digest:
+        whole = whole.mapInPandas(sum_up, f"k {kind}, {DIGEST}")
+    return small.union(whole).withColumnRenamed("k", id_col)

@@ -47,10 +47,9 @@ def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from tessera.llm.maxplus import digests, encode
+    from tessera.llm.maxplus import encode
 
-    docs, model = table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
-    return digests(encode(docs, model), docs, model)
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm.maxplus import chunk_matrix, compose, cuts_of, encode, encode_text, vocabulary, whole, window
+from tessera.llm.maxplus import chunk_matrix, compose, cuts_of, encode, encode_text, vocabulary, window
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 MODEL = sentencepiece.SentencePieceProcessor(model_file=PATH)
@@ -57,7 +57,17 @@ def test_table(spark):
     long_ = ["".join(rng.choice("abcdet hino rs.\né") for _ in range(n)) for n in (100, 129, 1000, 5000)] + ["x" * 300]
     texts = [*CASES, None, *long_, long_[2]]
     df = spark.createDataFrame([(i // 2 if i > 4 else None, t, "p") for i, t in enumerate(texts)], "doc_id long, text string, part string")
-    got = whole(encode(df, PATH, chunk=128)).collect()
+    got = encode(df, PATH, chunk=128).collect()
     want = [(i // 2 if i > 4 else None, MODEL.encode(t or "")) for i, t in enumerate(texts)]
     assert sorted(((r.doc_id, ints(r.ids)) for r in got), key=str) == sorted(want, key=str)
-    assert whole(encode(df.limit(0), PATH)).collect() == []
+    assert encode(df.limit(0), PATH).collect() == []
+
+
+def test_digests(spark):
+    import hashlib
+    import zlib
+
+    df = spark.createDataFrame(list(enumerate(["a b", "", "x" * 300, "é漢 \n"])), "doc_id long, text string")
+    for r, t in zip(sorted(encode(df, PATH, chunk=128, digest=True).collect()), ["a b", "", "x" * 300, "é漢 \n"]):
+        ids = np.array(MODEL.encode(t), "<u4")
+        assert (r.n_ids, r.ids_crc32, r.decoded_sha256) == (len(ids), zlib.crc32(ids.tobytes()), hashlib.sha256(t.encode()).hexdigest())

@@ -135,3 +135,27 @@ def test_addresses(spark):
 @pytest.mark.parametrize("path,safe", [("a/b.pdf", True), ("../a", False), ("a/../../b", False), ("/etc", False), ("C:\\x", False), ("a\\..\\b", False), ("a..b", True), ("", False)])
 def test_safe_paths(spark, path, safe):
     assert one(spark, path, it.safe_path) == safe
+
+
+def test_work_names(spark):
+    from tessera.operators.content import work_context
+
+    rows = [('Магистральный газопровод Сахалин-Хабаровск-Владивосток. Этап 12.1. КС-9 "Дальнереченская"', 'Монтажные работы.Этап 12.1. КС-9 "Дальнереченская" Установка подготовки газа.Технология производства. Монтаж оборудования'), (None, None), ("Завод", "на Котельную. Две технологические линии")]
+    a, b, c = work_context(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, construction string, work string")).orderBy("id").collect()
+    assert (a.project, a.work_kind, a.stage, a.site) == ("Магистральный газопровод Сахалин-Хабаровск-Владивосток", "Монтажные работы", "Этап 12.1", 'КС-9 "Дальнереченская"')
+    assert (a.facility, a.subfacility, a.scope, a.parse_status) == ("Установка подготовки газа", "Технология производства", "Монтаж оборудования", "parsed")
+    assert b.parse_status == "missing" and (c.facility, c.scope, c.parse_status) == ("Котельную", None, "parsed")
+
+
+def test_codes_in_content(spark):
+    from tessera.operators.content import content_codes
+
+    doc = '{"text":"PRJ-1","cells":[{"value":"none"},{"value":"drawing_A_2"},{"value":"prj 1"}],"rows":[{"cells":[{"value":"B-3"}]}]}'
+    got = content_codes(spark.createDataFrame([(1, 1, doc), (1, 2, '{"value":"A-2"}'), (2, 3, "broken")], "version_id int, id int, payload string")).orderBy("id", "n").collect()
+    assert [(r.version_id, r.kind, r.code) for r in got] == [(1, "direct", "PRJ-1"), (1, "cell", "A-2"), (1, "row", "B-3")]
+
+
+def test_locale_order(spark):
+    from tessera.operators.content import locale_sorted
+
+    assert [r.t for r in locale_sorted(spark.createDataFrame([("ё",), ("ж",), ("е",), ("Е",)], "t string"), "t").collect()][-1] == "ж"

@@ -8,7 +8,7 @@ elements in them. Two sets that differ in at most k elements share a signature.
 
 A signature's sets are compared with the one of smallest id, its leader. Sets of one
 leader that are in different components after that are compared with each other. A
-parity sketch of each set (every element flips one bit of 1024, or of 16,384) goes before both
+parity sketch of each set (every element flips one bit of 1024, or of 4096) goes before both
 comparisons: two sets differ in at least as many elements as their sketches in bits,
 so what it leaves out is never similar. What it leaves is compared by the whole texts.
 """
@@ -206,7 +206,7 @@ def ngram_join(docs: DataFrame, share: Fraction = Fraction(85, 100), words: int
                 blob = s.tobytes()
                 keys.append(-1 if none else k)
                 sigs.append(np.concatenate([np.array([xxhash.xxh3_64_intdigest(blob)], np.uint64), signatures(s, share) if not none else np.empty(0, np.uint64)]))
-                own.append(np.concatenate([np.array([xxhash.xxh3_64_intdigest(blob, 1) >> 1, len(s), none], np.int64), sketch(s), sketch(s, 16384) if len(s) >= WIDE_FROM else np.empty(0, np.int64)]))
+                own.append(np.concatenate([np.array([xxhash.xxh3_64_intdigest(blob, 1) >> 1, len(s), none], np.int64), sketch(s), sketch(s, 4096) if len(s) >= WIDE_FROM else np.empty(0, np.int64)]))
                 if len(keys) >= 512:
                     yield table(keys, sigs, own)
                     keys, sigs, own = [], [], []
@@ -217,15 +217,22 @@ def ngram_join(docs: DataFrame, share: Fraction = Fraction(85, 100), words: int
     least = F.min(F.when(F.col("own").isNull() | (F.col("own")[2] == 0), F.col("k"))).over(Window.partitionBy("sig"))
     met = written(signed.withColumn("m", least).where("own is not null or m < k"))
     own = F.col("own")
-    rows = met.where("own is not null").select("sig", "k", own[0].alias("x"), own[1].alias("n"), (own[2] == 1).alias("none"), F.slice("own", 4, 16).alias("sk"), F.slice("own", 20, 256).alias("wide"))
+    rows = met.where("own is not null").select("sig", "k", own[0].alias("x"), own[1].alias("n"), (own[2] == 1).alias("none"), F.slice("own", 4, 16).alias("sk"), F.slice("own", 20, 64).alias("wide"))
     # one document stands for all with the same set
     same = rows.where("not none and n > 0").groupBy("sig", "x", "n").agg(F.min("k").alias("c"), F.first("sk").alias("sk"), F.first("wide").alias("wide"))
     classes = written(rows.where("not none").select("k", "sig", "x", "n").join(same, ["sig", "x", "n"], "left").select("k", "n", F.coalesce("c", "k").alias("c"), "sk", "wide"))
-    named = classes.where("sk is not null").select("k", "c", F.struct("n", "sk", "wide").alias("s")).distinct()
+    named = classes.where("sk is not null").select("k", "c").distinct()
+    sketches = classes.where("sk is not null").groupBy("c").agg(F.first(F.struct("n", "sk", "wide")).alias("s"))
+
+    def part(df: DataFrame, of: str, name: str, value: DataFrame) -> DataFrame:
+        """df with what value (key, value) has for a column."""
+        key, got = value.columns
+        return df.join(value.select(F.col(key).alias(of), F.col(got).alias(name)), of, "left")
 
     pairs = met.where("own is null").select("k", "m").distinct()
-    pairs = pairs.join(named.select("k", F.col("c").alias("a"), F.col("s").alias("x")), "k").join(named.select(F.col("k").alias("m"), F.col("c").alias("b"), F.col("s").alias("y")), "m")
-    pairs = written(pairs.where("a <> b").select("a", "b", "x", "y", possible("x", "y", share).alias("maybe")).dropDuplicates(["a", "b"]))
+    pairs = part(part(pairs, "k", "a", named), "m", "b", named).where("a <> b")
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = written(part(part(pairs, "a", "x", sketches), "b", "y", sketches).select("a", "b", possible("x", "y", share).alias("maybe")))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, last, leader = Shingler(words), None, None
@@ -251,17 +258,14 @@ def ngram_join(docs: DataFrame, share: Fraction = Fraction(85, 100), words: int
     twice = named.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("a", "b")
     first = written(connected_components(links(pairs.where("maybe").select("a", "b")).union(twice)))
 
-    def part(df: DataFrame, of: str, name: str) -> DataFrame:
-        """df with the component of a column."""
-        return df.join(first.select(F.col("id").alias(of), F.col("component").alias("_c")), of, "left").withColumn(name, F.coalesce("_c", of)).drop("_c")
-
-    inside = written(part(part(pairs.select("a", "b", "x"), "a", "ca"), "b", "cb"))
+    inside = part(part(pairs.select("a", "b"), "a", "ca", first), "b", "cb", first)
+    inside = written(inside.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
     open_ = inside.where("ca <> cb").select("b").distinct()
-    member = inside.join(open_, "b").select("b", "a", F.col("ca").alias("c"), "x")
-    one, two = member.withColumnRenamed("x", "s1").alias("u"), member.withColumnRenamed("x", "s2").alias("v")
+    member = part(inside.join(open_, "b"), "a", "s", sketches).select("b", "a", F.col("ca").alias("c"), "s")
+    one, two = member.withColumnRenamed("s", "s1").alias("u"), member.withColumnRenamed("s", "s2").alias("v")
     meet = (F.col("u.b") == F.col("v.b")) & (F.col("u.c") < F.col("v.c")) & possible("s1", "s2", share)
-    more = one.join(two, meet).select(F.col("u.a").alias("a"), F.col("v.a").alias("b")).distinct()
-    more = part(part(links(more), "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    more = written(one.join(two, meet).select(F.col("u.a").alias("a"), F.col("v.a").alias("b")).distinct())
+    more = part(part(links(more), "a", "ca", first), "b", "cb", first).select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     second = connected_components(more)
     final = first.join(second.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select(F.col("id").alias("c"), F.coalesce("to", "component").alias("component_id"))
     loose = second.join(first, second["id"] == first["component"], "left_anti").select(F.col("id").alias("c"), F.col("component").alias("component_id"))

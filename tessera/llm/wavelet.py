@@ -149,11 +149,11 @@ class PieceEncoder:
 
     Byte-level merges never cross the pieces into which the file's pre-tokenizer cuts
     a text, so the library encodes each distinct piece once, and a text is the
-    pieces' ids in a row. ``REMEMBERED`` pieces are kept at most; then the memory is
-    emptied, which costs time only.
+    pieces' ids in a row. Twice ``REMEMBERED`` pieces are kept at most: a full memory is
+    set aside, and what is met again taken from there.
     """
 
-    REMEMBERED = 1_000_000
+    REMEMBERED = 700_000
     #: The same cut by the standard library's faster engine, for texts without the characters on which the two differ.
     FAST = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 
@@ -186,14 +186,18 @@ class PieceEncoder:
         self.differ = re.compile(f"[{re.escape(''.join(sorted(differ)))}]")
         self.far = re.compile("[\U00010000-\U0010ffff]")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian 32-bit integers."""
         cut = [(self.exact if not t.isascii() and (self.far.search(t) or self.differ.search(t)) else self.fast).findall(t) for t in texts]
+        if len(self.known) > self.REMEMBERED:  # what was needed lately is taken over as it is met again
+            self.older, self.known = self.known, {}
         known = self.known
-        if len(known) > self.REMEMBERED:
-            known.clear()
-        new = list(set().union(*cut).difference(known))
+        new = set().union(*cut).difference(known)
+        seen = new.intersection(self.older)
+        known.update(zip(seen, map(self.older.__getitem__, seen)))
+        new = list(new.difference(seen))
         if new:
             e = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
             ids, at = np.array(e.ids, "<u4").tobytes(), (4 * np.searchsorted(e.word_ids, np.arange(len(new) + 1))).tolist()

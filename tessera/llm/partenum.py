@@ -53,7 +53,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """The sorted distinct 64-bit hashes of a text's word n-grams (A-Z in lower case, words between ASCII white space)."""
 
-    REMEMBERED = 1_000_000
+    REMEMBERED = 250_000
 
     def __init__(self, words: int) -> None:
         self.words, self.known = words, {}
@@ -169,11 +169,11 @@ def possible(a: str, b: str, share: Fraction) -> F.Column:
     """Whether two sets, by size and sketch (structs with n, sk and wide), can be similar; never false for similar ones."""
     p, q = share.numerator, share.denominator
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    flips = sum((F.bit_count(F.col(f"{a}.sk")[i].bitwiseXOR(F.col(f"{b}.sk")[i])) for i in range(16)), F.lit(0))
+    flips = lambda upto: sum((F.bit_count(F.col(f"{a}.sk")[i].bitwiseXOR(F.col(f"{b}.sk")[i])) for i in range(upto)), F.lit(0))
     x, y = F.col(f"{a}.wide"), F.col(f"{b}.wide")
     more = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda u, v: u + v)
     near = lambda bits: bits * (p + q) <= (n + m) * (q - p)
-    return (F.least(n, m) * q >= F.greatest(n, m) * p) & near(flips) & ((F.size(x) == 0) | (F.size(y) == 0) | near(more))
+    return (F.least(n, m) * q >= F.greatest(n, m) * p) & near(flips(4)) & near(flips(16)) & ((F.size(x) == 0) | (F.size(y) == 0) | near(more))
 
 
 def ngram_join(docs: DataFrame, share: Fraction = Fraction(85, 100), words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

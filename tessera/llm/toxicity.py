@@ -37,7 +37,7 @@ class TermAutomaton:
     are kept as a table, emptied if it outgrows ``LARGEST``.
     """
 
-    LARGEST = 1_000_000
+    LARGEST = 300_000
 
     def __init__(self, terms: Iterable[str]) -> None:
         self.child: list[dict[str, int]] = [{}]
@@ -134,7 +134,7 @@ FEATURES = 9
 class Scorer:
     """The features of a text: finds by closeness and by context, how many, how dense, how telling."""
 
-    REMEMBERED = 600_000
+    REMEMBERED = 250_000
 
     def __init__(self, terms: dict[str, float]) -> None:
         self.terms, self.find = terms, TermAutomaton(terms)
@@ -230,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, ratio: float
                 stems = {w[:k] + "*" for w in words for k in STEMS if len(w) >= k}
                 (toxic if y else clean).update(words | stems)
                 docs_[bool(y)] += 1
-            if len(toxic) + len(clean) > 1_000_000:
+            if len(toxic) + len(clean) > 400_000:
                 yield out()
                 toxic, clean, docs_ = Counter(), Counter(), [0, 0]
         yield out()

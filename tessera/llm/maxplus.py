@@ -76,7 +76,7 @@ class Lookup:
 class Vocabulary:
     """A SentencePiece byte-pair model with byte fallback, read from its file."""
 
-    REMEMBERED = 500_000
+    REMEMBERED = 200_000
     CACHE = 1 << 21
 
     def __init__(self, path: str) -> None:

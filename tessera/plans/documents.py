@@ -290,6 +290,12 @@ def display_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(head.rlike(r"^[\x00-\x{17f}]*$")).select(F.col("doc_id").alias("id"), F.md5(tx.display_text(head)).alias("h"))
 
 
+@query("st6_display_text_whole")
+def display_text_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All of every text; no SQL, as the oracle of st6_display_text stays at the first 400 characters of simple texts."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(tx.display_text(F.col("text"))).alias("h"))
+
+
 @query("st9_sentences", r"SELECT doc_id AS id, len(list_filter(list_transform(string_split(regexp_replace(text, '([0-9])\.([0-9])', '\1;\2', 'g'), '.'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')) AS n FROM documents WHERE NOT regexp_matches(text, '[0-9]\.[0-9]\.[0-9]')")
 def sentences(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where(~F.col("text").rlike(r"[0-9]\.[0-9]\.[0-9]"))

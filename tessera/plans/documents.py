@@ -384,6 +384,27 @@ def enum_order(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.posexplode("x").alias("n", "x")).select("x.id", (F.col("n") + 1).cast("long").alias("n"))
 
 
+@query("t3_enum_order_whole", SQL["t3_enum_order"].removesuffix(" ORDER BY n LIMIT 200"))
+def enum_order_whole(spark: SparkSession, d: str) -> DataFrame:
+    """T3 over all orders: numbers within a status and a range of prices, after the rows of all ranges before it."""
+    from pyspark.sql import Window
+
+    rank = F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    price = F.col("o_totalprice").cast("double")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice", rank.alias("r"), price.alias("p"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(orders.approxQuantile("p", [i / n for i in range(1, n)], 0.01)))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("p"))) if cuts else F.lit(0)
+    orders = orders.withColumn("part", F.when(F.col("p").isNull(), len(cuts) + 1).otherwise(part))
+    before, starts = 0, []
+    for r, k, c in sorted(orders.groupBy("r", "part").count().collect()):  # one row for each status and range
+        starts.append((r, k, before))
+        before += c
+    starts = spark.createDataFrame(starts, "r int, part int, start long")
+    at = F.row_number().over(Window.partitionBy("r", "part").orderBy(F.col("o_totalprice").desc_nulls_last(), "o_orderkey"))
+    return orders.join(F.broadcast(starts), ["r", "part"]).select(F.col("o_orderkey").alias("id"), (F.col("start") + at).alias("n"))
+
+
 @query("t7_page", "SELECT o_orderkey AS id FROM orders WHERE o_custkey = 77 ORDER BY o_orderdate DESC, o_orderkey LIMIT 5 OFFSET 5")
 def page(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").where("o_custkey = 77").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(5).limit(5).select(F.col("o_orderkey").alias("id"))

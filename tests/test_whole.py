@@ -27,3 +27,9 @@ def test_display_text_of_long_and_foreign_texts(spark, tmp_path):
     texts = ["a " * 300 + "— end ;", "a " * 300 + "— other .", "«Привет» ,  “мир”.", "漢字 – ελ", "", " . "]
     got = run_on(spark, tmp_path, texts, "st6_display_text_whole")
     assert got == {i: md5(shown(t).encode()).hexdigest() for i, t in enumerate(texts)} and got[0] != got[1]
+
+
+@needs_data
+def test_all_orders_are_numbered(spark):
+    got = catalog.queries()["t3_enum_order_whole"](spark, DATA).collect()
+    assert sorted(r.n for r in got) == list(range(1, table(spark, DATA, "orders").count() + 1))

@@ -131,6 +131,15 @@ def stamp_rectangles(spark: SparkSession, d: str) -> DataFrame:
     return pg.stamp_rectangles(spark.sql(LINES, part=table(spark, d, "part")))
 
 
+LINES_WHOLE = LINES.replace("p_partkey % 21 AS page", "CAST(floor(p_partkey / 20) AS BIGINT) AS page").removesuffix(" WHERE p_partkey % 5 = 0 AND p_partkey < 3000")
+
+
+@query("cv18_stamp_rectangles_whole", SQL["cv18_stamp_rectangles"].replace(LINES.format(part="part"), LINES_WHOLE.format(part="part")))
+def stamp_rectangles_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All parts, twenty lines a page; the pages grow with the table."""
+    return pg.stamp_rectangles(spark.sql(LINES_WHOLE, part=table(spark, d, "part")))
+
+
 REGIONS = "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'stamp' WHEN 1 THEN 'table' WHEN 2 THEN 'drawing' ELSE 'text' END AS kind, p_size / 50.0 AS confidence, 3 + p_size % 40 AS w, 2 + p_partkey % 37 AS h FROM {part}"
 
 

@@ -33,3 +33,10 @@ def test_display_text_of_long_and_foreign_texts(spark, tmp_path):
 def test_all_orders_are_numbered(spark):
     got = catalog.queries()["t3_enum_order_whole"](spark, DATA).collect()
     assert sorted(r.n for r in got) == list(range(1, table(spark, DATA, "orders").count() + 1))
+
+
+@needs_data
+def test_all_parts_are_lines(spark):
+    parts = table(spark, DATA, "part")
+    lines = spark.sql(pages.LINES_WHOLE, part=parts)
+    assert lines.count() == parts.count() and lines.groupBy("page").count().where("count > 20").count() == 0

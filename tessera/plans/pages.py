@@ -102,6 +102,15 @@ def footer_trim(spark: SparkSession, d: str) -> DataFrame:
     return pg.trim_grid(spark.sql(GRID, lineitem=table(spark, d, "lineitem")))
 
 
+GRID_WHOLE = GRID.replace("l_suppkey AS grp", "l_suppkey * 10 + l_linenumber AS grp").removesuffix(" WHERE l_linenumber = 1")
+
+
+@query("cv15_footer_trim_whole", SQL["cv15_footer_trim"].replace(GRID.format(lineitem="lineitem"), GRID_WHOLE.format(lineitem="lineitem")))
+def footer_trim_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All lines; each line number of a supplier is a grid of its own."""
+    return pg.trim_grid(spark.sql(GRID_WHOLE, lineitem=table(spark, d, "lineitem")))
+
+
 @query("cv16_strip_exclude", ctes("words", "crops", more="e AS (SELECT page, min(x) AS edge FROM crops GROUP BY 1)") + "SELECT id, page FROM words JOIN e USING (page) WHERE x + w > edge")
 def strip_exclude(spark: SparkSession, d: str) -> DataFrame:
     edges = fixture(spark, d, "crops").groupBy("page").agg(F.min("x").alias("edge"))
@@ -121,6 +130,14 @@ def stamp_template(spark: SparkSession, d: str) -> DataFrame:
     return pg.stamp_template(lines, anchors)
 
 
+@query("cv8_stamp_template_whole", SQL["cv8_stamp_template"].replace("l_suppkey AS region", "l_suppkey * 10 + l_linenumber AS region").replace(" WHERE l_linenumber = 2", ""))
+def stamp_template_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All lines; each line number of a supplier is a region of its own."""
+    anchors = spark.sql(f"SELECT * FROM ({ANCHORS}) AS t(template, anchor, low, high)")
+    lines = table(spark, d, "lineitem").select((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("region"), (F.col("l_partkey") * 7 % 100).alias("pos")).distinct()
+    return pg.stamp_template(lines, anchors)
+
+
 LINES = "SELECT DISTINCT p_partkey % 21 AS page, CASE WHEN p_partkey % 2 = 0 THEN 'h' ELSE 'v' END AS axis, p_partkey * 37 % 100 AS pos FROM {part} WHERE p_partkey % 5 = 0 AND p_partkey < 3000"
 
 
@@ -164,6 +181,15 @@ def cell_candidates(spark: SparkSession, d: str) -> DataFrame:
     return pg.cell_candidates(one)
 
 
+CELLS_WHOLE = "SELECT sheet * 1000 + row AS id, supplier * 1000000 + CAST(floor(sheet / 400) AS BIGINT) AS region, line AS row, part % 8 AS col, quantity AS text_px, 10 + part % 30 AS w, 5 + sheet % 60 AS h FROM {line_rows}"
+
+
+@query("cv20_cell_candidates_whole", ctes("line_rows", more="k AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY row, col, id) AS r FROM (" + CELLS_WHOLE.format(line_rows="line_rows") + "))") + "SELECT id, region, unnest(CASE WHEN h >= 1.45 * w THEN [0, 90, 270] ELSE [0] END) AS rotation FROM k WHERE r <= 240 AND text_px >= 40")
+def cell_candidates_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All lines, each with an id of its own; regions are a supplier's lines of 400 orders."""
+    return pg.cell_candidates(spark.sql(CELLS_WHOLE, line_rows=fixture(spark, d, "line_rows")))
+
+
 @query("cv19_side_strips", ctes("words", "crops", more="p AS (SELECT page, count(*) FILTER (x > 30) AS stamps, count(*) FILTER (y > 30) AS drawings, 40 AS limit_x, 100 AS page_h FROM crops GROUP BY 1), t AS (SELECT id, page, x, y, w, h * 14 AS h FROM words)") + "SELECT id, 270 AS rotation FROM t JOIN p USING (page) WHERE stamps > 0 AND drawings > 0 AND h >= 40 AND h / w >= 1.45 AND x + w <= limit_x AND y + h / 2 >= 0.42 * page_h")
 def side_strips(spark: SparkSession, d: str) -> DataFrame:
     pages = fixture(spark, d, "crops").groupBy("page").agg(F.count_if(F.col("x") > 30).alias("stamps"), F.count_if(F.col("y") > 30).alias("drawings")).withColumn("limit_x", F.lit(40)).withColumn("page_h", F.lit(100))
@@ -221,3 +247,15 @@ def title_block(spark: SparkSession, d: str) -> DataFrame:
 
     rows = spark.sql("SELECT * FROM (" + BLOCK[len("c AS (") : -1].replace("lineitem", "{lineitem}") + ")", lineitem=table(spark, d, "lineitem"))
     return interpret(rows, spark.sql(f"SELECT * FROM ({FIELDS}) AS t(form, field, role)"))
+
+
+BLOCK_WHOLE = BLOCK.replace("l_suppkey AS doc", "l_suppkey * 10 + l_orderkey % 7 AS doc").replace("PARTITION BY l_suppkey ", "PARTITION BY l_suppkey, l_orderkey % 7 ").replace(" WHERE l_orderkey % 7 = 0", "")
+
+
+@query("do8_title_block_whole", SQL["do8_title_block"].replace(BLOCK, BLOCK_WHOLE))
+def title_block_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All lines; a supplier has seven documents."""
+    from tessera.operators.titleblock import interpret
+
+    rows = spark.sql("SELECT * FROM (" + BLOCK_WHOLE[len("c AS (") : -1].replace("lineitem", "{lineitem}") + ")", lineitem=table(spark, d, "lineitem"))
+    return interpret(rows, spark.sql(f"SELECT * FROM ({FIELDS}) AS t(form, field, role)"))

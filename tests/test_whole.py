@@ -40,3 +40,15 @@ def test_all_parts_are_lines(spark):
     parts = table(spark, DATA, "part")
     lines = spark.sql(pages.LINES_WHOLE, part=parts)
     assert lines.count() == parts.count() and lines.groupBy("page").count().where("count > 20").count() == 0
+
+
+@needs_data
+def test_all_lines_are_used(spark):
+    line = table(spark, DATA, "lineitem")
+    cells = spark.sql(pages.CELLS_WHOLE, line_rows=fixture(spark, DATA, "line_rows"))
+    assert cells.select("id").distinct().count() == line.count() and cells.groupBy("region").count().where("count > 240").count() == 0
+    block = pages.BLOCK_WHOLE[len("c AS (") : -1].replace("lineitem", "{lineitem}")
+    assert spark.sql(block, lineitem=line).count() == line.count()
+    for name in ("cv15_footer_trim_whole", "cv8_stamp_template_whole"):
+        out = catalog.queries()[name](spark, DATA)
+        assert {r[0] % 10 for r in out.select(out.columns[0]).distinct().collect()} == {r[0] for r in line.select("l_linenumber").distinct().collect()}

@@ -29,6 +29,11 @@ def test_display_text_of_long_and_foreign_texts(spark, tmp_path):
     assert got == {i: md5(shown(t).encode()).hexdigest() for i, t in enumerate(texts)} and got[0] != got[1]
 
 
+def test_sentences_with_versions_and_addresses(spark, tmp_path):
+    got = run_on(spark, tmp_path, ["At 10.0.0.1. End", "a 1.5 b. c", "1.2.3", "1.23.4", None], "st9_sentences_whole")
+    assert got == {0: 2, 1: 2, 2: 1, 3: 1, 4: None}
+
+
 @needs_data
 def test_all_orders_are_numbered(spark):
     got = catalog.queries()["t3_enum_order_whole"](spark, DATA).collect()

@@ -68,3 +68,12 @@ def test_neighbours(spark, parts):
     one = edited_neighbours(df.where("doc_id = 5001")).collect()
     assert [(r.doc_id, r.near_edited, r.near_next) for r in one] == [(5001, 1.0, 1.0)]
     assert fingerprints(df).where("doc_id = 5000").first().n_kept == 0
+
+
+@pytest.mark.parametrize("n", [29, 40, 70, 100, 139])
+def test_half_of_a_short_text_is_found(n):
+    rng = random.Random(n)
+    for _ in range(30):
+        text, other = ("".join(rng.choice("abcdefghijklmnop ") for _ in range(n)) for _ in range(2))
+        edited = text[: n - n // 2] + other[: n // 2]
+        assert likeness(np.unique(winnow(text)[0]), np.unique(winnow(edited)[0])) > 0

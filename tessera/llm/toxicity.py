@@ -217,31 +217,36 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, ratio: float
     # at most `sample` pairs of small numbers
     texts = docs.select(F.col(id_col).alias("_k"), F.col(text_col).alias("_t")).join(F.broadcast(rows), "_k").where("_t is not null").select("_t", F.col("_y").cast("int").alias("_y"))
 
+    sizes = {r[0]: r[1] for r in texts.groupBy(F.col("_y") != 0).count().collect()}
+    toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
+    if not toxic or not clean:
+        return {}, np.array([0.0] * FEATURES + [30.0 if toxic else -30.0])
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        toxic, clean, docs_ = Counter(), Counter(), [0, 0]
+        toxic, clean = Counter(), Counter()
 
         def out() -> pd.DataFrame:
-            keys = [*toxic.keys() | clean.keys(), ""]
-            return pd.DataFrame({"t": keys, "a": [*(toxic[k] for k in keys[:-1]), docs_[1]], "b": [*(clean[k] for k in keys[:-1]), docs_[0]]})
+            keys = list(toxic.keys() | clean.keys())
+            return pd.DataFrame({"t": keys, "a": [toxic[k] for k in keys], "b": [clean[k] for k in keys]})
 
         for b in batches:
             for t, y in zip(b["_t"], b["_y"]):
                 words = set(WORDS.findall(t.lower()))
                 stems = {w[:k] + "*" for w in words for k in STEMS if len(w) >= k}
                 (toxic if y else clean).update(words | stems)
-                docs_[bool(y)] += 1
             if len(toxic) + len(clean) > 400_000:
                 yield out()
-                toxic, clean, docs_ = Counter(), Counter(), [0, 0]
-        yield out()
+                toxic, clean = Counter(), Counter()
+        if toxic or clean:
+            yield out()
 
     counts = texts.mapInPandas(count, "t string, a long, b long").groupBy("t").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    counts = counts.where((F.col("t") == "") | ((F.col("a") >= least) & (F.col("a") > F.col("b"))))
+    # as learn_terms has it, a little looser for rounding
+    least = max(least, math.ceil(share * toxic))
+    telling = (F.col("a") + 0.5) * (clean + 1) >= (F.col("b") + 0.5) * (0.999 * ratio * (toxic + 1))
+    counts = counts.where((F.col("a") >= least) & telling)
     found = {r[0]: (r[1], r[2]) for r in counts.orderBy(F.desc("a"), "t").limit(50 * most).collect()}
-    toxic, clean = found.pop("", (0, 0))
-    if not toxic or not clean:
-        return {}, np.array([0.0] * FEATURES + [30.0 if toxic else -30.0])
-    terms = learn_terms(found, toxic, clean, ratio, max(least, math.ceil(share * toxic)), most)
+    terms = learn_terms(found, toxic, clean, ratio, least, most)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = Scorer(terms)

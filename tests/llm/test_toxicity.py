@@ -78,3 +78,17 @@ def test_without_examples(spark, labels):
     d = spark.createDataFrame([(1, "a b", "s"), (2, "c", "s")], "doc_id long, text string, source string")
     model = train(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     assert [r.predicted for r in score(d, model).collect()] == [0, 0]
+
+
+def test_terms_of_a_rare_class_are_learned(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.llm.toxicity import is_held_out
+
+    bad = {*range(20), *range(100, 140)}
+    rows = [(i, "grumblefax here" if i in bad else "all fine here", i < 50) for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic boolean")
+    terms, _ = train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    kept = df.where(~is_held_out("doc_id") & (F.col("text") != "all fine here"))
+    assert kept.where("toxic").count() <= kept.where("NOT toxic").count()  # more clean documents than toxic ones have it
+    assert any("grumblefax".startswith(t.rstrip("*")) for t in terms)

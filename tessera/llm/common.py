@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 #: A word of the contracts: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -53,6 +58,27 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], T]) -> T:
+    """What a worker keeps from task to task: one thing for it; another's is dropped first, and its memory given back."""
+    if key not in _HELD:
+        forget()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def forget() -> None:
+    """Drops what the worker has kept and gives free memory back to the system."""
+    _HELD.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(id, component) for every end of an edge (a, b); component is the smallest id reached.
 

@@ -7,7 +7,7 @@ second-level partitions that could agree gives a signature, a hash of the set's
 elements in them. Two sets that differ in at most k elements share a signature.
 
 A signature's sets are compared with the one of smallest id, its leader. Sets of one
-leader that are in different components after that are compared with each other. A
+leader that are in different components after that are compared with each other, in blocks. A
 parity sketch of each set (every element flips one bit of 1024, or of 4096) goes before both
 comparisons: two sets differ in at least as many elements as their sketches in bits,
 so what it leaves out is never similar. What it leaves is compared by the whole texts.
@@ -27,18 +27,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, written
+from tessera.llm.common import connected_components, forget, written
 
 
 
-def shape(share: Fraction) -> tuple[float, int, int, float]:
-    """(largest over smallest size of a band, parts of large sets' partitions, parts left out, size that spare partitions are reckoned for).
+def shape(share: Fraction) -> tuple[float, int, int]:
+    """(largest over smallest size of a band, parts of large sets' partitions, parts left out).
 
-    The size counts from 0, the smallest of the band, to 1, the largest. At a lower
-    similarity sets differ more and partitions hold less, so that choices of two parts
-    of three would give too many signatures; then one part of two is chosen.
+    At a lower similarity sets differ more and partitions hold less, so that choices of
+    two parts of three would give too many signatures; then one part of two is chosen.
     """
-    return (1.6, 3, 1, 0.0) if share >= Fraction(85, 100) else (1.4, 2, 1, 0.5)
+    return (1.6, 3, 1) if share >= Fraction(85, 100) else (1.4, 2, 1)
+
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
@@ -94,61 +94,82 @@ def bands(share: Fraction, upto: int) -> list[tuple[int, int]]:
     return out
 
 
+#: How often a set that has too many empty partitions is cut anew, by other hashes.
+RETRIES = 3
+
+
+def reach(share: Fraction, n: int, high: int) -> int:
+    """In how many elements a set of n differs at most from a similar one of its size or more, up to ``high``."""
+    return tolerance(share, n, min(high, math.floor(n / share)))
+
+
 @cache
-def scheme(share: Fraction, band: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int] | None:
-    """(cuts, columns, salts, first, spare) of a band's partitions; None if its sets must be equal.
+def scheme(share: Fraction, band: int, low: int, high: int, again: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int, int] | None:
+    """(cuts, columns, salts, first, parts, spoilt) of a band's partitions; None if its sets must be equal.
 
-    columns: for each signature of a first-level partition, the second-level ones it
-    keeps. spare: how many first-level partitions there are beyond those that k
-    differences can spoil, so that at least spare + 1 agree.
+    columns: for each signature of one of the ``first`` first-level partitions, the
+    second-level ones it keeps of its ``parts``; it takes ``spoilt`` + 1 differences to
+    make all of them disagree. There are more first-level partitions than the largest sets
+    can spoil, so that even beside what is expected to be empty one is left.
     """
     k = tolerance(share, high, high)
     if k == 0:
         return None
-    _, large, left_out, middle = shape(share)
+    _, large, left_out = shape(share)
     # small sets have few elements in a partition: more choices of larger parts tell them apart
     spoilt, parts = (k, k + 3) if k <= 3 else (2, 5) if k <= 12 else (1, 3) if k <= 48 else (left_out, large)
     keep, spare = parts - spoilt, 0
+    sizes = np.unique(np.linspace(max(1, math.ceil(share * low)), high, 12).astype(int)).tolist()
     for _ in range(20):
         first = k // (spoilt + 1) + 1 + spare
-        weak = first * math.comb(parts, keep) * (1 - keep / (parts * first)) ** (low * (high / low) ** middle)
-        need = 0 if k <= 3 else min(k, math.ceil(weak + 3 * math.sqrt(weak)))
+        need = 0
+        for n in sizes if k > 3 else []:
+            weak = first * math.comb(parts, keep) * (1 - keep / (parts * first)) ** n
+            need = max(need, math.ceil(weak + 3 * math.sqrt(weak)) - (k // (spoilt + 1) - reach(share, n, high) // (spoilt + 1)))
+        need = min(k, need)
         if need <= spare:
             break
         spare = need
     first = k // (spoilt + 1) + 1 + spare
-    n = first * parts
-    cuts = np.array([(i << 64) // n for i in range(1, n)], np.uint64)
+    cuts = np.array([(i << 64) // (first * parts) for i in range(1, first * parts)], np.uint64)
     columns = np.array(list(combinations(range(parts), keep)))
-    salts = _mix(np.arange(first * len(columns), dtype=np.uint64) + np.uint64(band << 40))
-    return cuts, columns, salts.reshape(first, -1), np.array([first, parts]), spare
+    salts = _mix(np.arange(first * len(columns), dtype=np.uint64) + np.uint64((band << 40) + (again << 56)))
+    return cuts, columns, salts.reshape(first, -1), first, parts, spoilt
 
 
 def signatures(s: np.ndarray, share: Fraction) -> np.ndarray:
     """All signatures of a set (sorted distinct hashes).
 
-    A signature over partitions in which the set has nothing is shared by many sets.
-    Where at most ``spare`` first-level partitions have such a one, an agreeing
-    partition without it is left, and empty signatures are not needed; else they are given.
+    A signature over partitions in which the set has nothing would be shared by sets that
+    have nothing in common. Where fewer first-level partitions have such a one than must
+    agree with any similar set, an agreeing partition without it is left: the set is
+    settled, and its signatures that are not empty are enough for every pair it is in with
+    a set of its size or more. A set that is not settled gives, beside these, the signatures of a retry,
+    in which it meets all others that are not settled either. Only what no retry settles
+    gives empty signatures.
     """
-    n, out, sums = len(s), [], None
+    n, out, cut = len(s), [], []
     for band, (low, high) in enumerate(bands(share, 1 << max(4, (n * 2).bit_length()))):
         if not share * low <= n <= high:
             continue
-        plan = scheme(share, band, low, high)
-        if plan is None:
-            continue
-        cuts, columns, salts, (first, parts), spare = plan
-        if sums is None:
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-        at = np.concatenate([[0], np.searchsorted(s, cuts), [n]])
-        part = np.diff(sums[at]).reshape(first, parts)
-        size = np.diff(at).reshape(first, parts)
-        sig = part[:, columns].sum(axis=2, dtype=np.uint64) + salts
-        full = size[:, columns].sum(axis=2) > 0
-        if (~full.all(axis=1)).sum() <= spare:
-            sig = sig[full]
-        out.append(_mix(sig.reshape(-1)))
+        for again in range(RETRIES + 1):
+            plan = scheme(share, band, low, high, again)
+            if plan is None:
+                break
+            cuts, columns, salts, first, parts, spoilt = plan
+            if len(cut) <= again:
+                x = np.sort(_mix(s + np.uint64(_ODD[again]))) if again else s
+                cut.append((x, np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(x ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])))
+            x, sums = cut[again]
+            at = np.concatenate([[0], np.searchsorted(x, cuts), [n]])
+            part = np.diff(sums[at]).reshape(first, parts)
+            size = np.diff(at).reshape(first, parts)
+            sig = part[:, columns].sum(axis=2, dtype=np.uint64) + salts
+            full = size[:, columns].sum(axis=2) > 0
+            settled = (~full.all(axis=1)).sum() < first - reach(share, n, high) // (spoilt + 1)
+            out.append(_mix(sig[full] if settled or again < RETRIES else sig.reshape(-1)))
+            if settled:
+                break
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -166,14 +187,144 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def possible(a: str, b: str, share: Fraction) -> F.Column:
-    """Whether two sets, by size and sketch (structs with n, sk and wide), can be similar; never false for similar ones."""
+    """Whether two sets, by size and sketch (structs with n, sk and wide; null if unknown), can be similar; never false for similar ones."""
     p, q = share.numerator, share.denominator
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     flips = lambda upto: sum((F.bit_count(F.col(f"{a}.sk")[i].bitwiseXOR(F.col(f"{b}.sk")[i])) for i in range(upto)), F.lit(0))
     x, y = F.col(f"{a}.wide"), F.col(f"{b}.wide")
     more = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda u, v: u + v)
     near = lambda bits: bits * (p + q) <= (n + m) * (q - p)
-    return (F.least(n, m) * q >= F.greatest(n, m) * p) & near(flips(4)) & near(flips(16)) & ((F.size(x) == 0) | (F.size(y) == 0) | near(more))
+    return F.coalesce((F.least(n, m) * q >= F.greatest(n, m) * p) & near(flips(4)) & near(flips(16)) & ((F.size(x) == 0) | (F.size(y) == 0) | near(more)), F.lit(True))
+
+
+#: Sets of one leader are compared in blocks of about so many.
+BLOCK = 512
+
+
+class Sketches:
+    """Sets of one block: ids, components, sizes and sketches, compared with each other's as whole arrays."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        self.ids, self.component, self.n = (rows[c].to_numpy(np.int64) for c in ("a", "c", "n"))
+        self.known = rows["known"].to_numpy(bool)
+        self.narrow = np.stack(rows["sk"].to_list()).view(np.uint64) if len(rows) else np.empty((0, 16), np.uint64)
+        self.wide = [np.asarray(w).view(np.uint64) for w in rows["wide"]]
+
+    def possible(self, other: Sketches, share: Fraction) -> list[tuple[int, int]]:
+        """Pairs (id here, id there) of different components that ``possible`` does not rule out."""
+        p, q = share.numerator, share.denominator
+        out = []
+        for at in range(0, len(self.ids), 64):
+            here = slice(at, at + 64)
+            n, m = self.n[here, None], other.n[None]
+            unknown = ~(self.known[here, None] & other.known[None])
+            i, j = np.nonzero((self.component[here, None] != other.component[None]) & ((np.minimum(n, m) * q >= np.maximum(n, m) * p) | unknown))
+            i += at
+            for upto in (4, 16):
+                flips = np.bitwise_count(self.narrow[i, :upto] ^ other.narrow[j, :upto]).sum(axis=1, dtype=np.int64)
+                keep = (flips * (p + q) <= (self.n[i] + other.n[j]) * (q - p)) | ~(self.known[i] & other.known[j])
+                i, j = i[keep], j[keep]
+            for x, y in zip(i.tolist(), j.tolist()):
+                u, v = self.wide[x], other.wide[y]
+                if self.known[x] and other.known[y] and len(u) and len(v) and int(np.bitwise_count(u ^ v).sum()) * (p + q) > (int(self.n[x]) + int(other.n[y])) * (q - p):
+                    continue
+                out.append((int(self.ids[x]), int(other.ids[y])))
+        return out
+
+
+def across(members: DataFrame, share: Fraction) -> DataFrame:
+    """(a, b), pairs of sets of one leader but different components that their sketches do not rule out.
+
+    members: (b, a, c, s), the leader, the set, its component and its sketch. A leader's
+    sets are dealt by hash into blocks of about BLOCK, and every two blocks meet under a
+    key of their own, so that no leader's sets land in one task; only what is left of the
+    comparison is put out.
+    """
+    sizes = members.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("b", "blocks")
+    dealt = members.join(written(sizes), "b").withColumn("i", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ["b", "low", "high"]
+    dealt = dealt.select("b", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), (F.col("i") > F.col("j")).alias("second"), "a", "c", F.coalesce("s.n", F.lit(0)).alias("n"), F.col("s").isNotNull().alias("known"), F.coalesce("s.sk", F.array_repeat(F.lit(0).cast("long"), 16)).alias("sk"), F.coalesce("s.wide", F.array().cast("array<long>")).alias("wide"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def met(rows: pd.DataFrame) -> list[tuple[int, int]]:
+            if rows["low"].iloc[0] == rows["high"].iloc[0]:
+                one = Sketches(rows)
+                return [(x, y) for x, y in one.possible(one, share) if x < y]
+            return Sketches(rows[~rows["second"]]).possible(Sketches(rows[rows["second"]]), share)
+
+        def done(rows: pd.DataFrame, last: bool) -> tuple[list[tuple[int, int]], pd.DataFrame]:
+            """The pairs of all whole groups, and the rows of the last one, which may go on."""
+            values = rows[key].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]).any(axis=1)]))
+            ends = np.append(starts[1:], len(rows))
+            whole = len(starts) if last else len(starts) - 1
+            found = [pair for s, e in zip(starts[:whole], ends[:whole]) if e - s > 1 for pair in met(rows.iloc[s:e])]
+            return found, rows.iloc[starts[whole] :] if whole < len(starts) else rows.iloc[:0]
+
+        for b in batches:
+            if len(b):
+                found, rest = done(pd.concat([*held, b], ignore_index=True), False)
+                held = [rest]
+                yield pd.DataFrame(found, columns=["x", "y"]).astype("int64")
+        if held and len(held[0]):
+            yield pd.DataFrame(done(held[0], True)[0], columns=["x", "y"]).astype("int64")
+
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = dealt.repartition(n, *key).sortWithinPartitions(*key).mapInPandas(compare, "x long, y long")
+    return found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def signed(slim: DataFrame, share: Fraction, words: int) -> DataFrame:
+    """Rows of two sorts from slim (k, none, t): (sig, k, near) for signatures and (k, own) for each row itself.
+
+    own: two hashes of the set, its size, whether the id is null, and the sketches. Sets that are
+    equal give their signatures once for a stretch of rows. Of the sets with one signature in a
+    stretch, the one of smallest id stands for the others, which name it as ``near``: so a
+    signature that a large part of all rows have is combined before it is moved.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
+        shingles, given = Shingler(words), set()
+        keys: list[int] = []
+        sigs: list[np.ndarray] = []
+
+        def combined() -> pd.DataFrame:
+            sig, who = np.concatenate(sigs), np.repeat(np.array(keys, np.int64), [len(x) for x in sigs])
+            order = np.lexsort((who, sig))
+            sig, who = sig[order], who[order]
+            first = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.empty(0, bool)
+            near = who[first][np.cumsum(first) - 1] if len(sig) else who
+            again = ~first & (near != who)
+            one = pd.DataFrame({"sig": _signed(sig[first]), "k": who[first]}).assign(near=None, own=None)
+            two = pd.DataFrame({"sig": _signed(sig[again]), "k": who[again], "near": pd.array(near[again], "Int64")}).assign(own=None)
+            keys.clear()
+            sigs.clear()
+            return one if two.empty else pd.concat([one.astype({"near": "Int64"}), two], ignore_index=True)
+
+        for b in batches:
+            own = []
+            for k, none, t in zip(b["k"], b["none"], b["t"]):
+                s = shingles(t)
+                blob = s.tobytes()
+                x = xxhash.xxh3_128_intdigest(blob)
+                own.append(np.concatenate([np.array([x >> 64, x & (1 << 64) - 1], np.uint64).view(np.int64), np.array([len(s), none], np.int64), sketch(s), sketch(s, 4096) if len(s) >= WIDE_FROM else np.empty(0, np.int64)]))
+                if len(s) and not none and x not in given:
+                    given.add(x)
+                    keys.append(k)
+                    sigs.append(signatures(s, share))
+                    if len(keys) >= 2048 or sum(map(len, sigs[-64:])) > 200_000:
+                        yield combined()
+                if len(given) > 200_000:
+                    given.clear()
+            yield pd.DataFrame({"sig": 0, "k": b["k"], "near": None, "own": pd.Series(own, index=b.index, dtype=object)})
+        if keys:
+            yield combined()
+
+    return slim.mapInPandas(run, "sig long, k long, near long, own array<long>")
 
 
 def ngram_join(docs: DataFrame, share: Fraction = Fraction(85, 100), words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,49 +338,33 @@ def ngram_join(docs: DataFrame, share: Fraction = Fraction(85, 100), words: int
     one document for the links, which it has by any of its texts. An empty table
     gives no rows; other columns are ignored.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("k"), F.col(id_col).isNull().alias("none"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     p, q = share.numerator, share.denominator
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingler(words)
-
-        def table(keys: list, sigs: list, own: list) -> pd.DataFrame:
-            rows = np.array([len(x) for x in sigs])
-            about = np.full(rows.sum(), None, object)
-            about[np.cumsum(rows) - rows] = pd.Series(own, dtype=object).to_numpy()
-            return pd.DataFrame({"sig": _signed(np.concatenate(sigs)), "k": np.repeat(np.array(keys, np.int64), rows), "own": about})
-
-        for b in batches:
-            keys, sigs, own = [], [], []
-            for k, t in zip(b["k"], b["t"]):
-                s, none = shingles(t), pd.isna(k)
-                blob = s.tobytes()
-                keys.append(-1 if none else k)
-                sigs.append(np.concatenate([np.array([xxhash.xxh3_64_intdigest(blob)], np.uint64), signatures(s, share) if not none else np.empty(0, np.uint64)]))
-                own.append(np.concatenate([np.array([xxhash.xxh3_64_intdigest(blob, 1) >> 1, len(s), none], np.int64), sketch(s), sketch(s, 4096) if len(s) >= WIDE_FROM else np.empty(0, np.int64)]))
-                if len(keys) >= 512:
-                    yield table(keys, sigs, own)
-                    keys, sigs, own = [], [], []
-            if keys:
-                yield table(keys, sigs, own)
-
-    signed = slim.mapInPandas(sign, "sig long, k long, own array<long>")
-    least = F.min(F.when(F.col("own").isNull() | (F.col("own")[2] == 0), F.col("k"))).over(Window.partitionBy("sig"))
-    met = written(signed.withColumn("m", least).where("own is not null or m < k"))
+    # what is not the one row of its signature in a stretch takes no part in the search for the least and is spread
+    salt = F.when(F.col("own").isNull() & F.col("near").isNull(), F.lit(0)).otherwise(F.xxhash64("k", "sig"))
+    least = F.min("k").over(Window.partitionBy("sig", "salt"))
+    met = signed(slim, share, words).withColumn("salt", salt).withColumn("m", F.coalesce("near", least)).drop("salt")
+    met = written(met.where("own is not null or m < k"))
     own = F.col("own")
-    rows = met.where("own is not null").select("sig", "k", own[0].alias("x"), own[1].alias("n"), (own[2] == 1).alias("none"), F.slice("own", 4, 16).alias("sk"), F.slice("own", 20, 64).alias("wide"))
-    # one document stands for all with the same set
-    same = rows.where("not none and n > 0").groupBy("sig", "x", "n").agg(F.min("k").alias("c"), F.first("sk").alias("sk"), F.first("wide").alias("wide"))
-    classes = written(rows.where("not none").select("k", "sig", "x", "n").join(same, ["sig", "x", "n"], "left").select("k", "n", F.coalesce("c", "k").alias("c"), "sk", "wide"))
-    named = classes.where("sk is not null").select("k", "c").distinct()
-    sketches = classes.where("sk is not null").groupBy("c").agg(F.first(F.struct("n", "sk", "wide")).alias("s"))
+    rows = met.where("own is not null").select("k", own[0].alias("y"), own[1].alias("x"), own[2].alias("n"), (own[3] == 1).alias("none"), F.slice("own", 5, 16).alias("sk"), F.slice("own", 21, 64).alias("wide"))
+    full = rows.where("not none and n > 0")
+    # one document stands for all with the same set; only sets that occur twice or more are in this table
+    same = written(full.groupBy("y", "x", "n").agg(F.min("k").alias("c"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
+    classes = written(rows.where("not none").join(same, ["y", "x", "n"], "left").select("k", "n", F.coalesce("c", "k").alias("c"), "y", F.struct("n", "sk", "wide").alias("s")))
+    named = classes.where("n > 0").select("k", "c").distinct()
+    # an id with several texts has no one sketch
+    sketches = classes.where("n > 0 and k = c").groupBy("c").agg(F.when(F.min("y") == F.max("y"), F.first("s")).alias("s"))
 
     def part(df: DataFrame, of: str, name: str, value: DataFrame) -> DataFrame:
         """df with what value (key, value) has for a column."""
         key, got = value.columns
         return df.join(value.select(F.col(key).alias(of), F.col(got).alias(name)), of, "left")
 
-    pairs = met.where("own is null").select("k", "m").distinct()
+    # the least of all that have a signature, for those that named the least of their stretch
+    leader = met.where("own is null and near is null").select("sig", F.col("m").alias("to")).distinct()
+    pairs = met.where("own is null").join(leader, "sig", "left")
+    pairs = pairs.select("k", F.coalesce("to", "m").alias("m")).where("k <> m").distinct()
     pairs = part(part(pairs, "k", "a", named), "m", "b", named).where("a <> b")
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = written(part(part(pairs, "a", "x", sketches), "b", "y", sketches).select("a", "b", possible("x", "y", share).alias("maybe")))
@@ -247,7 +382,7 @@ def ngram_join(docs: DataFrame, share: Fraction = Fraction(85, 100), words: int
                     found.append((x.a, x.b))
             yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    texts = slim.where("k is not null")
+    texts = slim.where("not none")
 
     def links(which: DataFrame) -> DataFrame:
         """The pairs (a, b) of similar documents, by their whole texts."""
@@ -262,9 +397,7 @@ def ngram_join(docs: DataFrame, share: Fraction = Fraction(85, 100), words: int
     inside = written(inside.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
     open_ = inside.where("ca <> cb").select("b").distinct()
     member = part(inside.join(open_, "b"), "a", "s", sketches).select("b", "a", F.col("ca").alias("c"), "s")
-    one, two = member.withColumnRenamed("s", "s1").alias("u"), member.withColumnRenamed("s", "s2").alias("v")
-    meet = (F.col("u.b") == F.col("v.b")) & (F.col("u.c") < F.col("v.c")) & possible("s1", "s2", share)
-    more = written(one.join(two, meet).select(F.col("u.a").alias("a"), F.col("v.a").alias("b")).distinct())
+    more = written(across(written(member), share))
     more = part(part(links(more), "a", "ca", first), "b", "cb", first).select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     second = connected_components(more)
     final = first.join(second.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select(F.col("id").alias("c"), F.coalesce("to", "component").alias("component_id"))

@@ -92,8 +92,10 @@ def thresholds(slim: DataFrame, weights: tuple[int, ...], repeat: int) -> DataFr
     return slim.sparkSession.createDataFrame(rows, schema)
 
 
-def copies() -> F.Column:
-    return (F.col("_base") + (F.col("_h") < F.col("_low")).cast("long")).alias("copies")
+def copies(plan: str = "", own: str = "_h") -> F.Column:
+    """How often a row with a hash is taken, by the columns of ``thresholds`` (in a struct of that name)."""
+    at = f"`{plan}`." if plan else ""
+    return (F.col(f"{at}_base") + (F.col(own) < F.col(f"{at}_low")).cast("long")).alias("copies")
 
 
 def slimmed(docs: DataFrame, seed: str, id_col: str) -> DataFrame:
@@ -119,7 +121,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeat: int = 3,
 
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeat: int = 3, seed: str = "mix:", id_col: str = "doc_id") -> DataFrame:
-    """docs with every row as often as ``mix`` takes it (0 to ``repeat`` times); the columns stay, and no text is moved."""
+    """docs (id_col, source, text and any others) with every row as often as ``mix`` takes it, 0 to ``repeat`` times.
+
+    The columns stay as they are and may have any name; no text is moved. Edge cases are
+    those of ``mix``.
+    """
     plan = thresholds(slimmed(docs, seed, id_col), weights, repeat)
-    both = docs.withColumn("_h", id_hash(id_col, seed)).join(plan, docs["source"].eqNullSafe(plan["_s"])).withColumn("_copies", copies())
-    return both.where("_copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    mine = "_mix"
+    while mine in docs.columns:
+        mine += "_"
+    rule = plan.select(F.struct("*").alias(mine))
+    both = docs.join(rule, docs["source"].eqNullSafe(F.col(f"`{mine}`._s"))).withColumn(mine, F.struct(id_hash(id_col, seed).alias("h"), f"`{mine}`.*"))
+    both = both.withColumn(mine, copies(mine, f"`{mine}`.h")).where(F.col(f"`{mine}`") > 0)
+    return both.withColumn(mine, F.explode(F.sequence(F.lit(1), F.col(f"`{mine}`")))).drop(mine)

@@ -10,8 +10,8 @@ resulting probabilities and decides which candidates become spans beside the bas
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import forget, written
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -80,14 +80,24 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def wide_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Candidates of the wider patterns that touch no base span and no earlier candidate."""
-    busy, out = sorted((s, e) for _, s, e in taken), []
+    starts: list[int] = []  # of what is taken, joined where it overlaps, in order
+    ends: list[int] = []
+    out = []
+    for s, e in sorted((s, e) for _, s, e in taken):
+        if starts and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     for kind, pattern, needs in _WIDE:
         if needs and not needs.search(text):
             continue
         for m in pattern.finditer(text):
             s, e = m.span()
-            if not any(a < e and s < b for a, b in busy):
-                busy.append((s, e))
+            at = bisect_left(starts, e)  # the last that starts before this one's end
+            if not at or ends[at - 1] <= s:
+                starts.insert(at, s)
+                ends.insert(at, e)
                 out.append((kind, s, e))
     return out
 
@@ -219,27 +229,24 @@ def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
     once, and nothing but spans is kept of it.
     """
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"k": b["k"], "found": pd.Series([scanned(t) for t in b["t"]], index=b.index, dtype=object)})
+    @F.pandas_udf("array<array<int>>")
+    def scan(texts: pd.Series) -> pd.Series:
+        return pd.Series([scanned(t) for t in texts], index=texts.index, dtype=object)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    seen = written(slim.mapInPandas(scan, f"k {kind}, found array<array<int>>"))
+    seen = written(docs.select(F.col(id_col).alias("k"), scan(F.coalesce(F.col(text_col), F.lit(""))).alias("found")))
     theta = fit(seen.select(F.explode("found").alias("x")))
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for found in b["found"]:
-                base, extra = decided(found, theta, threshold)
-                out.append((*(sum(s[0] == kind for s in base) for kind in KINDS), joined(base), joined(base + extra), len(extra)))
-            done = pd.DataFrame(out, columns=[*[f"n_{x}" for x in KINDS], "base", "spans", "n_added"])
-            yield done.assign(k=b["k"].array)
-
     counts = ", ".join(f"n_{x} long" for x in KINDS)
-    out = seen.mapInPandas(decide, f"k {kind}, {counts}, base string, spans string, n_added long")
-    return out.withColumnRenamed("k", id_col)
+
+    @F.pandas_udf(f"{counts}, base string, spans string, n_added long")
+    def decide(column: pd.Series) -> pd.DataFrame:
+        out = []
+        for found in column:
+            base, extra = decided(found, theta, threshold)
+            out.append((*(sum(s[0] == kind for s in base) for kind in KINDS), joined(base), joined(base + extra), len(extra)))
+        return pd.DataFrame(out, columns=[*[f"n_{x}" for x in KINDS], "base", "spans", "n_added"])
+
+    return seen.select(F.col("k").alias(id_col), decide("found").alias("x")).select(id_col, "x.*")
 
 
 def base_digest(base: str = "base") -> F.Column:
@@ -264,22 +271,26 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 def mask_pii(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """docs with their personal data masked; every row and column stays, a null text too.
 
-    Reads the text twice, to learn and to mask, and moves none of it.
+    Reads the text twice, to learn and to mask, and moves none of it. The other columns,
+    of whatever name and type, do not pass through Python. Rows that repeat are masked
+    alike; an empty table gives no rows.
     """
 
     def patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for b in batches:
             yield pd.DataFrame({"x": pd.Series([x for t in b["t"] for x in scanned(t)], dtype=object)})
 
     theta = fit(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInPandas(patterns, "x array<int>"))
 
-    def mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            text = []
-            for t in b[text_col]:
+    @F.pandas_udf("string")
+    def mask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
+        for texts in batches:
+            out = []
+            for t in texts:
                 found = scanned(t)
-                text.append(masked(t, [s for some in decided(found, theta, threshold) for s in some]) if found else t)
-            b[text_col] = pd.Series(text, index=b.index, dtype=object)
-            yield b
+                out.append(masked(t, [s for some in decided(found, theta, threshold) for s in some]) if found else t)
+            yield pd.Series(out, index=texts.index, dtype=object)
 
-    return docs.mapInPandas(mask, docs.schema)
+    return docs.withColumn(text_col, mask(F.col(text_col)))

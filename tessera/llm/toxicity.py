@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import forget, written
+
 WORDS = re.compile(r"[^\W\d_]+")
 STEMS = range(4, 9)
 #: Terms shorter than this are found only as they stand, stems from one letter more.
@@ -109,7 +111,7 @@ class TermAutomaton:
         return (best[3], best[0]) if best else None
 
 
-def learn_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int, ratio: float, least: int, most: int) -> dict[str, float]:
+def learn_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int, ratio: float, least: int) -> dict[str, float]:
     """{term: log odds}: words and stems (``abc*``) that toxic documents have ``ratio`` times as often as clean ones.
 
     counts: documents with a term (toxic, clean). A stem replaces the longer stems and
@@ -125,7 +127,7 @@ def learn_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int, rati
         word = t.rstrip("*")
         if not any(word[:k] + "*" in out for k in STEMS if k <= len(word) - t.endswith("*")):
             out[t] = odds[t]
-    return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:most])
+    return dict(sorted(out.items(), key=lambda x: (-x[1], x[0])))
 
 
 FEATURES = 9
@@ -203,19 +205,24 @@ def fit(x: np.ndarray, y: np.ndarray, decay: float = 0.01, rounds: int = 30) ->
 
 
 def is_held_out(id_col: str) -> F.Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    """Whether crc32 of the id as text is divisible by 5; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, ratio: float = 30.0, least: int = 5, share: float = 0.004, most: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, float], np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, ratio: float = 30.0, least: int = 5, share: float = 0.004, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, float], np.ndarray]:
     """(terms, weights) learned from labelled rows that are not held out, at most ``sample`` of them, in the order of their id's hash.
 
-    A term stands in at least ``least`` toxic documents, and in that share of them. Without
-    toxic or clean rows there are no terms and all texts score alike.
+    A term stands in at least ``least`` toxic documents, and in that share of them; there is
+    no other bound on the terms, whose number the sample's texts limit. An id with several
+    labels is toxic if one of them is; of an id with several texts the least is taken.
+    Without toxic or clean rows there are no terms and all texts score alike. Only the
+    sample is read more than once.
     """
     rows = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(id_col))
     rows = rows.groupBy(F.col(id_col).alias("_k")).agg(F.max("toxic").alias("_y")).orderBy(F.xxhash64("_k"), "_k").limit(sample)
     # at most `sample` pairs of small numbers
-    texts = docs.select(F.col(id_col).alias("_k"), F.col(text_col).alias("_t")).join(F.broadcast(rows), "_k").where("_t is not null").select("_t", F.col("_y").cast("int").alias("_y"))
+    texts = docs.select(F.col(id_col).alias("_k"), F.col(text_col).alias("_t")).join(F.broadcast(rows), "_k").where("_t is not null")
+    texts = written(texts.groupBy("_k").agg(F.min("_t").alias("_t"), F.first("_y").cast("int").alias("_y")).select("_t", "_y"))
 
     sizes = {r[0]: r[1] for r in texts.groupBy(F.col("_y") != 0).count().collect()}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
@@ -245,8 +252,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, ratio: float
     least = max(least, math.ceil(share * toxic))
     telling = (F.col("a") + 0.5) * (clean + 1) >= (F.col("b") + 0.5) * (0.999 * ratio * (toxic + 1))
     counts = counts.where((F.col("a") >= least) & telling)
-    found = {r[0]: (r[1], r[2]) for r in counts.orderBy(F.desc("a"), "t").limit(50 * most).collect()}
-    terms = learn_terms(found, toxic, clean, ratio, least, most)
+    found = {r[0]: (r[1], r[2]) for r in counts.collect()}
+    terms = learn_terms(found, toxic, clean, ratio, least)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = Scorer(terms)
@@ -257,30 +264,36 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, ratio: float
     return terms, fit(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float))
 
 
-def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' columns with ``score`` (0 to 1), ``predicted`` and ``n_finds``; null text counts as empty, which has the score of a text without finds."""
+def score_of(text: F.Column, model: tuple[dict[str, float], np.ndarray]) -> F.Column:
+    """The score of a text column, and whether it has any find; null text counts as empty. No other column passes through Python."""
     terms, theta = model
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("score double, found boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget()
         measure = Scorer(terms)
         for b in batches:
-            x = np.array([measure(t or "") for t in b["_t"]]).reshape(len(b), FEATURES)
-            p = 1 / (1 + np.exp(-(x @ theta[:-1] + theta[-1])))
-            yield b.drop(columns="_t").assign(score=p, predicted=(p >= 0.5).astype("int32"), found=x[:, 0] + x[:, 1] + x[:, 2] + x[:, 3] > 0)
+            x = np.array([measure(t or "") for t in b]).reshape(len(b), FEATURES)
+            yield pd.DataFrame({"score": 1 / (1 + np.exp(-(x @ theta[:-1] + theta[-1]))), "found": x[:, 0] + x[:, 1] + x[:, 2] + x[:, 3] > 0})
 
-    kept = docs.select(id_col, F.col(text_col).alias("_t"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    return kept.mapInPandas(run, f"{id_col} {kind}, score double, predicted int, found boolean")
+    return run(text)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """docs without the rows that a model learned from labels predicts toxic; the columns stay."""
-    terms, theta = train(docs, labels, id_col=id_col, text_col=text_col, **options)
+def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, score, predicted, found) for each row: 0 to 1, 1 from a score of 0.5 on, and whether the text has any term.
+
+    Null text counts as empty, which has the score of a text without finds. Rows that
+    repeat score alike, rows with a null id like any other; an empty table gives no rows.
+    """
+    found = docs.select(id_col, score_of(F.col(text_col), model).alias("_x"))
+    return found.select(id_col, "_x.score", (F.col("_x.score") >= 0.5).cast("int").alias("predicted"), "_x.found")
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        measure = Scorer(terms)
-        for b in batches:
-            x = np.array([measure(t or "") for t in b[text_col]]).reshape(len(b), FEATURES)
-            yield b[1 / (1 + np.exp(-(x @ theta[:-1] + theta[-1]))) < 0.5]
 
-    return docs.mapInPandas(keep, docs.schema)
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """docs without the rows that a model learned from labels predicts toxic.
+
+    All columns stay as they are, of whatever name and type, since only the text passes
+    through Python; null texts, null and repeated ids are rows like any other.
+    """
+    model = train(docs, labels, id_col=id_col, text_col=text_col, **options)
+    return docs.where(score_of(F.col(text_col), model)["score"] < 0.5)

@@ -14,7 +14,8 @@ import html
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable
 from functools import cache
 
 import pandas as pd
@@ -68,7 +69,10 @@ def parse(page: str) -> list[Node]:
     are ignored, and elements whose text is never shown are left out whole.
     """
     nodes, stack = [Node("html", -1)], [0]
+    open_at: dict[str, list[int]] = defaultdict(list)  # places in the stack by tag, so that no search walks it
     opened: list[str] = []  # inline elements since the last block
+    n_opened: Counter = Counter()
+    absent: set[str] = set()  # what does not occur in the rest of the page
     run: list[str] = []
     links = 0
 
@@ -87,9 +91,29 @@ def parse(page: str) -> list[Node]:
         nonlocal links
         if text:
             run.append(text)
-            if "a" in opened or "button" in opened:
+            if n_opened["a"] or n_opened["button"]:
                 links += len(text)
 
+    def cut(place: int) -> None:
+        """Closes the block at that place of the stack and all in it."""
+        while len(stack) > place:
+            open_at[nodes[stack.pop()].tag].pop()
+
+    def none_opened() -> None:
+        opened.clear()
+        n_opened.clear()
+
+    def find(what: str) -> int:
+        """Where this comes next; -1 if never."""
+        where = -1 if what in absent else low.find(what, at)
+        if where < 0:
+            absent.add(what)
+        return where
+
+    def highest(tags: Iterable[str]) -> int:
+        """The last place in the stack, beyond the root, of any of the tags; 0 for none."""
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
     at, n = 0, len(page)
     low = None
     while at < n:
@@ -105,9 +129,9 @@ def parse(page: str) -> list[Node]:
             if tag in DROPPED:
                 if not m.group(3).endswith("/") or tag not in ("svg", "math"):
                     low = low if low is not None else page.lower()
-                    end = low.find(f"</{tag}", at)
+                    end = find(f"</{tag}")
                     if tag == "head":  # left out up to what cannot stand in it
-                        ends = [x for x in (end, low.find("<body", at)) if x >= 0]
+                        ends = [x for x in (end, find("<body")) if x >= 0]
                         end = min(ends) if ends else -1
                         at = at if end < 0 else end
                     else:
@@ -122,40 +146,38 @@ def parse(page: str) -> list[Node]:
                     run.append(" ")
                 elif tag not in VOID:
                     opened.append(tag)
+                    n_opened[tag] += 1
             else:
                 flush()
-                if tag in ("html", "body") and any(nodes[i].tag == tag for i in stack):
+                if tag == "html" or (tag == "body" and open_at["body"]):
                     continue
-                if nodes[stack[-1]].tag == "p":
-                    stack.pop()
+                if len(stack) > 1 and nodes[stack[-1]].tag == "p":
+                    cut(len(stack) - 1)
                 ends = ENDS.get(tag)
-                if ends:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if nodes[stack[i]].tag in ends:
-                            del stack[i:]
-                            if tag not in ("thead", "tbody", "tfoot", "tr"):
-                                break
-                        elif nodes[stack[i]].tag in SCOPE and nodes[stack[i]].tag not in ends:
-                            break
-                opened.clear()
+                while ends and (place := highest(ends)) > highest(SCOPE - ends):
+                    cut(place)
+                    if tag not in ("thead", "tbody", "tfoot", "tr"):
+                        break
+                none_opened()
                 if tag not in VOID:
                     nodes.append(Node(tag, stack[-1], m.group(3)))
                     nodes[stack[-1]].children += 1
+                    open_at[tag].append(len(stack))
                     stack.append(len(nodes) - 1)
         elif close:
             close = close.lower()
             if close in INLINE:
-                if close in opened:
-                    del opened[len(opened) - 1 - opened[::-1].index(close) :]
+                while n_opened[close]:
+                    last = opened.pop()
+                    n_opened[last] -= 1
+                    if last == close:
+                        break
             elif close not in DROPPED:
                 flush()
-                for i in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[i]].tag == close:
-                        del stack[i:]
-                        opened.clear()
-                        break
-                    if close == "p" and nodes[stack[i]].tag != "p":
-                        break
+                place = highest((close,))
+                if place and (close != "p" or place == len(stack) - 1):
+                    cut(place)
+                    none_opened()
         elif m.group().startswith("<![CDATA["):
             put(html.escape(m.group()[9:-3]))
     flush()
@@ -427,11 +449,9 @@ def extract_pages(pages: DataFrame, weights: Weights | None = None, id_col: str
     """
     learned = weights or default_weights()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            text = [extract(h, learned) for h in b["_html"]]
-            yield b.drop(columns="_html").assign(text=text, n_chars=[len(t) for t in text])
+    @F.pandas_udf("string")
+    def run(html: pd.Series) -> pd.Series:
+        return pd.Series([extract(h, learned) for h in html], index=html.index, dtype=object)
 
-    slim = pages.select(id_col, *keep, F.col(html_col).alias("_html"))
-    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
-    return slim.mapInPandas(run, f"{kinds}, text string, n_chars long")
+    found = pages.select(id_col, *keep, run(F.col(html_col)).alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))

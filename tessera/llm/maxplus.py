@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import held, written
 
 SPACE = "▁"
 #: Longest chunk, in code points of the prepared text.
@@ -469,18 +469,19 @@ def chunk_matrix(v: Vocabulary, part: str, low: int, begin: int, end: int, final
     return v.transfer(part, begin, end, final)
 
 
-def settle(matrices: list[Matrix]) -> list[tuple[State, State]]:
-    """The states at both borders of each chunk on the one path through all of them.
+def settle(matrices: list[Matrix], entry: State = (0, START), leave: State | None = None) -> list[tuple[State, State]]:
+    """The states at both borders of each matrix on the path from one state through all of them to another, or to the best.
 
     Products from the left say which states can be reached, one pass from the right
     which of them the end comes from.
     """
-    reach = [{(0, START): {(0, START): 0.0}}]
+    reach = [{entry: {entry: 0.0}}]
     for m in matrices:
         reach.append(compose(reach[-1], m))
-    out, state = [], max(reach[-1][0, START].items(), key=lambda x: x[1])[0]
+    state = leave or max(reach[-1][entry].items(), key=lambda x: x[1])[0]
+    out = []
     for k in range(len(matrices) - 1, -1, -1):
-        come = next(s for s, row in matrices[k].items() if state in row and s in reach[k][0, START])
+        come = next(s for s, row in matrices[k].items() if state in row and s in reach[k][entry])
         out.append((come, state))
         state = come
     return out[::-1]
@@ -500,27 +501,72 @@ def encode_text(v: Vocabulary, text: str, chunk: int = CHUNK) -> bytes:
     return b"".join(out)
 
 
-_LOADED: dict[str, Vocabulary] = {}
-
-
 def vocabulary(path: str) -> Vocabulary:
-    """One for each file and worker."""
-    if path not in _LOADED:
-        _LOADED[path] = Vocabulary(path)
-    return _LOADED[path]
+    """The worker's own, kept from task to task."""
+    return held(("maxplus", path), lambda: Vocabulary(path))
 
 
 DIGEST = "n_ids long, ids_crc32 long, decoded_sha256 string"
+#: More code points than any piece of a model has.
+LONGEST = 64
+#: So many matrices are combined in one step of the tree.
+FAN_IN = 16
 
 
-def digested(v: Vocabulary, keys: pd.Series, ids: list[bytes]) -> pd.DataFrame:
-    return pd.DataFrame({"k": keys, "n_ids": [len(x) // 4 for x in ids], "ids_crc32": [zlib.crc32(x) for x in ids], "decoded_sha256": [hashlib.sha256(v.decode(x).encode()).hexdigest() for x in ids]})
+def digested(v: Vocabulary, ids: Iterable[bytes]) -> pd.DataFrame:
+    return pd.DataFrame([(len(x) // 4, zlib.crc32(x), hashlib.sha256(v.decode(x).encode()).hexdigest()) for x in ids], columns=["n_ids", "ids_crc32", "decoded_sha256"])
 
 
 def product(matrices: list[Matrix]) -> Matrix:
     return reduce(compose, matrices)
 
 
+def listed(m: Matrix) -> list[list[int]]:
+    return [[*s, *t, int(w)] for s, row in m.items() for t, w in row.items()]
+
+
+def unlisted(entries: Iterable[np.ndarray]) -> Matrix:
+    m: Matrix = {}
+    for a, x, c, y, w in entries:
+        m.setdefault((int(a), int(x)), {})[int(c), int(y)] = float(w)
+    return m
+
+
+def borders(matrices: DataFrame) -> DataFrame:
+    """(row, at, x): the states (end, piece, end, piece) at both borders of every chunk, on its text's one path.
+
+    matrices: (row, at, m), at being the chunk's number. Up a tree, neighbours are combined into
+    their product, FAN_IN at a time, until a text is one matrix; down it, the borders of
+    a product settle those of the matrices it was made of. So no task holds more than
+    FAN_IN matrices, however long a text is.
+    """
+
+    def up(b: pd.DataFrame) -> pd.DataFrame:
+        m = product([unlisted(x) for x in b.sort_values("at")["m"]])
+        return pd.DataFrame({"row": [b["row"].iloc[0]], "at": [b["at"].iloc[0] // FAN_IN], "m": [listed(m)]})
+
+    def down(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("at")
+        x = b["x"].iloc[0]
+        ends = ((0, START), None) if x is None else ((int(x[0]), int(x[1])), (int(x[2]), int(x[3])))
+        return pd.DataFrame({"row": b["row"], "at": b["at"], "x": [[*s, *t] for s, t in settle([unlisted(m) for m in b["m"]], *ends)]})
+
+    levels = [written(matrices)]
+    most = levels[0].agg(F.max("at")).first()[0] or 0
+    while most >= FAN_IN:
+        levels.append(written(levels[-1].groupBy("row", F.floor(F.col("at") / FAN_IN)).applyInPandas(up, "row string, at int, m array<array<int>>")))
+        most //= FAN_IN
+    settled = None
+    for level in reversed(levels):
+        above = level.withColumn("above", F.floor(F.col("at") / FAN_IN).cast("int"))
+        if settled is None:
+            above = above.withColumn("x", F.lit(None).cast("array<int>"))
+        else:
+            above = above.join(settled.select("row", F.col("at").alias("above"), "x"), ["row", "above"])
+        settled = above.groupBy("row", "above").applyInPandas(down, "row string, at int, x array<int>")
+    return settled
+
+
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, digest: bool = False) -> DataFrame:
     """(id_col, ids) of each row: the ids of its whole text in binary (little-endian, 32 bits).
 
@@ -530,65 +576,53 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     A text of one chunk is encoded where it stands. The chunks of a longer one are
     rows of their own, which meet only as transfer matrices, by a key of the text's own,
     and are put together at the end. Null and empty texts have no ids. Repeated rows are
-    encoded each. Columns beside id_col and text_col are ignored.
+    encoded each; ids may be null. Columns beside id_col and text_col are ignored, and
+    only text passes through Python.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     size = F.length("t") + 1  # with the space put before it
+    result = ["n_ids", "ids_crc32", "decoded_sha256"] if digest else ["ids"]
 
-    def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = vocabulary(model)
-        for b in batches:
-            for at in range(0, len(b), 1500):
-                some = b.iloc[at : at + 1500]
-                ids = v.encode_short([v.prepare(t) for t in some["t"]])
-                yield digested(v, some["k"], ids) if digest else pd.DataFrame({"k": some["k"], "ids": ids})
+    @F.pandas_udf(DIGEST if digest else "ids binary")
+    def short(texts: pd.Series) -> pd.DataFrame:
+        v, parts = vocabulary(model), []
+        for at in range(0, len(texts), 1500):
+            ids = v.encode_short([v.prepare(t) for t in texts.iloc[at : at + 1500]])
+            parts.append(digested(v, ids) if digest else pd.DataFrame({"ids": ids}))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=result)
 
-    small = slim.where(size <= chunk).mapInPandas(short, f"k {kind}, {DIGEST if digest else 'ids binary'}")
+    small = slim.where(size <= chunk).select("k", short("t").alias("x")).select("k", "x.*")
 
-    longest = 64  # more than any piece of a model
     prepared = F.concat(F.lit(SPACE), F.translate("t", " ", SPACE))
     giant = slim.where(size > chunk).select("k", F.expr("uuid()").alias("row"), prepared.alias("t"), size.alias("n"))
     cut = giant.select("k", "row", "t", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(chunk))).alias("begin"))
-    low = F.greatest(F.col("begin") - 2 * longest, F.lit(0))
-    pieces = written(cut.select("k", "row", "n", "begin", low.alias("low"), F.least(F.col("begin") + chunk, "n").alias("end"), F.substring("t", low + 1, F.least(F.col("begin") + chunk, "n") + 1 - low).alias("t")))
+    low = F.greatest(F.col("begin") - 2 * LONGEST, F.lit(0))
+    cut = cut.select("k", "row", "n", "begin", (F.col("begin") / chunk).cast("int").alias("at"), low.alias("low"), F.least(F.col("begin") + chunk, "n").alias("end"), F.substring("t", low + 1, F.least(F.col("begin") + chunk, "n") + 1 - low).alias("t"))
+    pieces = written(cut)
 
     def flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(model)
+        if v.longest >= LONGEST:
+            raise ValueError(f"a piece of {v.longest} code points")
         for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                m = chunk_matrix(v, r.t, r.low, r.begin, r.end, r.end == r.n)
-                rows.append((r.row, r.begin, [[*s, *t, int(w)] for s, row in m.items() for t, w in row.items()]))
-            yield pd.DataFrame(rows, columns=["row", "begin", "m"])
-
-    def meet(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("begin")
-        ms: list[Matrix] = []
-        for entries in b["m"]:
-            m: Matrix = {}
-            for a, x, c, y, w in entries:
-                m.setdefault((int(a), int(x)), {})[int(c), int(y)] = float(w)
-            ms.append(m)
-        return pd.DataFrame({"row": b["row"], "begin": b["begin"], "x": [[*s, *t] for s, t in settle(ms)]})
-
-    def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows = [(r.row, r.at, listed(chunk_matrix(v, r.t, r.low, r.begin, r.end, r.end == r.n))) for r in b.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["row", "at", "m"])
+
+    @F.pandas_udf("binary")
+    def back(t: pd.Series, low: pd.Series, begin: pd.Series, end: pd.Series, x: pd.Series) -> pd.Series:
         v = vocabulary(model)
-        for b in batches:
-            ids = [v.trace(r.t, r.begin - r.low, r.end - r.low, (r.x[0] - r.low, r.x[1]), (r.x[2] - r.low, r.x[3]))[1] for r in b.itertuples(index=False)]
-            yield pd.DataFrame({"k": b["k"], "row": b["row"], "begin": b["begin"], "ids": ids})
+        return pd.Series([v.trace(t, b - o, e - o, (x[0] - o, x[1]), (x[2] - o, x[3]))[1] for t, o, b, e, x in zip(t, low, begin, end, x)])
 
-    matrices = pieces.select("row", "n", "begin", "low", "end", "t").mapInPandas(flat, "row string, begin int, m array<array<int>>")
-    borders = matrices.groupBy("row").applyInPandas(meet, "row string, begin int, x array<int>")
-    traced = pieces.join(borders, ["row", "begin"]).mapInPandas(back, f"k {kind}, row string, begin int, ids binary")
-    parts = traced.groupBy("row", "k").agg(F.array_sort(F.collect_list(F.struct("begin", "ids"))).alias("x"))
+    matrices = pieces.select("row", "at", "n", "begin", "low", "end", "t").mapInPandas(flat, "row string, at int, m array<array<int>>")
+    traced = pieces.join(borders(matrices), ["row", "at"]).select("k", "row", "at", back("t", "low", "begin", "end", "x").alias("ids"))
+    parts = traced.groupBy("row", "k").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("x"))
     joined = F.aggregate("x", F.lit(b"").cast("binary"), lambda a, y: F.concat(a, y["ids"]))
     whole = parts.select("k", joined.alias("ids"))
 
-    def sum_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield digested(vocabulary(model), b["k"], b["ids"].tolist())
+    @F.pandas_udf(DIGEST)
+    def sum_up(ids: pd.Series) -> pd.DataFrame:
+        return digested(vocabulary(model), ids)
 
     if digest:
-        whole = whole.mapInPandas(sum_up, f"k {kind}, {DIGEST}")
+        whole = whole.select("k", sum_up("ids").alias("x")).select("k", "x.*")
     return small.union(whole).withColumnRenamed("k", id_col)

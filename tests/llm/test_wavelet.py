@@ -25,14 +25,13 @@ def test_access_rank_select(ids):
         assert w.occurrences(s) == at.tolist()
 
 
-TEXTS = ["It's  a\n\ntest \t x² ½ Ⅷ 42", "", "don't_stop... ÉÜß 漢字𓀀", "a" * 3000, " lead and trail ", "<|endoftext|> is text", "\x1c\x1f odd　space", "é ०१२", None]
+TEXTS = ["It's  a\n\ntest \t x² ½ Ⅷ 42", "", "don't_stop... ÉÜß 漢字𓀀", "a" * 3000, " lead and trail ", "<|endoftext|> is a token", "a <|endoftext|> b<|endoftext|>", "it's 's 'll we'll, they'velo x''s !'s 're\n't \n\n 'd''m'x '", "\x1c\x1f odd　space", "é ०१२", None]
 
 
 def whole(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -51,10 +50,42 @@ def test_pieces_of_any_text(text):
         from tokenizers import Tokenizer
 
         _encoder, _whole = PieceEncoder(PATH), Tokenizer.from_file(PATH)
-        _whole.encode_special_tokens = True
     assert np.frombuffer(_encoder([text])[0], "<u4").tolist() == _whole.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_as_text():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    text = "a <|endoftext|> b"
+    assert PieceEncoder(PATH, ordinary=True)([text])[0] == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_cuts_like_the_pattern():
+    import random
+
+    import regex
+
+    rng, e = random.Random(5), PieceEncoder(PATH)
+    for _ in range(400):
+        texts = ["".join(rng.choice("a é'svreld 1²._\n\t　漢😀Z") for _ in range(rng.randrange(40))) for _ in range(rng.randrange(1, 6))]
+        whole = "".join(texts)
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        ends, want = np.cumsum([len(t) for t in texts]), []
+        for t, end in zip(texts, ends):
+            want += [m.start() + end - len(t) for m in regex.finditer(public_tokenizers.PATTERN, t)]
+        if whole:
+            assert e._cuts(points, ends).tolist() == want, texts
+
+
+def test_long_text_in_stretches():
+    e = PieceEncoder(PATH)
+    e.AT_ONCE = 50
+    text = "It's a long text,  with numbers 1 22 333 \n and   more. " * 40 + "x" * 500 + "   " * 50 + "end"
+    assert np.frombuffer(e([text, "a", text])[2], "<u4").tolist() == whole(text)
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_files_hold_the_ids(spark, parts):
     rows = [(3 * i - 4, t, "x") for i, t in enumerate(TEXTS)] + [(None, "no id", "y"), (2, "twice", "z")]

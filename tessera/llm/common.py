@@ -34,6 +34,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
+#: Bytes of one batch of rows that goes to a Python worker, unless the session has less; one row may be longer.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in batches bounded by bytes, so that what a task holds does not grow with their length."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and stored as Parquet in the shared folder.
 
@@ -42,6 +54,7 @@ def written(df: DataFrame) -> DataFrame:
     before the next step writes its own.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch_dir(spark)
     df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()

@@ -586,8 +586,8 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     @F.pandas_udf(DIGEST if digest else "ids binary")
     def short(texts: pd.Series) -> pd.DataFrame:
         v, parts = vocabulary(model), []
-        for at in range(0, len(texts), 1500):
-            ids = v.encode_short([v.prepare(t) for t in texts.iloc[at : at + 1500]])
+        for at in range(0, len(texts), 600):
+            ids = v.encode_short([v.prepare(t) for t in texts.iloc[at : at + 600]])
             parts.append(digested(v, ids) if digest else pd.DataFrame({"ids": ids}))
         return pd.concat(parts) if parts else pd.DataFrame(columns=result)
 

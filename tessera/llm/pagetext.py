@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches
+
 # fixed values of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("script style noscript template iframe object svg math head title textarea select canvas audio video".split())
@@ -448,6 +450,7 @@ def extract_pages(pages: DataFrame, weights: Weights | None = None, id_col: str
     repeat give the same text each; an empty table gives no rows.
     """
     learned = weights or default_weights()
+    small_batches(pages.sparkSession)
 
     @F.pandas_udf("string")
     def run(html: pd.Series) -> pd.Series:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import forget, written
+from tessera.llm.common import forget, small_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -281,6 +281,7 @@ def mask_pii(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") ->
         for b in batches:
             yield pd.DataFrame({"x": pd.Series([x for t in b["t"] for x in scanned(t)], dtype=object)})
 
+    small_batches(docs.sparkSession)
     theta = fit(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInPandas(patterns, "x array<int>"))
 
     @F.pandas_udf("string")

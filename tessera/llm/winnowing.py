@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches
 from tessera.llm.ordering import LEAST, default_parts, id_cuts, part_of
 
 #: A shared passage of 15 code points is found for sure, so half of every text from 29 on.
@@ -108,6 +109,7 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The driver sees one id for each range.
     """
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(id_col).isNull().alias("none"))
+    small_batches(docs.sparkSession)
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("k"))
     cuts = id_cuts(ids, "k", parts or default_parts(docs))
     heads = dict(ids.groupBy(part_of("k", cuts).alias("p")).agg(F.max("k")).collect())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import number, search_text
+from tessera.operators.tenancy import keyed
 
 TITLES = ("локальный ресурсный сметный расчет", "локальный сметный расчет", "локальная смета")
 LOCAL_HEADER = ("обоснование", "наименование", "единица", "количество")
@@ -23,11 +24,11 @@ def any_of(c: Column, words: tuple[str, ...]) -> Column:
 
 def header_rows(cells: DataFrame, labels: tuple[str, ...]) -> DataFrame:
     """DO19: the first row of each sheet whose text has all labels."""
-    rows = cells.groupBy("sheet", "row").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda x: search_text(x["value"]))).alias("t"))
+    rows = cells.groupBy(*keyed(cells, "sheet", "row")).agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda x: search_text(x["value"]))).alias("t"))
     hit = rows
     for label in labels:
         hit = hit.where(F.col("t").contains(label))
-    return hit.groupBy("sheet").agg(F.min("row").alias("header_row"))
+    return hit.groupBy(*keyed(cells, "sheet")).agg(F.min("row").alias("header_row"))
 
 
 def templates(cells: DataFrame) -> DataFrame:
@@ -64,6 +65,94 @@ def section_totals(items: DataFrame) -> DataFrame:
     return items.groupBy("sheet", "section").agg(F.count("*").alias("items"), F.round(F.sum("price"), 2).alias("price"))
 
 
+def table_rows(cells: DataFrame, columns: int) -> DataFrame:
+    """Rows below the first table header of each sheet, but for those that number columns: first text, the last cell of each column, largest and last number.
+
+    cells: (sheet, row, col, value, pos); a sheet without a header is taken whole.
+    """
+    keys = keyed(cells, "sheet")
+    header = header_rows(cells, ("обоснование", "наименование"))
+    integer = F.trim("value").rlike("^[0-9]+$")
+    v = number(F.col("value"))
+    place = F.struct("col", "pos")
+    rows = cells.groupBy(*keys, "row").agg(
+        F.trim(F.min_by("value", place)).alias("first"),
+        *[F.max_by("value", F.when(F.col("col") == k, F.col("pos"))).alias(f"c{k}") for k in range(1, columns + 1)],
+        F.max_by(v, F.when(v.isNotNull(), F.struct(F.abs(v).alias("size"), (-F.col("col")).alias("at")))).alias("largest"),
+        F.max_by(v, F.when(v.isNotNull(), place)).alias("last"),
+        ((F.count("*") >= 4) & (F.count_if(integer) == F.count("*")) & (F.size(F.collect_set(F.when(integer, F.trim("value").cast("decimal(38,0)")))) >= 4)).alias("numbers"),
+    )
+    rows = rows.join(header, keys, "left").where((F.col("row") > F.coalesce("header_row", F.lit(0))) & ~F.col("numbers")).drop("header_row", "numbers")
+    return rows.withColumn("text", search_text(F.col("first")))
+
+
+def filled(c: Column) -> Column:
+    """The text with single spaces; null if it has none."""
+    t = F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.when(t != "", t)
+
+
+def is_item(unit: str) -> Column:
+    """A row with a whole number as its position, a name and a unit."""
+    return F.trim("c1").rlike("^[0-9]+$") & filled(F.col("c3")).isNotNull() & filled(F.col(unit)).isNotNull()
+
+
+def local_estimate(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """DO20: (sections, items) of local estimates.
+
+    items: (sheet, section, row, position, basis, name, unit, quantity and six costs).
+    sections: (sheet, section, section_number, title, items, overhead, estimated_profit,
+    total_cost, warning); section 0 holds the items before the first heading. The last
+    row of a section with a kind of total gives it, as the number of largest size; rows
+    of the whole estimate and totals before anything else give none.
+    """
+    rows = table_rows(cells, 14)
+    keys = keyed(cells, "sheet")
+    heading = F.coalesce(F.col("first").rlike(r"(?iu)^раздел\s+(\d+)\.?\s*(.*)$"), F.lit(False))
+    total = F.when(F.col("text").contains("накладные расходы"), "overhead").when(F.col("text").contains("сметная прибыль"), "estimated_profit").when(F.col("text").contains("итого"), "total_cost")
+    item = ~heading & F.coalesce(is_item("c6"), F.lit(False))
+    to_here = Window.partitionBy(*keys).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("heading", heading).withColumn("item", item)
+    rows = rows.withColumn("section", F.sum(F.col("heading").cast("int")).over(to_here)).withColumn("begun", F.max(F.col("item") | F.col("heading")).over(to_here))
+    rows = rows.withColumn("total", F.when(~F.col("heading") & F.col("begun") & ~F.col("text").contains("по смете"), total))
+    n = lambda k: number(F.col(f"c{k}"))
+    costs = ("unit_cost", "total_cost", "labor_cost", "machine_cost", "machinist_labor_cost", "material_cost")
+    items = rows.where("item").select(
+        *keys, "section", "row", F.trim("c1").alias("position"), filled(F.col("c2")).alias("basis"), filled(F.col("c3")).alias("name"), filled(F.col("c6")).alias("unit"),
+        number(F.coalesce("c8", "c7")).alias("quantity"), *[n(9 + i).alias(c) for i, c in enumerate(costs)],
+    )
+    of = lambda kind: F.max_by("largest", F.when((F.col("total") == kind) & F.col("largest").isNotNull(), F.col("row")))
+    sections = rows.where("begun").groupBy(*keys, "section").agg(
+        F.max(F.when(F.col("heading"), F.regexp_extract("first", r"(?iu)^раздел\s+(\d+)", 1))).alias("section_number"), F.max(F.when(F.col("heading"), filled(F.col("first")))).alias("title"),
+        F.count_if("item").alias("items"), *[of(k).alias(k) for k in ("overhead", "estimated_profit", "total_cost")],
+    )
+    none = F.sum("items").over(Window.partitionBy(*keys)) == 0
+    return sections.withColumn("warning", F.when(none, "local_estimate_items_missing")), items
+
+
+def resource_statement(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """DO21: (groups, resources) of resource statements.
+
+    resources: (sheet, group, row, position, code, name, unit, quantity, unit_cost,
+    total_cost). groups: (sheet, group, title, resources, total_cost, warning); a group begins
+    with its title, its total is the last number of the last row that begins with a total
+    and has one, and rows before the first group count nowhere.
+    """
+    rows = table_rows(cells, 7)
+    keys = keyed(cells, "sheet")
+    to_here = Window.partitionBy(*keys).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("heading", F.col("text").isin(*GROUPS)).withColumn("total", F.col("text").startswith("итого"))
+    rows = rows.withColumn("group", F.sum(F.col("heading").cast("int")).over(to_here)).where("group > 0")
+    rows = rows.withColumn("item", ~F.col("heading") & ~F.col("total") & F.coalesce(is_item("c4"), F.lit(False)))
+    n = lambda k: number(F.col(f"c{k}"))
+    resources = rows.where("item").select(*keys, "group", "row", F.trim("c1").alias("position"), filled(F.col("c2")).alias("code"), filled(F.col("c3")).alias("name"), filled(F.col("c4")).alias("unit"), n(5).alias("quantity"), n(6).alias("unit_cost"), n(7).alias("total_cost"))
+    groups = rows.groupBy(*keys, "group").agg(
+        F.max(F.when(F.col("heading"), filled(F.col("first")))).alias("title"), F.count_if("item").alias("resources"), F.max_by("last", F.when(F.col("total") & F.col("last").isNotNull(), F.col("row"))).alias("total_cost")
+    )
+    none = F.sum("resources").over(Window.partitionBy(*keys)) == 0
+    return groups.withColumn("warning", F.when(none, "resource_statement_rows_missing")), resources
+
+
 def value_above(cells: DataFrame, label: str, rows: int = 4) -> DataFrame:
     """W5/DO22: above the first cell of each sheet with a label, in the nearest of four rows with text, the longest text without the label."""
     t = search_text(F.col("value"))

@@ -5,15 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.tenancy import keyed
+
 
 def node_documents(nodes: DataFrame, placements: DataFrame, versions: DataFrame, codes: DataFrame) -> DataFrame:
-    """J2/J6/A9/DO26: documents placed on mark nodes, with the first code of their version if there is one."""
-    at = nodes.where("kind = 'mark'").select(F.col("id").alias("node_id"))
-    placed = placements.select("node_id", "version_id", F.col("status").alias("placement"))
-    known = versions.select(F.col("id").alias("vid"), F.concat(F.lit("V"), F.col("id")).alias("version_id"), "status")
-    first = codes.groupBy(F.col("version_id").alias("k")).agg(F.min_by("raw", "id").alias("raw"))
-    out = at.join(placed, "node_id").join(known, "version_id").join(first, F.col("vid") % 97 == F.col("k"), "left")
-    return out.select("node_id", F.col("vid").alias("version_id"), "status", "placement", F.coalesce("raw", F.lit("")).alias("code"))
+    """J2/J6/A9/DO26: documents placed on mark nodes, with the first code of their version if there is one.
+
+    nodes (id, kind), placements (node_id, version_id, status), versions (id, status), codes (id, version_id, raw).
+    """
+    at = nodes.where("kind = 'mark'").select(*keyed(nodes), F.col("id").alias("node_id"))
+    placed = placements.select(*keyed(nodes, "node_id", "version_id"), F.col("status").alias("placement"))
+    known = versions.select(*keyed(nodes), F.col("id").alias("version_id"), "status")
+    first = codes.groupBy(*keyed(nodes, "version_id")).agg(F.min_by("raw", "id").alias("raw"))
+    out = at.join(placed, keyed(nodes, "node_id")).join(known, keyed(nodes, "version_id")).join(first, keyed(nodes, "version_id"), "left")
+    return out.select(*keyed(nodes, "node_id", "version_id"), "status", "placement", F.coalesce("raw", F.lit("")).alias("code"))
+
+
+def fallback_documents(placements: DataFrame, versions: DataFrame, codes: DataFrame) -> DataFrame:
+    """DO26: documents without a place in the tree: no placement, or one without a node; with their first code."""
+    placed = placements.where("node_id is not null").select(*keyed(versions, "version_id")).distinct()
+    known = versions.select(*keyed(versions), F.col("id").alias("version_id"), "status").join(placed, keyed(versions, "version_id"), "left_anti")
+    first = codes.groupBy(*keyed(versions, "version_id")).agg(F.min_by("raw", "id").alias("raw"))
+    return known.join(first, keyed(versions, "version_id"), "left").select(*keyed(versions, "version_id"), "status", F.coalesce("raw", F.lit("")).alias("code"))
 
 
 def warning(version_status: str = "status", placement: str = "placement") -> F.Column:
@@ -28,12 +41,12 @@ def warning(version_status: str = "status", placement: str = "placement") -> F.C
 
 
 def summary(versions: DataFrame, placements: DataFrame) -> DataFrame:
-    """A13/DO17: status, counts and warning codes of each document set."""
-    placed = placements.select(F.expr("CAST(substr(version_id, 2) AS BIGINT)").alias("id"), F.col("status").alias("placement"))
-    rows = versions.join(placed, "id", "left").withColumn("warning", warning())
+    """A13/DO17: status, counts and warning codes of each document set; placements have the ids of versions."""
+    placed = placements.select(*keyed(versions), F.col("version_id").alias("id"), F.col("status").alias("placement"))
+    rows = versions.join(placed, keyed(versions, "id"), "left").withColumn("warning", warning())
     ended = F.count_if(F.col("status").isin("ready", "failed", "unsupported"))
     status = F.when(ended < F.count("*"), "processing").when(F.count("warning") > 0, "completed_with_warnings").otherwise("completed")
-    return rows.groupBy("set_id").agg(F.count("*").alias("versions"), F.count("warning").alias("warnings"), status.alias("status"), F.array_join(F.array_sort(F.collect_set("warning")), "|").alias("codes"))
+    return rows.groupBy(*keyed(versions, "set_id")).agg(F.count("*").alias("versions"), F.count("warning").alias("warnings"), status.alias("status"), F.array_join(F.array_sort(F.collect_set("warning")), "|").alias("codes"))
 
 
 def newest_sets(sets: DataFrame, results: DataFrame, limit: int) -> DataFrame:

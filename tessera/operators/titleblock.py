@@ -5,17 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.tenancy import keyed
 
-def source_fields(rows: DataFrame, mapping: DataFrame, fallback: str = "form3") -> DataFrame:
-    """DO7: rows (doc, form, field, text, pos) with the role of each field in its form; forms that the mapping has not are read as the fallback."""
+
+def source_fields(rows: DataFrame, mapping: DataFrame, fallback: str = "form3", how: str = "inner") -> DataFrame:
+    """DO7: rows (doc, form, field, text, pos) with the role of each field in its form; forms that the mapping has not are read as the fallback. With ``how`` left, fields without a role stay."""
     known = mapping.select("form").distinct().withColumn("_k", F.lit(True))
     rows = rows.join(F.broadcast(known), "form", "left").withColumn("form", F.when(F.col("_k"), F.col("form")).otherwise(fallback)).drop("_k")
-    return rows.join(F.broadcast(mapping), ["form", "field"])
+    return rows.join(F.broadcast(mapping), ["form", "field"], how)
+
+
+#: What a field of a title block can be.
+ROLES = ("document_designation", "documentation_stage", "construction_object_name", "sheet_title", "product_or_document_name", "sheet_number")
+
 
+def interpret(documents: DataFrame, fields: DataFrame) -> DataFrame:
+    """DO8/A9: the six roles of each document's title block, its status and warnings.
 
-def interpret(rows: DataFrame, mapping: DataFrame) -> DataFrame:
-    """DO8/A9: first value of each role of a document, and whether its own code is clear, disputed or missing."""
-    f = source_fields(rows, mapping).groupBy("doc", "role").agg(F.min_by("text", "pos").alias("v"), F.count_distinct("text").alias("n"))
-    of = lambda role, c="v": F.max(F.when(F.col("role") == role, F.col(c)))
-    out = f.groupBy("doc").agg(of("own_code").alias("own_code"), of("stage").alias("stage"), of("own_code", "n").alias("n"))
-    return out.select("doc", "own_code", "stage", F.when(F.col("own_code").isNull(), "missing").when(F.col("n") > 1, "ambiguous").otherwise("interpreted").alias("status"))
+    documents: (doc, has_fields), whether a title block was read; fields: (doc, role, extraction, text,
+    pos) of every field. A role has the value of its first field that was extracted. A
+    document is ``interpreted`` if it has a designation, ``ambiguous`` if it has fields
+    but no designation, else ``missing``; warnings are joined by a bar.
+    """
+    of = lambda role: F.min_by(F.when(F.trim("text") != "", F.col("text")), F.when((F.col("role") == role) & (F.col("extraction") == "extracted"), F.col("pos")))
+    keys = keyed(documents, "doc")
+    found = fields.groupBy(*keys).agg(*[of(r).alias(r) for r in ROLES], F.count("*").alias("_n"))
+    rows = documents.join(found, keys, "left")
+    lost = F.when(F.col(ROLES[0]).isNull(), "title_block_document_designation_missing")
+    status = F.when(F.col(ROLES[0]).isNotNull(), "interpreted").when(F.col("_n") > 0, "ambiguous").otherwise("missing")
+    return rows.select(*keys, *ROLES, status.alias("status"), F.concat_ws("|", F.when(~F.col("has_fields"), "stamp_source_fields_missing"), lost).alias("warnings"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as ge
 from tessera.operators import pagegrid as pg
+from tessera.operators.titleblock import ROLES, interpret, source_fields
 from tessera.plans.fixtures import ctes, fixture, table
 
 Q: dict[str, object] = {}
@@ -94,18 +95,16 @@ def ocr_gate(spark: SparkSession, d: str) -> DataFrame:
 GRID = "SELECT DISTINCT l_suppkey AS grp, CAST(l_orderkey % 12 AS INT) AS row, CAST(l_partkey % 6 AS INT) AS col, CASE WHEN l_orderkey % 12 > 8 THEN 40 ELSE 10 + l_orderkey % 3 END AS height, (l_orderkey % 12) * 3 + l_partkey % 6 BETWEEN 2 AND 24 AS evidence FROM {lineitem} WHERE l_linenumber = 1"
 
 
-@query("cv15_footer_trim", "WITH c AS (" + GRID.format(lineitem="lineitem") + """), k AS (SELECT c.* FROM c JOIN (SELECT grp, min(col) AS f FROM c WHERE evidence GROUP BY 1) USING (grp) WHERE col >= f), r AS (SELECT grp, row, max(height) AS h, bool_or(evidence) AS e, count(*) AS n FROM k GROUP BY 1, 2),
+CV15_SQL = "WITH c AS (" + GRID.format(lineitem="lineitem") + """), k AS (SELECT c.* FROM c JOIN (SELECT grp, min(col) AS f FROM c WHERE evidence GROUP BY 1) USING (grp) WHERE col >= f), r AS (SELECT grp, row, max(height) AS h, bool_or(evidence) AS e, count(*) AS n FROM k GROUP BY 1, 2),
  u AS (SELECT grp, median(h) AS mh, median(n) AS mn FROM r WHERE e GROUP BY 1), s AS (SELECT *, bool_or(e) OVER (PARTITION BY grp ORDER BY row) AS seen FROM r JOIN u USING (grp)),
  z AS (SELECT grp, min(row) FILTER (seen AND NOT e AND ((mn >= 3 AND n < 0.55 * mn) OR h > 1.8 * mh)) AS stop FROM s GROUP BY 1), l AS (SELECT s.grp, row FROM s JOIN z USING (grp) WHERE stop IS NULL OR row < stop)
- SELECT k.grp, k.row, col, dense_rank() OVER (PARTITION BY k.grp ORDER BY k.row) - 1 AS row_index, dense_rank() OVER (PARTITION BY k.grp ORDER BY col) - 1 AS column_index FROM k JOIN l ON k.grp = l.grp AND k.row = l.row""")
-def footer_trim(spark: SparkSession, d: str) -> DataFrame:
-    return pg.trim_grid(spark.sql(GRID, lineitem=table(spark, d, "lineitem")))
+ SELECT k.grp, k.row, col, dense_rank() OVER (PARTITION BY k.grp ORDER BY k.row) - 1 AS row_index, dense_rank() OVER (PARTITION BY k.grp ORDER BY col) - 1 AS column_index FROM k JOIN l ON k.grp = l.grp AND k.row = l.row"""
 
 
 GRID_WHOLE = GRID.replace("l_suppkey AS grp", "l_suppkey * 10 + l_linenumber AS grp").removesuffix(" WHERE l_linenumber = 1")
 
 
-@query("cv15_footer_trim_whole", SQL["cv15_footer_trim"].replace(GRID.format(lineitem="lineitem"), GRID_WHOLE.format(lineitem="lineitem")))
+@query("cv15_footer_trim", CV15_SQL.replace(GRID.format(lineitem="lineitem"), GRID_WHOLE.format(lineitem="lineitem")))
 def footer_trim_whole(spark: SparkSession, d: str) -> DataFrame:
     """All lines; each line number of a supplier is a grid of its own."""
     return pg.trim_grid(spark.sql(GRID_WHOLE, lineitem=table(spark, d, "lineitem")))
@@ -120,17 +119,13 @@ def strip_exclude(spark: SparkSession, d: str) -> DataFrame:
 ANCHORS = "VALUES ('form3', 1, 0, 12), ('form3', 2, 20, 34), ('form3', 3, 60, 75), ('form5', 1, 3, 9), ('form5', 2, 40, 52), ('form6', 1, 0, 99), ('form6', 2, 95, 99)"
 
 
-@query("cv8_stamp_template", f"""WITH a AS (SELECT * FROM ({ANCHORS}) t(template, anchor, low, high)), p AS (SELECT DISTINCT l_suppkey AS region, l_partkey * 7 % 100 AS pos FROM lineitem WHERE l_linenumber = 2),
+CV8_SQL = f"""WITH a AS (SELECT * FROM ({ANCHORS}) t(template, anchor, low, high)), p AS (SELECT DISTINCT l_suppkey AS region, l_partkey * 7 % 100 AS pos FROM lineitem WHERE l_linenumber = 2),
  n AS (SELECT region, template, anchor, min_by({{'pos': pos, 'off': abs(pos - (low + high) / 2)}}, {{'o': abs(pos - (low + high) / 2), 'p': pos}}) AS p FROM p JOIN a ON pos BETWEEN low AND high GROUP BY 1, 2, 3),
  r AS (SELECT *, coalesce(p.pos > lag(p.pos) OVER (PARTITION BY region, template ORDER BY anchor), true) AS up FROM n), m AS (SELECT region, template, count(*) AS met, bool_and(up) AS up, round(1 / (1 + avg(p.off)), 4) AS score FROM r GROUP BY 1, 2)
- SELECT region, max_by(template, {{'s': score, 't': template}}) AS template, max(score) AS score FROM m WHERE up AND met = (SELECT count(*) FROM a WHERE a.template = m.template) GROUP BY 1""")
-def stamp_template(spark: SparkSession, d: str) -> DataFrame:
-    anchors = spark.sql(f"SELECT * FROM ({ANCHORS}) AS t(template, anchor, low, high)")
-    lines = table(spark, d, "lineitem").where("l_linenumber = 2").select(F.col("l_suppkey").alias("region"), (F.col("l_partkey") * 7 % 100).alias("pos")).distinct()
-    return pg.stamp_template(lines, anchors)
+ SELECT region, max_by(template, {{'s': score, 't': template}}) AS template, max(score) AS score FROM m WHERE up AND met = (SELECT count(*) FROM a WHERE a.template = m.template) GROUP BY 1"""
 
 
-@query("cv8_stamp_template_whole", SQL["cv8_stamp_template"].replace("l_suppkey AS region", "l_suppkey * 10 + l_linenumber AS region").replace(" WHERE l_linenumber = 2", ""))
+@query("cv8_stamp_template", CV8_SQL.replace("l_suppkey AS region", "l_suppkey * 10 + l_linenumber AS region").replace(" WHERE l_linenumber = 2", ""))
 def stamp_template_whole(spark: SparkSession, d: str) -> DataFrame:
     """All lines; each line number of a supplier is a region of its own."""
     anchors = spark.sql(f"SELECT * FROM ({ANCHORS}) AS t(template, anchor, low, high)")
@@ -141,17 +136,15 @@ def stamp_template_whole(spark: SparkSession, d: str) -> DataFrame:
 LINES = "SELECT DISTINCT p_partkey % 21 AS page, CASE WHEN p_partkey % 2 = 0 THEN 'h' ELSE 'v' END AS axis, p_partkey * 37 % 100 AS pos FROM {part} WHERE p_partkey % 5 = 0 AND p_partkey < 3000"
 
 
-@query("cv18_stamp_rectangles", "WITH l AS (" + LINES.format(part="part") + """), q AS (SELECT b.page, l.pos AS lft, t.pos AS top, r.pos AS rgt, b.pos AS bottom, (r.pos - l.pos) / (b.pos - t.pos) AS aspect, (r.pos - l.pos) * (b.pos - t.pos) / 10000.0 AS area FROM l b JOIN l t ON b.page = t.page AND b.axis = 'h' AND t.axis = 'h' AND b.pos - t.pos BETWEEN 5 AND 60
+CV18_SQL = "WITH l AS (" + LINES.format(part="part") + """), q AS (SELECT b.page, l.pos AS lft, t.pos AS top, r.pos AS rgt, b.pos AS bottom, (r.pos - l.pos) / (b.pos - t.pos) AS aspect, (r.pos - l.pos) * (b.pos - t.pos) / 10000.0 AS area FROM l b JOIN l t ON b.page = t.page AND b.axis = 'h' AND t.axis = 'h' AND b.pos - t.pos BETWEEN 5 AND 60
  JOIN l r ON r.page = b.page AND r.axis = 'v' JOIN l ON l.page = b.page AND l.axis = 'v' AND r.pos - l.pos BETWEEN 10 AND 90), k AS (SELECT *, round(area * 10 - abs(aspect - 3.36), 6) AS s FROM q WHERE aspect BETWEEN 1.6 AND 6.2 AND area BETWEEN 0.001 AND 0.09),
- w AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY s DESC, bottom DESC, rgt DESC, lft, top) AS n FROM k) SELECT page, lft AS "left", top, rgt AS "right", bottom FROM w WHERE n = 1""")
-def stamp_rectangles(spark: SparkSession, d: str) -> DataFrame:
-    return pg.stamp_rectangles(spark.sql(LINES, part=table(spark, d, "part")))
+ w AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY s DESC, bottom DESC, rgt DESC, lft, top) AS n FROM k) SELECT page, lft AS "left", top, rgt AS "right", bottom FROM w WHERE n = 1"""
 
 
 LINES_WHOLE = LINES.replace("p_partkey % 21 AS page", "CAST(floor(p_partkey / 20) AS BIGINT) AS page").removesuffix(" WHERE p_partkey % 5 = 0 AND p_partkey < 3000")
 
 
-@query("cv18_stamp_rectangles_whole", SQL["cv18_stamp_rectangles"].replace(LINES.format(part="part"), LINES_WHOLE.format(part="part")))
+@query("cv18_stamp_rectangles", CV18_SQL.replace(LINES.format(part="part"), LINES_WHOLE.format(part="part")))
 def stamp_rectangles_whole(spark: SparkSession, d: str) -> DataFrame:
     """All parts, twenty lines a page; the pages grow with the table."""
     return pg.stamp_rectangles(spark.sql(LINES_WHOLE, part=table(spark, d, "part")))
@@ -174,17 +167,10 @@ def skip_reasons(spark: SparkSession, d: str) -> DataFrame:
 CELLS = "SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS region, l_linenumber AS row, l_partkey % 8 AS col, l_quantity AS text_px, 10 + l_partkey % 30 AS w, 5 + l_orderkey % 60 AS h FROM {lineitem}"
 
 
-@query("cv20_cell_candidates", "WITH c AS (SELECT DISTINCT ON (id) * FROM (" + CELLS.format(lineitem="lineitem") + ") WHERE id % 3 = 0 ORDER BY id, region, col, text_px, w), k AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY row, col, id) AS r FROM c) SELECT id, region, unnest(CASE WHEN h >= 1.45 * w THEN [0, 90, 270] ELSE [0] END) AS rotation FROM k WHERE r <= 240 AND text_px >= 40")
-def cell_candidates(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.sql(CELLS, lineitem=table(spark, d, "lineitem")).where("id % 3 = 0")
-    one = rows.groupBy("id").agg(F.min(F.struct("region", "col", "text_px", "w", "row", "h")).alias("m")).select("id", "m.*")
-    return pg.cell_candidates(one)
-
-
 CELLS_WHOLE = "SELECT sheet * 1000 + row AS id, supplier * 1000000 + CAST(floor(sheet / 400) AS BIGINT) AS region, line AS row, part % 8 AS col, quantity AS text_px, 10 + part % 30 AS w, 5 + sheet % 60 AS h FROM {line_rows}"
 
 
-@query("cv20_cell_candidates_whole", ctes("line_rows", more="k AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY row, col, id) AS r FROM (" + CELLS_WHOLE.format(line_rows="line_rows") + "))") + "SELECT id, region, unnest(CASE WHEN h >= 1.45 * w THEN [0, 90, 270] ELSE [0] END) AS rotation FROM k WHERE r <= 240 AND text_px >= 40")
+@query("cv20_cell_candidates", ctes("line_rows", more="k AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY row, col, id) AS r FROM (" + CELLS_WHOLE.format(line_rows="line_rows") + "))") + "SELECT id, region, unnest(CASE WHEN h >= 1.45 * w THEN [0, 90, 270] ELSE [0] END) AS rotation FROM k WHERE r <= 240 AND text_px >= 40")
 def cell_candidates_whole(spark: SparkSession, d: str) -> DataFrame:
     """All lines, each with an id of its own; regions are a supplier's lines of 400 orders."""
     return pg.cell_candidates(spark.sql(CELLS_WHOLE, line_rows=fixture(spark, d, "line_rows")))
@@ -237,25 +223,19 @@ def wide_rows(spark: SparkSession, d: str) -> DataFrame:
     return pg.wide_rows(fixture(spark, d, "words"))
 
 
-FIELDS = "VALUES ('form3', 2, 'project_name'), ('form3', 3, 'stage'), ('form3', 4, 'own_code'), ('form5', 2, 'own_code'), ('form5', 5, 'sheet')"
-BLOCK = "c AS (SELECT l_suppkey AS doc, CASE WHEN l_suppkey % 3 = 0 THEN 'form5' WHEN l_suppkey % 3 = 1 THEN 'form3' ELSE 'form9' END AS form, l_linenumber AS field, concat(l_returnflag, l_partkey) AS text, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS pos FROM lineitem WHERE l_orderkey % 7 = 0)"
+FIELDS = "VALUES ('form3', 2, 'construction_object_name'), ('form3', 3, 'documentation_stage'), ('form3', 4, 'document_designation'), ('form3', 5, 'sheet_title'), ('form5', 2, 'document_designation'), ('form5', 5, 'sheet_number'), ('form5', 6, 'product_or_document_name')"
+#: All lines; a supplier has seven documents, and an eighth without a title block.
+BLOCK = """SELECT l_suppkey * 10 + l_orderkey % 7 AS doc, CASE WHEN l_suppkey % 3 = 0 THEN 'form5' WHEN l_suppkey % 3 = 1 THEN 'form3' ELSE 'form9' END AS form, l_linenumber AS field,
+ CASE WHEN l_quantity = 7 THEN ' ' ELSE concat(l_returnflag, l_partkey) END AS text, CASE WHEN l_tax > 0.06 THEN 'empty' ELSE 'extracted' END AS extraction,
+ row_number() OVER (PARTITION BY l_suppkey, l_orderkey % 7 ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS pos FROM {lineitem}"""
+ROLE_SQL = ", ".join(f"max(v) FILTER (role = '{r}') AS {r}" for r in ROLES)
 
 
-@query("do8_title_block", f"WITH {BLOCK}, m AS (SELECT * FROM ({FIELDS}) t(form, field, role)), x AS (SELECT c.doc, c.pos, c.text, coalesce(m.role, d.role) AS role FROM c LEFT JOIN m ON m.form = c.form AND m.field = c.field LEFT JOIN m d ON d.form = 'form3' AND d.field = c.field AND c.form NOT IN (SELECT form FROM m)), f AS (SELECT doc, role, min_by(text, pos) AS v, count(DISTINCT text) AS n FROM x WHERE role IS NOT NULL GROUP BY 1, 2) SELECT doc, max(v) FILTER (role = 'own_code') AS own_code, max(v) FILTER (role = 'stage') AS stage, CASE WHEN max(v) FILTER (role = 'own_code') IS NULL THEN 'missing' WHEN max(n) FILTER (role = 'own_code') > 1 THEN 'ambiguous' ELSE 'interpreted' END AS status FROM f GROUP BY 1")
+@query("do8_title_block", "WITH c AS (" + BLOCK.format(lineitem="lineitem") + f"), m AS (SELECT * FROM ({FIELDS}) t(form, field, role)), x AS (SELECT c.*, coalesce(m.role, d.role) AS role FROM c LEFT JOIN m ON m.form = c.form AND m.field = c.field LEFT JOIN m d ON d.form = 'form3' AND d.field = c.field AND c.form NOT IN (SELECT form FROM m)), "
+  f"f AS (SELECT doc, role, arg_min(CASE WHEN trim(text) <> '' THEN [text] ELSE [NULL] END, pos)[1] AS v FROM x WHERE role IS NOT NULL AND extraction = 'extracted' GROUP BY 1, 2), k AS (SELECT DISTINCT doc, true AS has_fields FROM c UNION ALL SELECT s_suppkey * 10 + 9, false FROM supplier), "
+  f"r AS (SELECT doc, {ROLE_SQL} FROM f GROUP BY 1) SELECT k.doc, {', '.join(ROLES)}, CASE WHEN {ROLES[0]} IS NOT NULL THEN 'interpreted' WHEN has_fields THEN 'ambiguous' ELSE 'missing' END AS status, concat_ws('|', CASE WHEN NOT has_fields THEN 'stamp_source_fields_missing' END, CASE WHEN {ROLES[0]} IS NULL THEN 'title_block_document_designation_missing' END) AS warnings FROM k LEFT JOIN r ON r.doc = k.doc")
 def title_block(spark: SparkSession, d: str) -> DataFrame:
-    from tessera.operators.titleblock import interpret
-
-    rows = spark.sql("SELECT * FROM (" + BLOCK[len("c AS (") : -1].replace("lineitem", "{lineitem}") + ")", lineitem=table(spark, d, "lineitem"))
-    return interpret(rows, spark.sql(f"SELECT * FROM ({FIELDS}) AS t(form, field, role)"))
-
-
-BLOCK_WHOLE = BLOCK.replace("l_suppkey AS doc", "l_suppkey * 10 + l_orderkey % 7 AS doc").replace("PARTITION BY l_suppkey ", "PARTITION BY l_suppkey, l_orderkey % 7 ").replace(" WHERE l_orderkey % 7 = 0", "")
-
-
-@query("do8_title_block_whole", SQL["do8_title_block"].replace(BLOCK, BLOCK_WHOLE))
-def title_block_whole(spark: SparkSession, d: str) -> DataFrame:
-    """All lines; a supplier has seven documents."""
-    from tessera.operators.titleblock import interpret
-
-    rows = spark.sql("SELECT * FROM (" + BLOCK_WHOLE[len("c AS (") : -1].replace("lineitem", "{lineitem}") + ")", lineitem=table(spark, d, "lineitem"))
-    return interpret(rows, spark.sql(f"SELECT * FROM ({FIELDS}) AS t(form, field, role)"))
+    rows = spark.sql(BLOCK, lineitem=table(spark, d, "lineitem"))
+    fields = source_fields(rows, spark.sql(f"SELECT * FROM ({FIELDS}) AS t(form, field, role)"), how="left")
+    documents = rows.select("doc").distinct().withColumn("has_fields", F.lit(True)).union(table(spark, d, "supplier").select(F.col("s_suppkey") * 10 + 9, F.lit(False)))
+    return interpret(documents, fields)

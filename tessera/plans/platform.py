@@ -191,10 +191,28 @@ def event_or_payload(spark: SparkSession, d: str) -> DataFrame:
     return fixture(spark, d, "log").where((F.col("id") % 10 < 8) & (own | (F.get_json_object("payload", "$.k") == "5"))).select("id")
 
 
+def placed(spark: SparkSession, d: str) -> DataFrame:
+    """Placements by the ids of versions, which the fixture writes as text."""
+    return fixture(spark, d, "placements").withColumn("version_id", F.substring("version_id", 2, 20).cast("long"))
+
+
+def version_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Codes of versions: the fixture's first 97 documents lend theirs to every 97th."""
+    of = fixture(spark, d, "versions").select(F.col("id").alias("v"), (F.col("id") % 97).alias("version_id"))
+    return fixture(spark, d, "codes").groupBy("version_id").agg(F.min_by("raw", "id").alias("raw"), F.min("id").alias("id")).join(of, "version_id").select("id", F.col("v").alias("version_id"), "raw")
+
+
+@query("do26_fallback_documents", ctes("placements", "versions", "codes", more="x AS (SELECT version_id, min_by(raw, id) AS raw FROM codes GROUP BY 1)") + """SELECT v.id AS version_id, v.status, coalesce(x.raw, '') AS code FROM versions v LEFT JOIN x ON x.version_id = v.id % 97
+ WHERE NOT EXISTS (SELECT 1 FROM placements p WHERE p.version_id = concat('V', v.id) AND p.status <> 'unplaced')""")
+def fallback_documents(spark: SparkSession, d: str) -> DataFrame:
+    at = placed(spark, d).withColumn("node_id", F.when(F.col("status") != "unplaced", F.col("node_id")))
+    return fa.fallback_documents(at, fixture(spark, d, "versions"), version_codes(spark, d))
+
+
 @query("j2_node_documents", ctes("nodes", "placements", "versions", "codes", more="x AS (SELECT version_id, min_by(raw, id) AS raw FROM codes GROUP BY 1)") + """SELECT n.id AS node_id, v.id AS version_id, v.status, p.status AS placement, coalesce(x.raw, '') AS code FROM nodes n JOIN placements p ON p.node_id = n.id JOIN versions v ON concat('V', v.id) = p.version_id
  LEFT JOIN x ON x.version_id = v.id % 97 WHERE n.kind = 'mark'""")
 def node_documents(spark: SparkSession, d: str) -> DataFrame:
-    return fa.node_documents(*(fixture(spark, d, x) for x in ("nodes", "placements", "versions", "codes")))
+    return fa.node_documents(fixture(spark, d, "nodes"), placed(spark, d), fixture(spark, d, "versions"), version_codes(spark, d))
 
 
 @query("a13_baseline_summary", ctes("versions", "placements", more="""w AS (SELECT v.set_id, v.id, v.status, CASE WHEN v.status = 'unsupported' THEN 'unsupported_file_format' WHEN v.status = 'failed' THEN 'document_version_processing_failed'
@@ -202,7 +220,7 @@ def node_documents(spark: SparkSession, d: str) -> DataFrame:
  SELECT set_id, count(*) AS versions, count(warning) AS warnings, CASE WHEN count(*) FILTER (status IN ('ready', 'failed', 'unsupported')) < count(*) THEN 'processing' WHEN count(warning) > 0 THEN 'completed_with_warnings' ELSE 'completed' END AS status,
  coalesce(string_agg(DISTINCT warning, '|' ORDER BY warning), '') AS codes FROM w GROUP BY 1""")
 def summary(spark: SparkSession, d: str) -> DataFrame:
-    return fa.summary(fixture(spark, d, "versions"), fixture(spark, d, "placements"))
+    return fa.summary(fixture(spark, d, "versions"), placed(spark, d))
 
 
 @query("j7_document_set_list", ctes("versions", more="s AS (SELECT set_id, count(*) AS files, max(created_at) AS at FROM versions GROUP BY 1)") + """SELECT s.set_id, files, coalesce(r.status, 'not_started') AS status, coalesce(r.warnings, 0) AS warnings FROM s LEFT JOIN (SELECT set_id, 'processing' AS status, count(*) FILTER (status = 'failed') AS warnings FROM versions WHERE set_id % 3 = 0 GROUP BY 1) r USING (set_id)

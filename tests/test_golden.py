@@ -104,7 +104,7 @@ def test_redelivery_without_checkpoint(spark):
 
 def test_set_status(spark):
     versions = spark.createDataFrame([(1, 7, "ready"), (2, 8, "created"), (3, 9, "ready"), (4, 9, "failed")], "id long, set_id long, status string")
-    placed = spark.createDataFrame([("V1", "placed"), ("V3", "ambiguous")], "version_id string, status string")
+    placed = spark.createDataFrame([(1, "placed"), (3, "ambiguous")], "version_id long, status string")
     got = {r.set_id: (r.status, r.codes) for r in fa.summary(versions, placed).collect()}
     assert got == {7: ("completed", ""), 8: ("processing", "document_identity_unplaced"), 9: ("completed_with_warnings", "document_version_processing_failed|project_structure_placement_ambiguous")}
 

@@ -353,8 +353,8 @@ def ngram_join(docs: DataFrame, share: Fraction = Fraction(85, 100), words: int
     same = written(full.groupBy("y", "x", "n").agg(F.min("k").alias("c"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
     classes = written(rows.where("not none").join(same, ["y", "x", "n"], "left").select("k", "n", F.coalesce("c", "k").alias("c"), "y", F.struct("n", "sk", "wide").alias("s")))
     named = classes.where("n > 0").select("k", "c").distinct()
-    # an id with several texts has no one sketch
-    sketches = classes.where("n > 0 and k = c").groupBy("c").agg(F.when(F.min("y") == F.max("y"), F.first("s")).alias("s"))
+    # an id with several texts has no one sketch; written, so that a join on a hot id has no aggregate in the way of its splitting
+    sketches = written(classes.where("n > 0 and k = c").groupBy("c").agg(F.when(F.min("y") == F.max("y"), F.first("s")).alias("s")))
 
     def part(df: DataFrame, of: str, name: str, value: DataFrame) -> DataFrame:
         """df with what value (key, value) has for a column."""
@@ -395,7 +395,7 @@ def ngram_join(docs: DataFrame, share: Fraction = Fraction(85, 100), words: int
 
     inside = part(part(pairs.select("a", "b"), "a", "ca", first), "b", "cb", first)
     inside = written(inside.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
-    open_ = inside.where("ca <> cb").select("b").distinct()
+    open_ = written(inside.where("ca <> cb").select("b").distinct())
     member = part(inside.join(open_, "b"), "a", "s", sketches).select("b", "a", F.col("ca").alias("c"), "s")
     more = written(across(written(member), share))
     more = part(part(links(more), "a", "ca", first), "b", "cb", first).select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))

@@ -79,6 +79,13 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.filteraudit import audit, failures
+
+    rows = audit(failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    return rows.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
 #: The same rule with a sort: documents in hash order, until the middle of one passes the rest of the target.
 OP6 = r"""
 WITH d AS (
@@ -100,10 +107,30 @@ FROM o
 """
 
 
+#: Every order is applied to every document: the first filter of the order that it fails removes it.
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) < doc_id AS e FROM documents),
+g AS (SELECT part, CAST(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS INT) AS good, CAST(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS INT) AS toxic,
+        concat(CASE WHEN len(w) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END,
+               CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) THEN 'C' ELSE '' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN e THEN 'E' ELSE '' END) AS fails FROM d),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM g GROUP BY 1, 2),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS f FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+h AS (SELECT part, filter_order, step, f, n, good, toxic, contains(fails, f) AS bad, len(fails) = 1 AS single, regexp_matches(fails, '[' || substr(filter_order, 1, step - 1) || '-]') AS gone FROM c, s),
+r AS (SELECT part, filter_order, step, f, CAST(coalesce(sum(n) FILTER (NOT gone AND NOT bad), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (NOT gone AND bad), 0) AS BIGINT) AS removed,
+        CAST(coalesce(sum(n) FILTER (gone AND bad), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (bad AND single), 0) AS BIGINT) AS unique_fails,
+        CAST(coalesce(sum(good) FILTER (NOT gone AND bad), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (NOT gone AND bad), 0) AS BIGINT) AS toxic_lost FROM h GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
+"""
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_ngram_join, op2_wavelet_shards, op3_pseudo_likelihood, op4_permutation_index, op5_sentencepiece, op6_mix_sources, op7_toxicity, op8_winnowing, op9_pii_spans, op10_page_text)
+    found = (op1_ngram_join, op2_wavelet_shards, op3_pseudo_likelihood, op4_permutation_index, op5_sentencepiece, op6_mix_sources, op7_toxicity, op8_winnowing, op9_pii_spans, op10_page_text, op11_filter_audit)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": OP6}
+    return {"op6_mix_sources": OP6, "op11_filter_audit": OP11}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
@@ -86,6 +87,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
 
 
+def op12_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.secretledger import find_secrets
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 #: The same rule with a sort: documents in hash order, until the middle of one passes the rest of the target.
 OP6 = r"""
 WITH d AS (
@@ -127,10 +135,27 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 """
 
 
+#: Every text by every pattern; offsets from the lengths of gaps and matches before.
+def op12_sql() -> str:
+    from tessera.llm.secretledger import BASE, RULES
+
+    quoted = {r.kind: r.pattern.replace("'", "''") for r in RULES}
+    each = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS k, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(t, '{quoted[r.kind]}') AS hits, regexp_extract_all(t, '{quoted[r.kind]}', {r.group}) AS vals, string_split_regex(t, '{quoted[r.kind]}') AS gaps FROM t"
+        for i, r in enumerate(RULES))
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({each}),
+u AS (SELECT doc_id, k, kind, least, unnest(hits) AS hit, unnest(vals) AS val, unnest(gaps[:len(hits)]) AS gap, unnest(range(len(hits))) AS i FROM m WHERE len(hits) > 0),
+p AS (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, k ORDER BY i) AS BIGINT) AS e FROM u),
+f AS (SELECT doc_id, k, kind, e - length(hit) AS s, e FROM p WHERE length(val) >= least),
+g AS (SELECT doc_id, {counts}, coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < {len(BASE)}), '') AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM f GROUP BY 1)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (doc_id)"""
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_ngram_join, op2_wavelet_shards, op3_pseudo_likelihood, op4_permutation_index, op5_sentencepiece, op6_mix_sources, op7_toxicity, op8_winnowing, op9_pii_spans, op10_page_text, op11_filter_audit)
+    found = (op1_ngram_join, op2_wavelet_shards, op3_pseudo_likelihood, op4_permutation_index, op5_sentencepiece, op6_mix_sources, op7_toxicity, op8_winnowing, op9_pii_spans, op10_page_text, op11_filter_audit, op12_secret_ledger)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": OP6, "op11_filter_audit": OP11}
+    return {"op6_mix_sources": OP6, "op11_filter_audit": OP11, "op12_secret_ledger": op12_sql()}

@@ -41,7 +41,7 @@ def test_base_spans_are_the_contract(spark):
 def test_added_kinds(spark):
     texts = ["a -----BEGIN RSA PRIVATE KEY----- b", "é postgres://bob:pa55w@db/x", "Authorization: Bearer abcdefghijklmnopqrstuvwx", "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK end", "see http://example.com:80/a@b"]
     got = [r.spans for r in find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
-    assert got == ["key:2:33", "url:10:22", "bearer:15:46", "jwt:0:38", ""]
+    assert got == ["key:2:33", "url:10:23", "bearer:15:46", "jwt:0:38", ""]
 
 
 def test_rows_ids_and_columns(spark):

@@ -94,6 +94,14 @@ def op12_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.tokenalign import alignment
+
+    return alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 #: The same rule with a sort: documents in hash order, until the middle of one passes the rest of the target.
 OP6 = r"""
 WITH d AS (
@@ -153,7 +161,7 @@ SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_ngram_join, op2_wavelet_shards, op3_pseudo_likelihood, op4_permutation_index, op5_sentencepiece, op6_mix_sources, op7_toxicity, op8_winnowing, op9_pii_spans, op10_page_text, op11_filter_audit, op12_secret_ledger)
+    found = (op1_ngram_join, op2_wavelet_shards, op3_pseudo_likelihood, op4_permutation_index, op5_sentencepiece, op6_mix_sources, op7_toxicity, op8_winnowing, op9_pii_spans, op10_page_text, op11_filter_audit, op12_secret_ledger, op13_token_alignment)
     return {f.__name__: f for f in found}
 
 

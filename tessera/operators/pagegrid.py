@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import has_centre, over_first
-from tessera.functions.text import noise
 
 
 def words_in_crops(words: DataFrame, crops: DataFrame, tile: int = 50) -> DataFrame:
@@ -67,35 +66,6 @@ def region_class(w: Column, h: Column, x: Column, y: Column, page_w: int, page_h
     return F.when(edge & (w <= 90) & (h <= 32) & (w * h <= page_w * page_h * 0.012), "edge_mark").when((w / h).between(0.8, 1.25) & (w * h >= 100), "logo").otherwise("text")
 
 
-def hypotheses(rows: DataFrame) -> DataFrame:
-    """CV13/A9: of the readings of each cell the first unrotated one, else the least noisy; with flags.
-
-    Flags in this order: empty, low or suspicious confidence, several readings, readings that differ, noisy; ``ok`` if none.
-    """
-    order = F.when(F.col("rotation") == 0, F.struct(F.lit(0).alias("a"), F.lit(0.0).alias("b"), F.col("pos").alias("c"))).otherwise(F.struct(F.lit(1).alias("a"), noise(F.col("text")).alias("b"), F.col("pos").alias("c")))
-    t = F.trim("text")
-    out = rows.groupBy("region", "row", "col").agg(
-        F.min_by(F.struct("text", "confidence", "rotation"), order).alias("s"), F.count("*").alias("readings"), F.count_distinct(F.when(t != "", t)).alias("texts")
-    )
-    score = noise(F.col("s.text"))
-    flags = F.array_compact(F.array(
-        F.when(F.trim("s.text") == "", "empty_text"),
-        F.when(F.col("s.confidence") < 0.55, "low_confidence_ocr").when(F.col("s.confidence") < 0.85, "suspicious_ocr"),
-        F.when(F.col("readings") > 1, "orientation_hypotheses_present"),
-        F.when((F.col("readings") > 1) & (F.col("texts") > 1), "ambiguous_orientation"),
-        F.when(score >= 0.45, "noisy_text"),
-    ))
-    return out.select("region", "row", "col", "s.text", "s.confidence", "s.rotation", "readings", F.when(F.size(flags) == 0, "ok").otherwise(F.array_join(flags, "|")).alias("flags"))
-
-
-def table_quality(cells: DataFrame) -> DataFrame:
-    """CV14/M7: counters of each reconstructed table and whether its row numbers have gaps."""
-    return cells.groupBy("region").agg(
-        F.count("*").alias("cells"), F.count_if(F.col("flags") == "ok").alias("ok"), F.count_if(F.col("flags").contains("low_confidence")).alias("low"),
-        (F.max("row") - F.min("row") + 1 != F.count_distinct("row")).alias("row_gaps"), F.round(F.avg("confidence"), 4).alias("confidence"),
-    )
-
-
 def quality_gate(candidates: DataFrame, texts: DataFrame, by: str) -> DataFrame:
     """Statuses of the texts of gated candidates (no rotated ones) counted, the ones without text, and the verdict."""
     gate = candidates.withColumn("_in", F.col("rotation") == 0)
@@ -109,27 +79,22 @@ def quality_gate(candidates: DataFrame, texts: DataFrame, by: str) -> DataFrame:
     return out.withColumn("verdict", verdict)
 
 
-def trim_grid(cells: DataFrame) -> DataFrame:
-    """CV15/W6/W7/A17: grids (grp, row, col, height, evidence) without empty leading columns, without rows from the first tall blank or sparse blank one on, without tall blank rows at the end; row and column numbers closed up."""
-    lead = cells.where("evidence").groupBy("grp").agg(F.min("col").alias("first_col"))
-    kept = cells.join(lead, "grp").where("col >= first_col")
-    rows = kept.groupBy("grp", "row").agg(F.max("height").alias("height"), F.bool_or("evidence").alias("evidence"), F.count("*").alias("n"))
-    usual = rows.where("evidence").groupBy("grp").agg(F.percentile("height", 0.5).alias("median_height"), F.percentile("n", 0.5).alias("median_n"))
-    up = Window.partitionBy("grp").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(usual, "grp").withColumn("seen", F.bool_or("evidence").over(up))
-    blank = F.col("seen") & ~F.col("evidence")
-    sparse = blank & (F.col("median_n") >= 3) & (F.col("n") < 0.55 * F.col("median_n"))
-    tall = blank & (F.col("height") > 1.8 * F.col("median_height"))
-    ends = rows.groupBy("grp").agg(F.min(F.when(sparse | tall, F.col("row"))).alias("stop"))
-    left = rows.join(ends, "grp").where("stop is null OR row < stop").select("grp", "row")
-    out = kept.join(left, ["grp", "row"])
-    number = lambda c: F.dense_rank().over(Window.partitionBy("grp").orderBy(c)) - 1
-    return out.select("grp", "row", "col", number("row").alias("row_index"), number("col").alias("column_index"))
-
-
-def strip_excluded(cells: DataFrame, edges: DataFrame) -> DataFrame:
-    """CV16: cells that do not lie left of their page's drawing edge."""
-    return cells.join(edges, "page").where(F.col("x") + F.col("w") > F.col("edge")).select("id", "page")
+def trim_grid(cells: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """CV15/W6/W7/A17: grids (grp, row, col, height, evidence, and columns to keep) without empty leading columns, without rows from the first tall blank or sparse blank one on, without tall blank rows at the end; row and column numbers closed up.
+
+    All steps are windows over one exchange by grid.
+    """
+    grid, line = Window.partitionBy("grp"), Window.partitionBy("grp", "row")
+    kept = cells.withColumn("_first", F.min(F.when(F.col("evidence"), F.col("col"))).over(grid)).where("col >= _first")
+    rows = kept.withColumns({"_h": F.max("height").over(line), "_seen_here": F.max("evidence").over(line), "_n": F.count("*").over(line), "_lead": F.row_number().over(line.orderBy("col")) == 1})
+    usual = lambda c: F.percentile(F.when(F.col("_lead") & F.col("_seen_here"), F.col(c)), 0.5).over(grid)
+    rows = rows.withColumns({"_usual_h": usual("_h"), "_usual_n": usual("_n"), "_seen": F.max("evidence").over(grid.orderBy("row"))})
+    blank = F.col("_seen") & ~F.col("_seen_here")
+    sparse = blank & (F.col("_usual_n") >= 3) & (F.col("_n") < 0.55 * F.col("_usual_n"))
+    tall = blank & (F.col("_h") > 1.8 * F.col("_usual_h"))
+    left = rows.withColumn("_stop", F.min(F.when(sparse | tall, F.col("row"))).over(grid)).where("_stop is null OR row < _stop")
+    number = lambda c: F.dense_rank().over(grid.orderBy(c)) - 1
+    return left.select("grp", "row", "col", *keep, number("row").alias("row_index"), number("col").alias("column_index"))
 
 
 def stamp_template(lines: DataFrame, anchors: DataFrame) -> DataFrame:

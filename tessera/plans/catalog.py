@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import contents, documents, pages, platform, small, streams
+from tessera.plans import contents, documents, pages, platform, small, streams, tables
 
-MODULES = (platform, documents, contents, pages, small, streams)
+MODULES = (platform, documents, contents, pages, tables, small, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

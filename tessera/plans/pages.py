@@ -64,23 +64,6 @@ def region_classify(spark: SparkSession, d: str) -> DataFrame:
     return r.select("id", pg.region_class(F.col("w"), F.col("h"), F.col("x"), F.col("y"), 100, 100).alias("class"))
 
 
-NOISE = r"CASE WHEN trim(text) = '' THEN 1.0 ELSE length(regexp_replace(trim(text), '[0-9A-Za-zА-Яа-яЁё№.,:;()/%+\-–—\s\"''«»×хХØ²³]', '', 'g')) / length(trim(text)) END"
-PICK = f"""g AS (SELECT region, row, col, min_by({{'text': text, 'confidence': confidence, 'rotation': rotation}}, {{'a': CASE WHEN rotation = 0 THEN 0 ELSE 1 END, 'b': CASE WHEN rotation = 0 THEN 0.0 ELSE {NOISE} END, 'c': pos}}) AS s, count(*) AS readings, count(DISTINCT CASE WHEN trim(text) <> '' THEN trim(text) END) AS texts FROM hypotheses GROUP BY 1, 2, 3),
- k AS (SELECT region, row, col, s.text AS text, s.confidence AS confidence, s.rotation AS rotation, readings, texts FROM g),
- cells AS (SELECT region, row, col, text, confidence, rotation, readings, coalesce(nullif(concat_ws('|', CASE WHEN trim(text) = '' THEN 'empty_text' END, CASE WHEN confidence < 0.55 THEN 'low_confidence_ocr' WHEN confidence < 0.85 THEN 'suspicious_ocr' END,
-  CASE WHEN readings > 1 THEN 'orientation_hypotheses_present' END, CASE WHEN readings > 1 AND texts > 1 THEN 'ambiguous_orientation' END, CASE WHEN {NOISE} >= 0.45 THEN 'noisy_text' END), ''), 'ok') AS flags FROM k)"""
-
-
-@query("cv13_table_cells", ctes("hypotheses", more=PICK) + "SELECT * FROM cells")
-def table_cells(spark: SparkSession, d: str) -> DataFrame:
-    return pg.hypotheses(fixture(spark, d, "hypotheses"))
-
-
-@query("cv14_table_quality", ctes("hypotheses", more=PICK) + "SELECT region, count(*) AS cells, count(*) FILTER (flags = 'ok') AS ok, count(*) FILTER (contains(flags, 'low_confidence')) AS low, max(row) - min(row) + 1 <> count(DISTINCT row) AS row_gaps, round(avg(confidence), 4) AS confidence FROM cells GROUP BY 1")
-def table_quality(spark: SparkSession, d: str) -> DataFrame:
-    return pg.table_quality(pg.hypotheses(fixture(spark, d, "hypotheses")))
-
-
 READ = "SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 0 THEN 'recognized_low_confidence' WHEN 1 THEN 'recognized_suspicious' WHEN 2 THEN 'empty_text' ELSE 'recognized' END AS status FROM {part} WHERE p_partkey % 11 <> 3 OR p_size > 10"
 PLANNED = "SELECT p_partkey AS id, p_partkey % 90 AS doc, CASE WHEN p_partkey % 4 = 0 THEN 90 ELSE 0 END AS rotation FROM {part}"
 
@@ -110,12 +93,6 @@ def footer_trim_whole(spark: SparkSession, d: str) -> DataFrame:
     return pg.trim_grid(spark.sql(GRID_WHOLE, lineitem=table(spark, d, "lineitem")))
 
 
-@query("cv16_strip_exclude", ctes("words", "crops", more="e AS (SELECT page, min(x) AS edge FROM crops GROUP BY 1)") + "SELECT id, page FROM words JOIN e USING (page) WHERE x + w > edge")
-def strip_exclude(spark: SparkSession, d: str) -> DataFrame:
-    edges = fixture(spark, d, "crops").groupBy("page").agg(F.min("x").alias("edge"))
-    return pg.strip_excluded(fixture(spark, d, "words"), edges)
-
-
 ANCHORS = "VALUES ('form3', 1, 0, 12), ('form3', 2, 20, 34), ('form3', 3, 60, 75), ('form5', 1, 3, 9), ('form5', 2, 40, 52), ('form6', 1, 0, 99), ('form6', 2, 95, 99)"
 
 

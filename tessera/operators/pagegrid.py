@@ -125,14 +125,6 @@ def stamp_rectangles(lines: DataFrame) -> DataFrame:
     return rows.groupBy("page").agg(F.max_by(F.struct("left", "top", "right", "bottom"), F.struct(score.alias("s"), "bottom", "right", -F.col("left"), -F.col("top"))).alias("b")).select("page", "b.left", "b.top", "b.right", "b.bottom")
 
 
-def plan_candidates(regions: DataFrame) -> DataFrame:
-    """CV9/A19: what is read of a region, or why it is not."""
-    why = F.when(F.col("confidence") < 0.3, "low_confidence").when(F.col("w") * F.col("h") < 60, "too_small")
-    kind = F.when(F.col("kind") == "stamp", "stamp_field").when(F.col("kind") == "table", "table_cell").when(F.col("kind") == "text", "text_block")
-    skip = F.coalesce(why, F.when(kind.isNull(), "unsupported_kind"))
-    return regions.select("id", F.when(skip.isNull(), kind).alias("candidate"), skip.alias("skip_reason"))
-
-
 def cell_candidates(cells: DataFrame, cap: int = 240) -> DataFrame:
     """CV20/T9: of the first cells of each region (the cap comes before the filter) those with enough text, tall ones with two turned readings beside the plain one."""
     w = Window.partitionBy("region").orderBy("row", "col", "id")
@@ -141,13 +133,6 @@ def cell_candidates(cells: DataFrame, cap: int = 240) -> DataFrame:
     return some.select("id", "region", F.explode(turned).alias("rotation"))
 
 
-def side_strips(texts: DataFrame, pages: DataFrame) -> DataFrame:
-    """CV19: tall texts left of the limit in the lower part of pages that have a stamp and a drawing area; they are read turned."""
-    on = texts.join(pages.where("stamps > 0 AND drawings > 0"), "page")
-    tall = (F.col("h") >= 40) & (F.col("h") / F.col("w") >= 1.45)
-    return on.where(tall & (F.col("x") + F.col("w") <= F.col("limit_x")) & (F.col("y") + F.col("h") / 2 >= 0.42 * F.col("page_h"))).select("id", F.lit(270).alias("rotation"))
-
-
 def fields_by_position(cells: DataFrame, spec: DataFrame) -> DataFrame:
     """CV21/J17: stamp fields all of whose cells are there with text (relational division)."""
     need = spec.groupBy("field").agg(F.count("*").alias("need"))

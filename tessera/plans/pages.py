@@ -127,20 +127,6 @@ def stamp_rectangles_whole(spark: SparkSession, d: str) -> DataFrame:
     return pg.stamp_rectangles(spark.sql(LINES_WHOLE, part=table(spark, d, "part")))
 
 
-REGIONS = "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'stamp' WHEN 1 THEN 'table' WHEN 2 THEN 'drawing' ELSE 'text' END AS kind, p_size / 50.0 AS confidence, 3 + p_size % 40 AS w, 2 + p_partkey % 37 AS h FROM {part}"
-
-
-@query("cv9_candidate_plan", "WITH r AS (" + REGIONS.format(part="part") + "), k AS (SELECT id, CASE kind WHEN 'stamp' THEN 'stamp_field' WHEN 'table' THEN 'table_cell' WHEN 'text' THEN 'text_block' END AS c, CASE WHEN confidence < 0.3 THEN 'low_confidence' WHEN w * h < 60 THEN 'too_small' WHEN kind = 'drawing' THEN 'unsupported_kind' END AS skip_reason FROM r) SELECT id, CASE WHEN skip_reason IS NULL THEN c END AS candidate, skip_reason FROM k")
-def candidate_plan(spark: SparkSession, d: str) -> DataFrame:
-    return pg.plan_candidates(spark.sql(REGIONS, part=table(spark, d, "part")))
-
-
-@query("a19_skip_reasons", "WITH r AS (" + REGIONS.format(part="part") + ") SELECT CASE WHEN confidence < 0.3 THEN 'low_confidence' WHEN w * h < 60 THEN 'too_small' WHEN kind = 'drawing' THEN 'unsupported_kind' ELSE 'read' END AS reason, count(*) AS n FROM r GROUP BY 1")
-def skip_reasons(spark: SparkSession, d: str) -> DataFrame:
-    plan = pg.plan_candidates(spark.sql(REGIONS, part=table(spark, d, "part")))
-    return plan.groupBy(F.coalesce("skip_reason", F.lit("read")).alias("reason")).agg(F.count("*").alias("n"))
-
-
 CELLS = "SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS region, l_linenumber AS row, l_partkey % 8 AS col, l_quantity AS text_px, 10 + l_partkey % 30 AS w, 5 + l_orderkey % 60 AS h FROM {lineitem}"
 
 
@@ -153,12 +139,6 @@ def cell_candidates_whole(spark: SparkSession, d: str) -> DataFrame:
     return pg.cell_candidates(spark.sql(CELLS_WHOLE, line_rows=fixture(spark, d, "line_rows")))
 
 
-@query("cv19_side_strips", ctes("words", "crops", more="p AS (SELECT page, count(*) FILTER (x > 30) AS stamps, count(*) FILTER (y > 30) AS drawings, 40 AS limit_x, 100 AS page_h FROM crops GROUP BY 1), t AS (SELECT id, page, x, y, w, h * 14 AS h FROM words)") + "SELECT id, 270 AS rotation FROM t JOIN p USING (page) WHERE stamps > 0 AND drawings > 0 AND h >= 40 AND h / w >= 1.45 AND x + w <= limit_x AND y + h / 2 >= 0.42 * page_h")
-def side_strips(spark: SparkSession, d: str) -> DataFrame:
-    pages = fixture(spark, d, "crops").groupBy("page").agg(F.count_if(F.col("x") > 30).alias("stamps"), F.count_if(F.col("y") > 30).alias("drawings")).withColumn("limit_x", F.lit(40)).withColumn("page_h", F.lit(100))
-    return pg.side_strips(fixture(spark, d, "words").withColumn("h", F.col("h") * 14), pages)
-
-
 SPEC = "VALUES ('title', 1, 0), ('title', 1, 1), ('stage', 2, 3), ('sheet', 3, 4), ('sheet', 4, 4), ('sheet', 5, 4)"
 
 

@@ -60,10 +60,20 @@ def without_containers(rects: DataFrame, page_area: int) -> DataFrame:
     return a.join(b, holds, "left_anti").select("id")
 
 
-def region_class(w: Column, h: Column, x: Column, y: Column, page_w: int, page_h: int) -> Column:
-    """CV5: what a small text region is: a service mark at the edge, a logo, or text."""
-    edge = (y < page_h * 0.035) | (y + h > page_h * 0.965) | (x < page_w * 0.035) | (x + w > page_w * 0.965)
-    return F.when(edge & (w <= 90) & (h <= 32) & (w * h <= page_w * page_h * 0.012), "edge_mark").when((w / h).between(0.8, 1.25) & (w * h >= 100), "logo").otherwise("text")
+def text_mark() -> Column:
+    """CV5: kind and reason of a text region (x, y, w, h, density) of a page (width, height): the first mark that fits, else a text block.
+
+    A square of some size low on the right; a mark at the top left; a small one at an edge.
+    """
+    x, y, w, h, density, width, height = map(F.col, ("x", "y", "w", "h", "density", "width", "height"))
+    # fixed values: shares of the page and pixels that tell marks from text
+    area, sheet, aspect = w * h, width * height, w / F.greatest(h, F.lit(1.0))
+    square = (x > width * 0.68) & (y > height * 0.70) & (area > sheet * 0.0008) & aspect.between(0.65, 1.45) & (density >= 0.08)
+    brand = (x <= width * 0.43) & (x + w <= width * 0.43) & (y <= height * 0.13) & (w >= width * 0.015) & (h >= height * 0.0025) & ((area > sheet * 0.000015) | (density >= 0.08))
+    edge = (y < height * 0.035) | (y + h > height * 0.965) | (x < width * 0.035) | (x + w > width * 0.965)
+    small = edge & (area <= sheet * 0.00012) & (w <= 90) & (h <= 32)
+    mark = lambda kind, reason: F.struct(F.lit(kind).alias("kind"), F.lit(reason).alias("reason"))
+    return F.when(square, mark("service_mark", "bottom_right_square_mark")).when(brand, mark("logo_or_mark", "title_page_top_left_mark")).when(small, mark("service_mark", "page_edge_service_mark")).otherwise(mark("text_block", ""))
 
 
 def quality_gate(candidates: DataFrame, texts: DataFrame, by: str) -> DataFrame:
@@ -113,18 +123,6 @@ def stamp_template(lines: DataFrame, anchors: DataFrame) -> DataFrame:
     return good.groupBy("region").agg(F.max_by(F.struct("template", "score"), F.struct("score", "template")).alias("b")).select("region", "b.template", "b.score")
 
 
-def stamp_rectangles(lines: DataFrame) -> DataFrame:
-    """CV18: of all rectangles between two horizontal and two vertical lines of a page (low, high, left, right few each) the best proportioned one."""
-    h, v = lines.where("axis = 'h'"), lines.where("axis = 'v'")
-    bottom, top = h.select("page", F.col("pos").alias("bottom")), h.select("page", F.col("pos").alias("top"))
-    right, left = v.select("page", F.col("pos").alias("right")), v.select("page", F.col("pos").alias("left"))
-    rows = bottom.join(top, "page").where("bottom - top BETWEEN 5 AND 60").join(right.join(left, "page").where("right - left BETWEEN 10 AND 90"), "page")
-    w, hh = F.col("right") - F.col("left"), F.col("bottom") - F.col("top")
-    rows = rows.withColumn("aspect", w / hh).withColumn("area", w * hh / 10000.0).where("aspect BETWEEN 1.6 AND 6.2 AND area BETWEEN 0.001 AND 0.09")
-    score = F.round(F.col("area") * 10 - F.abs(F.col("aspect") - 3.36), 6)
-    return rows.groupBy("page").agg(F.max_by(F.struct("left", "top", "right", "bottom"), F.struct(score.alias("s"), "bottom", "right", -F.col("left"), -F.col("top"))).alias("b")).select("page", "b.left", "b.top", "b.right", "b.bottom")
-
-
 def cell_candidates(cells: DataFrame, cap: int = 240) -> DataFrame:
     """CV20/T9: of the first cells of each region (the cap comes before the filter) those with enough text, tall ones with two turned readings beside the plain one."""
     w = Window.partitionBy("region").orderBy("row", "col", "id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as ge
 from tessera.operators import pagegrid as pg
+from tessera.operators import stamps as sp
 from tessera.operators.titleblock import ROLES, interpret, source_fields
 from tessera.plans.fixtures import ctes, fixture, table
 
@@ -58,10 +59,17 @@ def container_removal(spark: SparkSession, d: str) -> DataFrame:
     return pg.without_containers(spark.sql(RECTS, part=table(spark, d, "part")), 10000)
 
 
-@query("cv5_region_classify", "WITH r AS (" + RECTS.format(part="part") + ") SELECT id, CASE WHEN (y < 3.5 OR y + h > 96.5 OR x < 3.5 OR x + w > 96.5) AND w <= 90 AND h <= 32 AND w * h <= 120 THEN 'edge_mark' WHEN w / h BETWEEN 0.8 AND 1.25 AND w * h >= 100 THEN 'logo' ELSE 'text' END AS class FROM r")
+#: Texts of a page of 2,480 by 3,508 pixels, one in three near a corner or an edge.
+TEXTS = """SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 17e2 + p_size * 15 WHEN 1 THEN 5e0 * p_size ELSE 23e0 * p_size END AS x, CASE p_partkey % 5 WHEN 0 THEN 25e2 + p_size * 19 WHEN 1 THEN 9e0 * p_size WHEN 2 THEN 3390e0 + p_size * 2 ELSE 41e0 * p_size END AS y,
+ 2e1 + p_partkey * 7 % 160 AS w, 6e0 + p_partkey * 11 % 140 AS h, (p_partkey % 40) / 200e0 AS density FROM {part}"""
+
+
+@query("cv5_region_classify", "WITH r AS (" + TEXTS.format(part="part") + """) SELECT id, CASE WHEN x > 2480 * 0.68 AND y > 3508 * 0.70 AND w * h > 2480 * 3508 * 0.0008 AND w / h BETWEEN 0.65 AND 1.45 AND density >= 0.08 THEN 'service_mark' WHEN x <= 2480 * 0.43 AND x + w <= 2480 * 0.43 AND y <= 3508 * 0.13 AND w >= 2480 * 0.015 AND h >= 3508 * 0.0025 AND (w * h > 2480 * 3508 * 0.000015 OR density >= 0.08) THEN 'logo_or_mark'
+ WHEN w * h <= 2480 * 3508 * 0.00012 AND (y < 3508 * 0.035 OR y + h > 3508 * 0.965 OR x < 2480 * 0.035 OR x + w > 2480 * 0.965) AND w <= 90 AND h <= 32 THEN 'service_mark' ELSE 'text_block' END AS kind, CASE WHEN x > 2480 * 0.68 AND y > 3508 * 0.70 AND w * h > 2480 * 3508 * 0.0008 AND w / h BETWEEN 0.65 AND 1.45 AND density >= 0.08 THEN 'bottom_right_square_mark'
+ WHEN x <= 2480 * 0.43 AND x + w <= 2480 * 0.43 AND y <= 3508 * 0.13 AND w >= 2480 * 0.015 AND h >= 3508 * 0.0025 AND (w * h > 2480 * 3508 * 0.000015 OR density >= 0.08) THEN 'title_page_top_left_mark' WHEN w * h <= 2480 * 3508 * 0.00012 AND (y < 3508 * 0.035 OR y + h > 3508 * 0.965 OR x < 2480 * 0.035 OR x + w > 2480 * 0.965) AND w <= 90 AND h <= 32 THEN 'page_edge_service_mark' ELSE '' END AS reason FROM r""")
 def region_classify(spark: SparkSession, d: str) -> DataFrame:
-    r = spark.sql(RECTS, part=table(spark, d, "part"))
-    return r.select("id", pg.region_class(F.col("w"), F.col("h"), F.col("x"), F.col("y"), 100, 100).alias("class"))
+    r = spark.sql(TEXTS, part=table(spark, d, "part")).withColumns({"width": F.lit(2480), "height": F.lit(3508)})
+    return r.select("id", pg.text_mark().alias("m")).select("id", "m.kind", "m.reason")
 
 
 READ = "SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 0 THEN 'recognized_low_confidence' WHEN 1 THEN 'recognized_suspicious' WHEN 2 THEN 'empty_text' ELSE 'recognized' END AS status FROM {part} WHERE p_partkey % 11 <> 3 OR p_size > 10"
@@ -110,23 +118,6 @@ def stamp_template_whole(spark: SparkSession, d: str) -> DataFrame:
     return pg.stamp_template(lines, anchors)
 
 
-LINES = "SELECT DISTINCT p_partkey % 21 AS page, CASE WHEN p_partkey % 2 = 0 THEN 'h' ELSE 'v' END AS axis, p_partkey * 37 % 100 AS pos FROM {part} WHERE p_partkey % 5 = 0 AND p_partkey < 3000"
-
-
-CV18_SQL = "WITH l AS (" + LINES.format(part="part") + """), q AS (SELECT b.page, l.pos AS lft, t.pos AS top, r.pos AS rgt, b.pos AS bottom, (r.pos - l.pos) / (b.pos - t.pos) AS aspect, (r.pos - l.pos) * (b.pos - t.pos) / 10000.0 AS area FROM l b JOIN l t ON b.page = t.page AND b.axis = 'h' AND t.axis = 'h' AND b.pos - t.pos BETWEEN 5 AND 60
- JOIN l r ON r.page = b.page AND r.axis = 'v' JOIN l ON l.page = b.page AND l.axis = 'v' AND r.pos - l.pos BETWEEN 10 AND 90), k AS (SELECT *, round(area * 10 - abs(aspect - 3.36), 6) AS s FROM q WHERE aspect BETWEEN 1.6 AND 6.2 AND area BETWEEN 0.001 AND 0.09),
- w AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY s DESC, bottom DESC, rgt DESC, lft, top) AS n FROM k) SELECT page, lft AS "left", top, rgt AS "right", bottom FROM w WHERE n = 1"""
-
-
-LINES_WHOLE = LINES.replace("p_partkey % 21 AS page", "CAST(floor(p_partkey / 20) AS BIGINT) AS page").removesuffix(" WHERE p_partkey % 5 = 0 AND p_partkey < 3000")
-
-
-@query("cv18_stamp_rectangles", CV18_SQL.replace(LINES.format(part="part"), LINES_WHOLE.format(part="part")))
-def stamp_rectangles_whole(spark: SparkSession, d: str) -> DataFrame:
-    """All parts, twenty lines a page; the pages grow with the table."""
-    return pg.stamp_rectangles(spark.sql(LINES_WHOLE, part=table(spark, d, "part")))
-
-
 CELLS = "SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS region, l_linenumber AS row, l_partkey % 8 AS col, l_quantity AS text_px, 10 + l_partkey % 30 AS w, 5 + l_orderkey % 60 AS h FROM {lineitem}"
 
 
@@ -196,3 +187,50 @@ def title_block(spark: SparkSession, d: str) -> DataFrame:
     fields = source_fields(rows, spark.sql(f"SELECT * FROM ({FIELDS}) AS t(form, field, role)"), how="left")
     documents = rows.select("doc").distinct().withColumn("has_fields", F.lit(True)).union(table(spark, d, "supplier").select(F.col("s_suppkey") * 10 + 9, F.lit(False)))
     return interpret(documents, fields)
+
+
+#: Twenty parts are a sheet's lines: ten across its lower part, ten down its right one.
+SHEET_LINES = """
+    SELECT CAST(floor(p_partkey / 200) AS BIGINT) AS doc, CAST(floor(p_partkey / 20) AS BIGINT) AS page, CASE WHEN p_partkey % 20 < 10 THEN 'h' ELSE 'v' END AS axis,
+           CASE WHEN p_partkey % 20 < 3 THEN 3508e0 - p_size * 3 - p_partkey % 20 WHEN p_partkey % 20 < 10 THEN 31e2 - p_size * 11 + p_partkey % 20 * 60 WHEN p_partkey % 20 < 13 THEN 2480e0 - p_size * 2 - p_partkey % 20 ELSE 1e3 + p_size * 9 + p_partkey % 7 * 90 END AS pos,
+           CASE WHEN p_partkey % 20 < 10 THEN 8e2 + p_size * 5 ELSE 2400e0 + p_size * 6 END AS low, CASE WHEN p_partkey % 20 < 10 THEN 2480e0 - p_partkey % 31 ELSE 3508e0 - p_partkey % 37 END AS high, 1e0 + p_size % 3 AS thick
+    FROM {part}"""
+SHEETS = "SELECT DISTINCT CAST(floor(p_partkey / 200) AS BIGINT) AS doc, CAST(floor(p_partkey / 20) AS BIGINT) AS page, 2480 AS width, 3508 AS height, 300 AS dpi FROM {part}"
+AREAS = "SELECT DISTINCT CAST(floor(p_partkey / 200) AS BIGINT) AS doc, CAST(floor(p_partkey / 20) AS BIGINT) AS page, 6e1 AS x, 4e1 AS y, 239e1 AS w, 343e1 AS h FROM {part} WHERE floor(p_partkey / 20) % 3 = 1"
+SIDE = """SELECT f.doc, f.page, f.n, f.pos AS edge, m.pos AS pos, row_number() OVER (PARTITION BY f.doc, f.page, f.n, f.pos ORDER BY abs(f.pos - m.pos - {form}), m.pos) AS k FROM
+ (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc, page, n ORDER BY pos DESC) AS r FROM near WHERE axis = '{axis}' AND {end} - pos >= 0 AND {end} - pos <= greatest({most} * 0.055, 140)) WHERE r <= 4) f
+ JOIN near m ON m.doc = f.doc AND m.page = f.page AND m.n = f.n AND m.axis = '{axis}' WHERE f.pos - m.pos BETWEEN greatest(f.{size} * {low}, {form} * 0.55) AND least(f.{size} * {high}, {form} * 1.8)"""
+CV18_SQL = f"""WITH l AS ({SHEET_LINES.format(part="part")}), s AS ({SHEETS.format(part="part")}), a AS ({AREAS.format(part="part")}),
+ f AS (SELECT doc, page, width, height, 0 AS n, 0 AS fx, 0 AS fy, width AS fw, height AS fh FROM s UNION ALL SELECT s.doc, s.page, width, height, 1, floor(x), floor(y), floor(w), floor(h) FROM s JOIN a ON a.doc = s.doc AND a.page = s.page),
+ g AS (SELECT *, fx + floor(fw * 0.3) AS sx, fy + floor(fh * 0.5) AS sy, least(width, fx + floor(fw * 0.3) + floor(fw * 0.7)) AS ex, least(height, fy + floor(fh * 0.5) + floor(fh * 0.5)) AS ey FROM f),
+ i AS (SELECT DISTINCT g.*, axis, pos FROM g JOIN l ON l.doc = g.doc AND l.page = g.page WHERE CASE WHEN axis = 'h' THEN pos >= sy AND pos < ey AND greatest(0, least(high, ex) - greatest(low, sx)) / (ex - sx) >= 0.03 ELSE pos >= sx AND pos < ex AND greatest(0, least(high, ey) - greatest(low, sy)) / (ey - sy) >= 0.03 END),
+ near AS (SELECT * FROM (SELECT *, count(*) FILTER (axis = 'h') OVER p AS nh, count(*) FILTER (axis = 'v') OVER p AS nv FROM i WINDOW p AS (PARTITION BY doc, page, n)) WHERE nh >= 4 AND nv >= 4),
+ hb AS ({SIDE.format(form="650", axis="h", end="(fy + fh)", most="height", size="fh", low="0.045", high="0.30")}), vb AS ({SIDE.format(form="2185", axis="v", end="(fx + fw)", most="width", size="fw", low="0.10", high="0.70")}),
+ q AS (SELECT g.*, hb.edge AS bottom, hb.pos AS top, vb.edge AS rgt, vb.pos AS lft, vb.edge - vb.pos AS w, hb.edge - hb.pos AS h FROM g JOIN hb USING (doc, page, n) JOIN vb USING (doc, page, n) WHERE hb.k <= 12 AND vb.k <= 16 AND hb.pos >= sy AND vb.pos >= sx),
+ z AS (SELECT * FROM q WHERE w / h BETWEEN 1.6 AND 6.2 AND w * h >= width * height * 0.001 AND w * h <= width * height * 0.09),
+ b AS (SELECT *, greatest(2, floor(h / 18)) AS dy, greatest(2, floor(w / 18)) AS dx FROM z),
+ e AS (SELECT z.doc, z.page, z.n, bottom, top, rgt, lft, z.w, z.h, z.dx, z.dy, axis, pos, thick, greatest(low, CASE WHEN axis = 'h' THEN lft ELSE top END) AS low, least(high, CASE WHEN axis = 'h' THEN rgt ELSE bottom END) AS high FROM b z JOIN l ON l.doc = z.doc AND l.page = z.page
+   WHERE CASE WHEN axis = 'h' THEN pos BETWEEN top AND bottom AND high >= lft AND low <= rgt ELSE pos BETWEEN lft AND rgt AND high >= top AND low <= bottom END),
+ x AS (SELECT p.doc, p.page, p.n, p.bottom, p.top, p.rgt, p.lft, count(*) AS crossings FROM e p JOIN e t USING (doc, page, n, bottom, top, rgt, lft) WHERE p.axis = 'h' AND t.axis = 'v' AND t.pos BETWEEN p.low - 1 AND p.high + 1 AND p.pos BETWEEN t.low - 1 AND t.high + 1 GROUP BY ALL),
+ m AS (SELECT doc, page, n, bottom, top, rgt, lft, count(*) FILTER (axis = 'h' AND (high - low) / w >= 0.3) AS nh, count(*) FILTER (axis = 'v' AND (high - low) / h >= 0.3) AS nv, least(1, sum((high - low) * thick) / any_value(w * h)) AS density,
+   least(1, (coalesce(sum((high - low) * thick) FILTER (axis = 'h' AND pos < top + dy), 0) / any_value(dy * w) + coalesce(sum((high - low) * thick) FILTER (axis = 'h' AND pos >= bottom - dy), 0) / any_value(dy * w) + coalesce(sum((high - low) * thick) FILTER (axis = 'v' AND pos < lft + dx), 0) / any_value(dx * h) + coalesce(sum((high - low) * thick) FILTER (axis = 'v' AND pos >= rgt - dx), 0) / any_value(dx * h)) / 0.36) AS edge FROM e GROUP BY 1, 2, 3, 4, 5, 6, 7),
+ d AS (SELECT b.*, nh, nv, density, m.edge AS edge, least(1, nh / 4) * 0.3 + least(1, nv / 3) * 0.3 + least(1, coalesce(crossings, 0) / 8) * 0.4 AS grid FROM b JOIN m USING (doc, page, n, bottom, top, rgt, lft) LEFT JOIN x USING (doc, page, n, bottom, top, rgt, lft)),
+ c AS (SELECT *, round(0.28 + grid * 0.3 + edge * 0.16 + density * 4.0 + greatest(0, 1 - greatest(0, fx + fw - rgt) / width * 8 - greatest(0, fy + fh - bottom) / height * 8) * 0.18 + greatest(0, 1 - abs(w / h - 185e0 / 55e0) / 2.4) * 0.22 + least(1, (nh + nv) / 18) * 0.12, 9) AS score
+   FROM d WHERE grid >= 0.34 AND edge >= 0.18 AND nh >= 4 AND nv >= 4 AND density >= 0.01),
+ r AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY score DESC, n, bottom DESC, rgt DESC, top, lft) AS k FROM c)
+ SELECT doc, page, lft AS "left", top, rgt AS "right", bottom, round(score, 6) AS score FROM r WHERE k = 1"""
+
+
+def sheets(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [spark.sql(s, part=table(spark, d, "part")) for s in (SHEETS, SHEET_LINES, AREAS)]
+
+
+@query("cv18_stamp_rectangles", CV18_SQL)
+def stamp_rectangles(spark: SparkSession, d: str) -> DataFrame:
+    return sp.find_stamps(*sheets(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query("t6_nearest_boundaries", CV18_SQL.split("\n z AS (")[0].rstrip().rstrip(",") + ' SELECT doc, page, n, lft AS "left", top, rgt AS "right", bottom FROM q WHERE w / h BETWEEN 1.6 AND 6.2 AND w * h >= width * height * 0.001 AND w * h <= width * height * 0.09')
+def nearest_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    pages, lines, areas = sheets(spark, d)
+    return sp.boundaries(sp.frames(pages, areas), lines).select("doc", "page", "n", "left", "top", "right", "bottom")

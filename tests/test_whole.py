@@ -43,7 +43,7 @@ def test_all_orders_are_numbered(spark):
 @needs_data
 def test_all_parts_are_lines(spark):
     parts = table(spark, DATA, "part")
-    lines = spark.sql(pages.LINES_WHOLE, part=parts)
+    lines = spark.sql(pages.SHEET_LINES, part=parts)
     assert lines.count() == parts.count() and lines.groupBy("page").count().where("count > 20").count() == 0
 
 

@@ -5,26 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Deeper chains are an error: a tree of documents has a handful of levels.
-MAX_DEPTH = 64
+from tessera.operators.lineage import stored
+
 
 
 def closure(nodes: DataFrame) -> DataFrame:
     """(ancestor, id, depth) for every node and each of its ancestors, itself included.
 
-    One equi-join for each level of the tree, so nothing limits the number of rows. A
-    path that comes back to a node of its own stops there (cycles do not loop).
+    Paths are doubled: with all ancestors nearer than 2^k steps and the node exactly 2^k
+    steps up, one join gives those nearer than 2^(k+1). So a tree needs as many steps as its
+    depth has binary digits, and each is written, so the plan stays as small as one step.
+    A path that comes back to a node of its own adds nothing more and ends there (cycles do
+    not loop); the depth is that of the first visit. A parent that is not a node is left out.
     """
-    edges = nodes.where("parent_id is not null").select(F.col("id").alias("child"), "parent_id")
-    step = nodes.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("depth"), F.array("id").alias("path"))
-    out = step
-    for depth in range(1, MAX_DEPTH + 1):
-        step = step.join(edges, step["id"] == edges["parent_id"]).where(~F.array_contains("path", F.col("child")))
-        step = step.select("ancestor", F.col("child").alias("id"), F.lit(depth).alias("depth"), F.array_append("path", F.col("child")).alias("path"))
-        if step.isEmpty():
-            return out.drop("path")
-        out = out.unionByName(step)
-    raise ValueError(f"tree deeper than {MAX_DEPTH}")
+    known = stored(nodes.select("id", "parent_id"))
+    near = known.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("depth"))
+    jump = known.where("parent_id is not null").join(known.select(F.col("id").alias("parent_id")), "parent_id").select("id", F.col("parent_id").alias("up"))
+    step, pairs = 1, None
+    while True:
+        far = jump.join(near.withColumnRenamed("id", "up"), "up").select("ancestor", "id", (F.col("depth") + step).alias("depth"))
+        near = stored(near.unionByName(far).groupBy("ancestor", "id").agg(F.min("depth").alias("depth")))
+        now = near.count()
+        if now == pairs:
+            return near
+        jump = stored(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("upper")), "up").select("id", F.col("upper").alias("up")))
+        if jump.isEmpty():
+            return near
+        step, pairs = step * 2, now
 
 
 def descendants(nodes: DataFrame, root: str) -> DataFrame:

@@ -159,3 +159,22 @@ def test_locale_order(spark):
     from tessera.operators.content import locale_sorted
 
     assert [r.t for r in locale_sorted(spark.createDataFrame([("ё",), ("ж",), ("е",), ("Е",)], "t string"), "t").collect()][-1] == "ж"
+
+
+def test_closure_doubles_paths(spark, monkeypatch):
+    steps = []
+    real = tr.stored
+    monkeypatch.setattr(tr, "stored", lambda df: steps.append(1) or real(df))
+    chain = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None) for i in range(50)], "id string, parent_id string")
+    out = tr.closure(chain)
+    got = {(r.ancestor, r.id): r.depth for r in out.collect()}
+    assert got == {(f"n{a}", f"n{i}"): i - a for i in range(50) for a in range(i + 1)}
+    assert len(steps) <= 1 + 2 * 7  # nodes once, then paths and jumps in at most seven steps
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+def test_closure_of_cycles_and_strays(spark):
+    rows = [("a", "c"), ("b", "a"), ("c", "b"), ("t", "a"), ("s", "s"), ("x", "gone")]
+    got = {(r.ancestor, r.id): r.depth for r in tr.closure(spark.createDataFrame(rows, "id string, parent_id string")).collect()}
+    ring = {("a", "a"): 0, ("c", "a"): 1, ("b", "a"): 2, ("b", "b"): 0, ("a", "b"): 1, ("c", "b"): 2, ("c", "c"): 0, ("b", "c"): 1, ("a", "c"): 2}
+    assert got == ring | {("t", "t"): 0, ("a", "t"): 1, ("c", "t"): 2, ("b", "t"): 3, ("s", "s"): 0, ("x", "x"): 0}

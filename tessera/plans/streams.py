@@ -64,3 +64,27 @@ def stream_complete_and_publish(spark: SparkSession, d: str) -> DataFrame:
 Q["dm6_complete_and_publish"] = stream_complete_and_publish
 SQL["dm6_complete_and_publish"] = "SELECT user_id AS job_id, event_id AS id, 'job-completed-' || event_id AS event FROM events WHERE event_type = 'purchase'"
 
+
+
+def stream_job_retries(spark: SparkSession, d: str) -> DataFrame:
+    """E5/D3: how often each job of the event log was queued again by its timer, on the log's own clock."""
+    command = F.when(F.col("type") == "click", "start").when(F.col("type") == "view", "fail").when(F.col("type") == "purchase", "complete").otherwise("cancel")
+    commands = _log(spark, d).withWatermark("published_at", "0 seconds").select(F.col("aggregate_id").alias("job_id"), F.col("id").alias("seq"), command.alias("command"), F.col("published_at").alias("at"))
+    target, name = shared_folder(spark, "retries"), "spark.sql.streaming.stateStore.providerClass"
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(target)
+
+    old = spark.conf.get(name)
+    spark.conf.set(name, st.ROCKSDB)
+    try:  # the stream keeps the setting that it starts with
+        states = st.timed_job_states(commands, delay_ms=60_000, keep_ms=86_400_000, time_mode="eventTime")
+        query = states.writeStream.foreachBatch(keep).option("checkpointLocation", shared_folder(spark, "checkpoint")).outputMode("update").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(name, old)
+    rows = spark.read.schema("job_id long, status string, attempts int, next_run_at timestamp, batch long").parquet(target)
+    return rows.groupBy("job_id").agg(F.max("attempts").alias("attempts"), F.count_if(F.col("status") == "waiting").alias("waited"))
+
+
+Q["e5_stream_job_retries"] = stream_job_retries

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import contents, documents, pages, planning, platform, small, streams, tables
+from tessera.plans import contents, documents, pages, planning, platform, small, sources, streams, tables
 
-MODULES = (platform, documents, contents, pages, planning, tables, small, streams)
+MODULES = (platform, documents, contents, pages, planning, tables, small, sources, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

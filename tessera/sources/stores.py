@@ -42,23 +42,36 @@ def hydrate(rows: DataFrame, payloads: DataFrame) -> DataFrame:
 
 
 def spill(rows: DataFrame, limit: int = INLINE_BYTES) -> DataFrame:
-    """SC12: payloads up to the limit stay inline, larger ones become a reference named by their hash."""
+    """SC12: payloads up to the limit stay inline, larger ones become a reference named by their hash; ``formats.Payloads`` also writes them."""
     big = F.octet_length("payload") > limit
     return rows.select("id", F.when(big, "payload_ref").otherwise("inline").alias("storage"), F.when(~big, F.col("payload")).alias("payload"), F.when(big, F.concat(F.lit("payloads/"), F.sha2("payload", 256))).alias("ref"))
 
 
 def staged_write(rows: DataFrame, path: str, check: Callable[[DataFrame], bool]) -> bool:
-    """SC13: writes beside the target and moves it there if the check of what was written holds; else takes it away."""
+    """SC13: writes beside the target and moves it there if the check of what was written holds; else takes it away.
+
+    The old target is moved aside first and comes back if the new one can't take its place, so
+    one of the two stands there after any failure of a step.
+    """
     spark = rows.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    staging, target = hadoop.Path(f"{path}.staging"), hadoop.Path(path)
+    staging, old, target = (hadoop.Path(f"{path}{end}") for end in (".staging", ".old", ""))
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     rows.write.mode("overwrite").parquet(f"{path}.staging")
     if not check(spark.read.parquet(f"{path}.staging")):
         fs.delete(staging, True)
         return False
-    fs.delete(target, True)
-    return bool(fs.rename(staging, target))
+    had = fs.exists(target)
+    if had:
+        fs.delete(old, True)
+        if not fs.rename(target, old):
+            return False
+    if not fs.rename(staging, target):
+        if had:
+            fs.rename(old, target)
+        return False
+    fs.delete(old, True)
+    return True
 
 
 def prometheus(samples: DataFrame, name: str, help_: str, kind: str) -> DataFrame:

@@ -35,55 +35,69 @@ def _text(element: ElementTree.Element) -> str:
     return "".join(t.text or "" for t in element.iter(f"{NS}t"))
 
 
+def sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(name, member) of each sheet of a workbook whose member is there."""
+    names = set(z.namelist())
+    targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    found = [(s.get("name"), targets[s.get(REL)]) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{NS}sheet")]
+    found = [(name, t.lstrip("/") if t.startswith("/") else f"xl/{t}") for name, t in found]
+    return [(name, t) for name, t in found if t in names]
+
+
+def shared_strings(z: zipfile.ZipFile) -> list[str]:
+    if "xl/sharedStrings.xml" not in z.namelist():
+        return []
+    shared = []
+    with z.open("xl/sharedStrings.xml") as f:
+        for _, e in ElementTree.iterparse(f):
+            if e.tag == f"{NS}si":
+                shared.append(_text(e))
+                e.clear()
+    return shared
+
+
+def read_sheet(z: zipfile.ZipFile, name: str, target: str) -> Iterator[tuple]:
+    """Rows of one sheet, without the workbook's path."""
+    shared = shared_strings(z)
+    with z.open(target) as f:
+        row = 0
+        for event, e in ElementTree.iterparse(f, events=("start", "end")):
+            if event == "start":
+                if e.tag == f"{NS}row":
+                    row = int(e.get("r") or row + 1)
+                continue
+            if e.tag == f"{NS}c":
+                ref = e.get("r")
+                r, c = place(ref) if ref else (row, 0)
+                kind, v, formula = e.get("t") or "n", e.find(f"{NS}v"), e.find(f"{NS}f") is not None
+                raw = v.text if v is not None and v.text else ""
+                if kind == "s" and raw:
+                    value, sort = shared[int(raw)], "string"
+                elif kind == "inlineStr":
+                    value, sort = _text(e), "string"
+                elif kind == "b":
+                    value, sort = ("true" if raw == "1" else "false"), "boolean"
+                else:
+                    value, sort = raw, "string" if kind in ("str", "e") else "number"
+                if value != "":
+                    yield name, "cell", r, c, value, "formula" if formula else sort, float(raw) if sort == "number" else None, None, ref
+                e.clear()
+            elif e.tag == f"{NS}row":
+                if e.get("ht") or e.get("hidden"):
+                    yield name, "row", row, None, None, None, float(e.get("ht") or 15), e.get("hidden") == "1", None
+                e.clear()
+            elif e.tag == f"{NS}col":
+                for c in range(int(e.get("min")), min(int(e.get("max")), int(e.get("min")) + 16384) + 1):
+                    yield name, "column", None, c, None, None, float(e.get("width") or 8.43), e.get("hidden") == "1", None
+            elif e.tag == f"{NS}mergeCell":
+                yield name, "merge", None, None, None, None, None, None, e.get("ref")
+
+
 def read_workbook(content: bytes) -> Iterator[tuple]:
     """Rows of one workbook, without its path."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = set(z.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            with z.open("xl/sharedStrings.xml") as f:
-                for _, e in ElementTree.iterparse(f):
-                    if e.tag == f"{NS}si":
-                        shared.append(_text(e))
-                        e.clear()
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{NS}sheet"):
-            name, target = s.get("name"), targets[s.get(REL)]
-            target = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-            if target not in names:
-                continue
-            with z.open(target) as f:
-                row = 0
-                for event, e in ElementTree.iterparse(f, events=("start", "end")):
-                    if event == "start":
-                        if e.tag == f"{NS}row":
-                            row = int(e.get("r") or row + 1)
-                        continue
-                    if e.tag == f"{NS}c":
-                        ref = e.get("r")
-                        r, c = place(ref) if ref else (row, 0)
-                        kind, v, formula = e.get("t") or "n", e.find(f"{NS}v"), e.find(f"{NS}f") is not None
-                        raw = v.text if v is not None and v.text else ""
-                        if kind == "s" and raw:
-                            value, sort = shared[int(raw)], "string"
-                        elif kind == "inlineStr":
-                            value, sort = _text(e), "string"
-                        elif kind == "b":
-                            value, sort = ("true" if raw == "1" else "false"), "boolean"
-                        else:
-                            value, sort = raw, "string" if kind in ("str", "e") else "number"
-                        if value != "":
-                            yield name, "cell", r, c, value, "formula" if formula else sort, float(raw) if sort == "number" else None, None, ref
-                        e.clear()
-                    elif e.tag == f"{NS}row":
-                        if e.get("ht") or e.get("hidden"):
-                            yield name, "row", row, None, None, None, float(e.get("ht") or 15), e.get("hidden") == "1", None
-                        e.clear()
-                    elif e.tag == f"{NS}col":
-                        for c in range(int(e.get("min")), min(int(e.get("max")), int(e.get("min")) + 16384) + 1):
-                            yield name, "column", None, c, None, None, float(e.get("width") or 8.43), e.get("hidden") == "1", None
-                    elif e.tag == f"{NS}mergeCell":
-                        yield name, "merge", None, None, None, None, None, None, e.get("ref")
+        for name, target in sheets(z):
+            yield from read_sheet(z, name, target)
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:

@@ -86,15 +86,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_kept, fingerprint, hashes, positions) for each row; null text counts as empty."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [winnow(t or "") for t in b["t"]]
-            yield pd.DataFrame({"k": b["k"], "n_kept": [len(h) for h, _ in found], "fingerprint": [to_string(h, p) for h, p in found], "hashes": [h.astype(np.int64) for h, _ in found], "positions": [p for _, p in found]})
+    @F.pandas_udf("n_kept long, fingerprint string, hashes array<long>, positions array<long>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [winnow(t or "") for t in texts]
+        return pd.DataFrame({"n_kept": [len(h) for h, _ in found], "fingerprint": [to_string(h, p) for h, p in found], "hashes": [h.astype(np.int64) for h, _ in found], "positions": [p for _, p in found]})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-    out = slim.mapInPandas(run, f"k {kind}, n_kept long, fingerprint string, hashes array<long>, positions array<long>")
-    return out.withColumnRenamed("k", id_col)
+    return docs.select(F.col(f"`{id_col}`"), run(F.col(f"`{text_col}`")).alias("_w")).select(F.col(f"`{id_col}`"), "_w.*")
 
 
 def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,10 @@ def id_hash(column: str, seed: str) -> F.Column:
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
+def text_digest(text: str = "text") -> F.Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")))
+
+
 def targets(sizes: list[tuple[object, int, int]], repeat: int) -> dict[object, float]:
     """Shares of the total by weight, none above ``repeat`` times its size; the excess is shared again.
 
@@ -53,7 +57,9 @@ def targets(sizes: list[tuple[object, int, int]], repeat: int) -> dict[object, f
 def thresholds(slim: DataFrame, weights: tuple[int, ...], repeat: int) -> DataFrame:
     """A row for each source of slim (_source, _size, _h): its size, target, copies for all, and the hash below which one more is taken.
 
-    Only one row for each source reaches the driver, and a source's boundary bucket.
+    Where rows share the hash at the end of the target (rows of one id), _edge is what comes
+    before them and _rest what there is in all; else _edge is null. Only one row for each
+    source reaches the driver, and a source's boundary bucket.
     """
     found = slim.groupBy("_source").agg(F.sum("_size")).collect()
     found = sorted(((r[0], int(r[1])) for r in found), key=lambda x: (x[0] is None, x[0] or ""))
@@ -62,7 +68,7 @@ def thresholds(slim: DataFrame, weights: tuple[int, ...], repeat: int) -> DataFr
     state = {}
     for s, n in found:
         base = min(repeat, int(target[s] // n)) if n else 0
-        state[s] = {"n": n, "target": target[s], "copies": base, "rest": target[s] - base * n, "low": 0, "below": 0, "open": bool(n) and base < repeat}
+        state[s] = {"n": n, "target": target[s], "copies": base, "rest": target[s] - base * n, "low": 0, "below": 0, "edge": None, "open": bool(n) and base < repeat}
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
         todo = [(s, x["low"] >> (shift + BITS)) for s, x in state.items() if x["open"]]
@@ -77,29 +83,48 @@ def thresholds(slim: DataFrame, weights: tuple[int, ...], repeat: int) -> DataFr
         for s, _ in todo:
             x = state[s]
             for b, n, k in sorted(buckets.get(s, [])):
-                single = k == 1 or level == LEVELS - 1
-                # the whole bucket is in if even its last row's middle must come before the end
-                if (2 * x["below"] + n <= 2 * x["rest"]) if single else (x["below"] + n <= x["rest"]):
+                # a single row is in if its middle comes before the end, of several all are in if their end does
+                if (2 * x["below"] + n <= 2 * x["rest"]) if k == 1 else (x["below"] + n <= x["rest"]):
                     x["below"] += n
                     x["low"] = (b + 1) << shift
                 else:
-                    x["low"], x["open"] = b << shift, not single
+                    x["low"], x["open"] = b << shift, k > 1 and level < LEVELS - 1
+                    x["edge"] = x["below"] if k > 1 and not x["open"] else None
                     break
             else:
                 x["open"] = False
-    rows = [(s, x["n"], x["target"], x["copies"], x["low"]) for s, x in state.items()]
-    schema = T.StructType([T.StructField("_s", slim.schema["_source"].dataType), T.StructField("_total", T.LongType()), T.StructField("_target", T.DoubleType()), T.StructField("_base", T.LongType()), T.StructField("_low", T.LongType())])
+    rows = [(s, x["n"], x["target"], x["copies"], x["low"], x["edge"], float(x["rest"])) for s, x in state.items()]
+    schema = T.StructType([T.StructField("_s", slim.schema["_source"].dataType), T.StructField("_total", T.LongType()), T.StructField("_target", T.DoubleType()), T.StructField("_base", T.LongType()), T.StructField("_low", T.LongType()), T.StructField("_edge", T.LongType()), T.StructField("_rest", T.DoubleType())])
     return slim.sparkSession.createDataFrame(rows, schema)
 
 
-def copies(plan: str = "", own: str = "_h") -> F.Column:
-    """How often a row with a hash is taken, by the columns of ``thresholds`` (in a struct of that name)."""
+def at_edge(plan: str = "", own: str = "_h") -> F.Column:
+    """Whether a row shares the hash at which its source's target ends with others."""
+    at = f"`{plan}`." if plan else ""
+    return F.col(f"{at}_edge").isNotNull() & (F.col(own) == F.col(f"{at}_low"))
+
+
+def has_edges(plan: DataFrame) -> bool:
+    """Whether any source's target ends among rows that share a hash; the plan is a local table of one row for each source."""
+    return not plan.where("_edge is not null").isEmpty()
+
+
+def copies(plan: str = "", own: str = "_h", size: F.Column | None = None, order: F.Column | None = None) -> F.Column:
+    """How often a row with a hash is taken, by the columns of ``thresholds`` (in a struct of that name).
+
+    With a size and an order, for rows at the edge alone: one after another until the middle
+    of one passes the target. They are the rows of one id and source, numbered in one task.
+    """
     at = f"`{plan}`." if plan else ""
-    return (F.col(f"{at}_base") + (F.col(own) < F.col(f"{at}_low")).cast("long")).alias("copies")
+    more = F.col(own) < F.col(f"{at}_low")
+    if size is not None:
+        rows = Window.partitionBy(f"{at}_s").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        more = 2 * (F.col(f"{at}_edge") + F.sum(size).over(rows) - size) + size <= 2 * F.col(f"{at}_rest")
+    return (F.col(f"{at}_base") + more.cast("long")).alias("copies")
 
 
 def slimmed(docs: DataFrame, seed: str, id_col: str) -> DataFrame:
-    return written(docs.select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), word_count().alias("_size"), id_hash(id_col, seed).alias("_h")))
+    return written(docs.select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), word_count().alias("_size"), id_hash(id_col, seed).alias("_h"), text_digest().alias("_t")))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeat: int = 3, seed: str = "mix:", id_col: str = "doc_id") -> DataFrame:
@@ -110,13 +135,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeat: int = 3,
     ``floor(target / size)`` copies; one more goes to the documents whose hash comes
     before the point where the rest of the target is used up (a document counts if
     its middle comes before that point, so the error is at most half of one
-    document, or of the rows that share one id). Null text has size 0; an empty
-    table gives no rows; a source of size 0 has target 0 and takes nothing; other
-    columns are ignored.
+    document). Rows that share an id stand in the order of their texts' hashes, so
+    they too are cut within one row; which of equal rows are taken does not show.
+    Null text has size 0; an empty table gives no rows; a source of size 0 has target
+    0 and takes nothing; other columns are ignored.
     """
     slim = slimmed(docs, seed, id_col)
-    both = slim.join(thresholds(slim, weights, repeat), F.col("_source").eqNullSafe(F.col("_s")))
-    out = both.select(F.col("_id").alias(id_col), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), copies())
+    plan = thresholds(slim, weights, repeat)
+    both = slim.join(plan, F.col("_source").eqNullSafe(F.col("_s")))
+    shown = [F.col("_id").alias(id_col), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target")]
+    out = both.where(~at_edge()).select(*shown, copies())
+    if has_edges(plan):
+        out = out.union(both.where(at_edge()).select(*shown, copies(size=F.col("_size"), order=F.col("_t"))))
     return out.withColumn("taken", F.col("size") * F.col("copies"))
 
 
@@ -132,5 +162,9 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeat: int
         mine += "_"
     rule = plan.select(F.struct("*").alias(mine))
     both = docs.join(rule, docs["source"].eqNullSafe(F.col(f"`{mine}`._s"))).withColumn(mine, F.struct(id_hash(id_col, seed).alias("h"), f"`{mine}`.*"))
-    both = both.withColumn(mine, copies(mine, f"`{mine}`.h")).where(F.col(f"`{mine}`") > 0)
-    return both.withColumn(mine, F.explode(F.sequence(F.lit(1), F.col(f"`{mine}`")))).drop(mine)
+    often = lambda rows, *by: rows.withColumn(mine, copies(mine, f"`{mine}`.h", *by))
+    edge = at_edge(mine, f"`{mine}`.h")
+    out = often(both.where(~edge))
+    if has_edges(plan):
+        out = out.union(often(both.where(edge), word_count(), text_digest()))
+    return out.where(F.col(f"`{mine}`") > 0).withColumn(mine, F.explode(F.sequence(F.lit(1), F.col(f"`{mine}`")))).drop(mine)

@@ -106,7 +106,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6 = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h, md5(coalesce(text, '')) AS t FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source),
 w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w FROM s),
 p AS (SELECT *, coalesce(sum(3.0 * n) OVER q, 0) AS caps, coalesce(sum(w) OVER q, 0) AS ws, 3.0 * n / w AS ratio
@@ -114,7 +114,7 @@ p AS (SELECT *, coalesce(sum(3.0 * n) OVER q, 0) AS caps, coalesce(sum(w) OVER q
 l AS (SELECT max((t - caps) / (tw - ws)) AS level FROM p, (SELECT sum(n) AS t, sum(w) AS tw FROM p) WHERE (t - caps) / (tw - ws) <= ratio),
 g AS (SELECT source, n, least(3.0 * n, level * w) AS target FROM p, l),
 f AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE least(3, floor(target / n)) END AS base FROM g),
-o AS (SELECT d.*, f.n, f.target, f.base, sum(size) OVER (PARTITION BY d.source ORDER BY h) - size AS before
+o AS (SELECT d.*, f.n, f.target, f.base, sum(size) OVER (PARTITION BY d.source ORDER BY h, t ROWS UNBOUNDED PRECEDING) - size AS before
       FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, size, n AS source_size, target,
        CAST(size * (base + CASE WHEN base < 3 AND 2 * before + size <= 2 * (target - base * n) THEN 1 ELSE 0 END) AS BIGINT) AS taken,

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from tessera.llm import maxplus, mixing, pagetext, partenum, permutation, pii, pseudolm, toxicity, wavelet, winnowing
+from tessera.llm import filteraudit, maxplus, mixing, pagetext, partenum, permutation, pii, pseudolm, secretledger, tokenalign, toxicity, wavelet, winnowing
 
 BIG = 2**53 + 1
 TEXT = "one two three four five six seven eight nine ten "
@@ -17,7 +17,7 @@ CLASHING = ("k", "t", "x", "sig", "none", "_h", "_n", "_copies", "_mix", "_x", "
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = spark.createDataFrame([(*r, "en", 0) for r in ROWS], "doc_id long, text string, source string, lang string, n_chars long")
+    rows = spark.createDataFrame([(*r, "en", 0) for r in ROWS], "doc_id long, text string, source string, lang string, n_chars long").coalesce(1)
     rows = rows.select("*", *[F.lit(1000 + i).alias(c) for i, c in enumerate(CLASHING)])
     return rows.withColumn("m", F.create_map(F.lit("a"), F.lit(1))).withColumn("span", F.expr("make_interval(0, 1, 0, 2)"))
 
@@ -40,6 +40,8 @@ def operators(labels):
         "winnowing": winnowing.edited_neighbours,
         "fingerprints": winnowing.fingerprints,
         "pii": pii.find_pii,
+        "secrets": secretledger.find_secrets,
+        "alignment": lambda d: tokenalign.alignment(d, byte_bpe, piece_bpe),
         "pages": lambda d: pagetext.extract_pages(d, id_col="doc_id", html_col="text", keep=("lang",)),
     }
 
@@ -53,6 +55,13 @@ def test_ids_rows_and_columns(spark, docs, labels, name):
     assert run(docs.limit(0)).collect() == [] and run(docs.limit(0)).columns == columns
 
 
+def test_audit_ignores_other_columns(spark, docs, labels):
+    marks = labels.withColumn("quality", F.lit(1))
+    found = filteraudit.audit(filteraudit.failures(docs, marks))
+    assert found.count() == 600 and found.where("step = 5").agg(F.max("kept")).first()[0] == 0
+    assert filteraudit.audit(filteraudit.failures(docs.limit(0), marks)).collect() == []
+
+
 def test_neighbours(spark):
     rows = [(BIG - 1, [1.0, 0.0]), (BIG + 1, [1.0, 0.1]), (50, [1e200, 0.0]), (50, [1e200, 1e199]), (3, [1e-200, 0.0]), (4, [0.0, 1e-300]), (None, [1.0, 1.0])]
     vectors = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, seg int, row int")

@@ -16,7 +16,7 @@ def rows(n, seed):
     return [(k, rng.choice(["x", "x", "x", "y", "z", None]), " ".join(["w"] * rng.randrange(60))) for k in range(n)]
 
 
-@pytest.mark.parametrize("data", [rows(500, 1), rows(3, 2), [(1, "a", "x y"), (1, "a", "x y"), (None, "b", "z"), (2, "b", None), (3, None, "")]])
+@pytest.mark.parametrize("data", [rows(500, 1), rows(3, 2), [(1, "a", "x y"), (1, "a", "x y"), (None, "b", "z"), (2, "b", None), (3, None, "")], [(1, "a", "w " * 10)] * 40 + [(k, "b", "w " * 20) for k in range(20)], [(1, "a", "w " * (k % 7)) for k in range(90)] + [(None, "b", "w " * (k % 9)) for k in range(70)] + [(2, None, "v")] * 30])
 def test_near_targets(spark, data):
     df = spark.createDataFrame([(*r, 7) for r in data], "doc_id long, source string, text string, target int")
     got = mix(df).collect()
@@ -29,11 +29,14 @@ def test_near_targets(spark, data):
     assert sum({r.source: r.target for r in got}.values()) == pytest.approx(total)
     for rs in by.values():
         assert rs[0].source_size == sum(r.size for r in rs) and rs[0].target <= 3 * rs[0].source_size
-        same = defaultdict(int)
-        for r in rs:
-            same[r.doc_id] += r.size
-        assert abs(sum(r.taken for r in rs) - rs[0].target) <= max(same.values()) / 2 + 1e-6
+        assert abs(sum(r.taken for r in rs) - rs[0].target) <= max(r.size for r in rs) / 2 + 1e-6
     assert sorted(map(tuple, mix(df.repartition(3)).collect()), key=str) == sorted(map(tuple, got), key=str)
     out = apply_mix(df)
+    want, have = defaultdict(int), defaultdict(int)
+    for r in got:
+        want[r.doc_id, r.source, r.size] += r.copies
+    for r in out.collect():
+        have[r.doc_id, r.source, len((r.text or "").split())] += 1
+    assert have == {k: n for k, n in want.items() if n}
     assert out.columns == df.columns and out.count() == sum(r.copies for r in got)
     assert mix(df.limit(0)).collect() == []

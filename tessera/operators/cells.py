@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,19 +34,46 @@ def header_rows(cells: DataFrame, labels: tuple[str, ...]) -> DataFrame:
     return hit.groupBy(*keyed(cells, "sheet")).agg(F.min("row").alias("header_row"))
 
 
+def equals(word: str) -> Callable[[Column], Column]:
+    return lambda t: t == word
+
+
 def templates(cells: DataFrame) -> DataFrame:
-    """DO18/A10: the best template of each sheet by weighted evidence: score, status, confidence."""
-    t = search_text(F.col("value"))
-    has = lambda c: F.max(c.cast("int"))
-    found = cells.groupBy("sheet").agg(
-        has(any_of(t, TITLES)).alias("lt"), has(any_of(t, ("всего по смете", "итоги по смете"))).alias("lsum"), has(t.startswith("основание")).alias("lb"),
-        has(any_of(t, RESOURCE_TITLES)).alias("rt"), has(t.contains("всего по смете")).alias("rsum"), *[has(t == g).alias(f"g{i}") for i, g in enumerate(GROUPS)],
-    )
-    found = found.join(header_rows(cells, LOCAL_HEADER).select("sheet", F.lit(1).alias("lh")), "sheet", "left").join(header_rows(cells, RESOURCE_HEADER).select("sheet", F.lit(1).alias("rh")), "sheet", "left").fillna(0)
-    local = 5 * F.col("lt") + 4 * F.col("lh") + 3 * F.col("lsum") + F.col("lb")
-    resource = 5 * F.col("rt") + 4 * F.col("rh") + F.col("g0") + F.col("g1") + F.col("g2") + 2 * F.col("rsum")
-    best = F.when(resource > local, F.struct(F.lit("resource_statement").alias("template"), resource.alias("score"))).otherwise(F.struct(F.lit("local_estimate").alias("template"), local.alias("score")))
-    rows = found.withColumn("b", best).where("b.score >= 5").select("sheet", "b.template", "b.score")
+    """DO18/A10: the best template of each sheet by weighted evidence: score, status, confidence, kind, method and the cells that speak for it.
+
+    One pass over a sheet's rows: each row gives its first cell for every label, and whether it
+    is a table's header; a sheet keeps the first of each.
+    """
+    keys = keyed(cells, "sheet")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda x: F.struct(x["col"].alias("col"), search_text(x["value"]).alias("t")))
+    rows = cells.groupBy(*keys, "row").agg(listed.alias("cells"))
+    rows = rows.withColumn("text", F.array_join(F.transform("cells", lambda x: x["t"]), " "))
+    # fixed values: what each label weighs for its template
+    labels = {
+        "lt": ("title", 5, lambda t: any_of(t, TITLES)), "lsum": ("total_label", 3, lambda t: any_of(t, ("всего по смете", "итоги по смете"))), "lb": ("basis_label", 1, lambda t: t.startswith("основание")),
+        "rt": ("title", 5, lambda t: any_of(t, RESOURCE_TITLES)), **{f"g{i}": ("resource_group", 1, equals(g)) for i, g in enumerate(GROUPS)}, "rsum": ("total_label", 2, lambda t: t.contains("всего по смете")),
+    }
+
+    def first(test) -> Column:
+        return F.get(F.filter("cells", lambda x: test(x["t"])), 0)
+
+    hits = [first(test).alias(name) for name, (_, _, test) in labels.items()]
+    heads = [F.when(reduce(lambda a, b: a & b, [F.col("text").contains(w) for w in words]), F.slice("cells", 1, 4)).alias(name) for name, words in (("lh", LOCAL_HEADER), ("rh", RESOURCE_HEADER))]
+    rows = rows.select(*keys, "row", *hits, *heads)
+    earliest = lambda n: F.min_by(F.struct("row", F.col(n).alias("hit")), F.when(F.col(n).isNotNull(), F.col("row"))).alias(n)
+    found = rows.groupBy(*keys).agg(*[earliest(n) for n in (*labels, "lh", "rh")])
+    weigh = lambda names, head: reduce(lambda a, b: a + b, [F.when(F.col(n).isNotNull(), w).otherwise(0) for n, w in [*[(n, labels[n][1]) for n in names], (head, 4)]])
+    at = lambda field, row, col: F.concat_ws(":", F.lit(field), row, col)
+    one = lambda n: F.array(F.when(F.col(n).isNotNull(), at(labels[n][0], F.col(f"{n}.row"), F.col(f"{n}.hit.col"))))
+    head = lambda n: F.coalesce(F.transform(F.col(f"{n}.hit"), lambda x: at("table_header", F.col(f"{n}.row"), x["col"])), F.array())
+    evidence = lambda title, header, *rest: F.array_compact(F.concat(one(title), head(header), *[one(n) for n in rest]))
+    title = F.col("lt.hit.t")
+    kind = F.when(F.coalesce(title.contains("расчет"), F.lit(False)), "local_estimate_calculation").otherwise("local_estimate")
+    method = F.when(F.coalesce(title.contains("ресурсный"), F.lit(False)), "resource").otherwise("unknown")
+    groups = [f"g{i}" for i in range(len(GROUPS))]
+    local = F.struct(F.lit("local_estimate").alias("template"), weigh(("lt", "lsum", "lb"), "lh").alias("score"), kind.alias("kind"), method.alias("method"), evidence("lt", "lh", "lsum", "lb").alias("evidence"))
+    resource = F.struct(F.lit("resource_statement").alias("template"), weigh(("rt", *groups, "rsum"), "rh").alias("score"), F.lit("resource_statement").alias("kind"), F.lit("resource").alias("method"), evidence("rt", "rh", *groups, "rsum").alias("evidence"))
+    rows = found.select(*keys, local.alias("l"), resource.alias("r")).select(*keys, F.when(F.col("r.score") > F.col("l.score"), F.col("r")).otherwise(F.col("l")).alias("b")).where("b.score >= 5").select(*keys, "b.*")
     return rows.withColumn("status", F.when(F.col("score") >= 10, "resolved").otherwise("ambiguous")).withColumn("confidence", F.when(F.col("score") >= 10, "high").when(F.col("score") >= 7, "medium").otherwise("low"))
 
 

@@ -10,7 +10,7 @@ from tessera.functions import text as tx
 from tessera.operators import cells as ce
 from tessera.operators import facts as fa
 from tessera.operators import intake as it
-from tessera.plans.fixtures import ctes, fixture, table
+from tessera.plans.fixtures import FIXTURES, ctes, fixture, table
 
 Q: dict[str, object] = {}
 SQL: dict[str, str] = {}
@@ -235,14 +235,75 @@ def header_row(spark: SparkSession, d: str) -> DataFrame:
     return ce.header_rows(fixture(spark, d, "cells"), ce.LOCAL_HEADER)
 
 
-@query("do18_template_detect", ctes("cells", more=HEADS + f""", e AS (SELECT sheet, max((contains(v, 'локальный ресурсный сметный расчет') OR contains(v, 'локальный сметный расчет') OR contains(v, 'локальная смета'))::INT) AS lt, max((contains(v, 'всего по смете') OR contains(v, 'итоги по смете'))::INT) AS ls,
-  max(starts_with(v, 'основание')::INT) AS lb, max((contains(v, 'ведомость ресурсов') OR contains(v, 'ресурсы подрядчика'))::INT) AS rt, max(contains(v, 'всего по смете')::INT) AS rs, max((v = 'трудозатраты')::INT) + max((v = 'машины и механизмы')::INT) + max((v = 'материалы')::INT) AS g FROM (SELECT sheet, {VALUE} AS v FROM cells) GROUP BY 1),
- k AS (SELECT e.sheet, 5 * lt + 4 * coalesce(lh, 0) + 3 * ls + lb AS l, 5 * rt + 4 * coalesce(rh, 0) + g + 2 * rs AS r FROM e
-  LEFT JOIN (SELECT DISTINCT sheet, 1 AS lh FROM h WHERE contains(t, 'обоснование') AND contains(t, 'наименование') AND contains(t, 'единица') AND contains(t, 'количество')) USING (sheet)
-  LEFT JOIN (SELECT DISTINCT sheet, 1 AS rh FROM h WHERE contains(t, 'обоснование') AND contains(t, 'наименование') AND contains(t, 'единица') AND contains(t, 'общее кол')) USING (sheet))""") + """
- SELECT sheet, CASE WHEN r > l THEN 'resource_statement' ELSE 'local_estimate' END AS template, greatest(r, l) AS score, CASE WHEN greatest(r, l) >= 10 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN greatest(r, l) >= 10 THEN 'high' WHEN greatest(r, l) >= 7 THEN 'medium' ELSE 'low' END AS confidence FROM k WHERE greatest(r, l) >= 5""")
+EVIDENCE = ", ".join(f"arg_min({{'f': '{f}:' || row || ':' || col, 'v': v}}, {{'r': row, 'c': col}}) FILTER ({test}) AS {n}" for n, f, test in (
+    ("lt", "title", "contains(v, 'локальный ресурсный сметный расчет') OR contains(v, 'локальный сметный расчет') OR contains(v, 'локальная смета')"), ("ls", "total_label", "contains(v, 'всего по смете') OR contains(v, 'итоги по смете')"), ("lb", "basis_label", "starts_with(v, 'основание')"),
+    ("rt", "title", "contains(v, 'ведомость ресурсов') OR contains(v, 'ресурсы подрядчика')"), ("g0", "resource_group", "v = 'трудозатраты'"), ("g1", "resource_group", "v = 'машины и механизмы'"), ("g2", "resource_group", "v = 'материалы'"), ("rs", "total_label", "contains(v, 'всего по смете')")))
+
+
+@query("do18_template_detect", ctes("cells", more=f"""h AS (SELECT sheet, row, string_agg({VALUE}, ' ' ORDER BY col, value) AS t, string_agg('table_header:' || row || ':' || col, '|' ORDER BY col, value) AS whole, list('table_header:' || row || ':' || col ORDER BY col, value)[:4] AS four FROM cells GROUP BY 1, 2),
+ e AS (SELECT sheet, {EVIDENCE} FROM (SELECT sheet, row, col, {VALUE} AS v FROM cells) GROUP BY 1), a AS (SELECT sheet, arg_min(array_to_string(four, '|'), row) AS lh FROM h WHERE contains(t, 'обоснование') AND contains(t, 'наименование') AND contains(t, 'единица') AND contains(t, 'количество') GROUP BY 1),
+ b AS (SELECT sheet, arg_min(array_to_string(four, '|'), row) AS rh FROM h WHERE contains(t, 'обоснование') AND contains(t, 'наименование') AND contains(t, 'единица') AND contains(t, 'общее кол') GROUP BY 1),
+ k AS (SELECT *, 5 * (lt IS NOT NULL)::INT + 4 * (lh IS NOT NULL)::INT + 3 * (ls IS NOT NULL)::INT + (lb IS NOT NULL)::INT AS l, 5 * (rt IS NOT NULL)::INT + 4 * (rh IS NOT NULL)::INT + (g0 IS NOT NULL)::INT + (g1 IS NOT NULL)::INT + (g2 IS NOT NULL)::INT + 2 * (rs IS NOT NULL)::INT AS r FROM e LEFT JOIN a USING (sheet) LEFT JOIN b USING (sheet))""") + """
+ SELECT sheet, CASE WHEN r > l THEN 'resource_statement' ELSE 'local_estimate' END AS template, greatest(r, l) AS score, CASE WHEN greatest(r, l) >= 10 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN greatest(r, l) >= 10 THEN 'high' WHEN greatest(r, l) >= 7 THEN 'medium' ELSE 'low' END AS confidence,
+ CASE WHEN r > l THEN 'resource_statement' WHEN contains(lt.v, 'расчет') THEN 'local_estimate_calculation' ELSE 'local_estimate' END AS kind, CASE WHEN r > l OR contains(lt.v, 'ресурсный') THEN 'resource' ELSE 'unknown' END AS method,
+ CASE WHEN r > l THEN concat_ws('|', rt.f, rh, g0.f, g1.f, g2.f, rs.f) ELSE concat_ws('|', lt.f, lh, ls.f, lb.f) END AS evidence FROM k WHERE greatest(r, l) >= 5""")
 def template_detect(spark: SparkSession, d: str) -> DataFrame:
-    return ce.templates(fixture(spark, d, "cells"))
+    return ce.templates(fixture(spark, d, "cells")).withColumn("evidence", F.array_join("evidence", "|"))
+
+
+#: Orders as estimates: a header, sections every fourth line, items, totals; numbers of columns stand in a row of some.
+ESTIMATE = """
+    SELECT sheet, 1 AS row, k AS col, v AS value, CAST(k AS BIGINT) AS pos FROM (SELECT DISTINCT l_orderkey AS sheet FROM {lineitem}) s CROSS JOIN (VALUES (1, '№'), (2, 'Обоснование'), (3, 'Наименование работ'), (6, 'Единица'), (7, 'Количество')) t(k, v)
+    UNION ALL SELECT sheet, row * 10 + 2, 1, concat('Раздел ', CAST(row AS STRING), '. Часть ', part), row * 1000 FROM ({lines}) a WHERE row % 4 = 1 AND sheet % 3 <> 0
+    UNION ALL SELECT sheet, row * 10 + 3, k, CASE k WHEN 1 THEN CAST(row AS STRING) WHEN 2 THEN concat('ФЕР-', part) WHEN 3 THEN concat(' Работа  ', part) WHEN 4 THEN CASE WHEN part % 3 = 0 THEN 'шт' ELSE 'м2' END WHEN 5 THEN concat(CAST(quantity AS BIGINT), ',5') WHEN 6 THEN 'м3' WHEN 7 THEN CAST(CAST(quantity AS BIGINT) AS STRING) ELSE CAST(part AS STRING) END, row * 1000 + 20 + k FROM ({lines}) b CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6), (7), (9), (10)) t(k) WHERE row % 5 <> 4 OR k > 1
+    UNION ALL SELECT sheet, row * 10 + 5, k, CASE k WHEN 1 THEN CASE part % 4 WHEN 0 THEN 'Накладные расходы' WHEN 1 THEN 'Сметная прибыль' WHEN 2 THEN 'Итого по разделу' ELSE 'Итого по смете' END ELSE concat('-', part, '.25') END, row * 1000 + 40 + k FROM ({lines}) c CROSS JOIN (VALUES (1), (10)) t(k) WHERE row % 4 = 0
+    UNION ALL SELECT sheet, row * 10 + 6, 1, CASE part % 3 WHEN 0 THEN 'Трудозатраты' WHEN 1 THEN 'Машины и механизмы' ELSE 'Материалы' END, row * 1000 + 60 FROM ({lines}) e WHERE row % 3 = 0""".replace("{lines}", FIXTURES["line_rows"])
+KINDS = "CASE WHEN contains(t, 'накладные расходы') THEN 'overhead' WHEN contains(t, 'сметная прибыль') THEN 'estimated_profit' WHEN contains(t, 'итого') THEN 'total_cost' END"
+ROWS = f"""c AS ({ESTIMATE.replace('{lineitem}', 'lineitem')}), v AS (SELECT *, {NUM} AS n, {VALUE} AS s FROM c),
+ r AS (SELECT sheet, row, trim(arg_min(value, {{'c': col, 'p': pos}})) AS f, arg_min(s, {{'c': col, 'p': pos}}) AS t, arg_max(n, {{'s': abs(n), 'c': -col}}) FILTER (n IS NOT NULL) AS largest, arg_max(n, {{'c': col, 'p': pos}}) FILTER (n IS NOT NULL) AS last,
+   {', '.join(f"arg_max(value, pos) FILTER (col = {k}) AS c{k}" for k in range(1, 15))}, string_agg(s, ' ' ORDER BY col) AS whole, count(*) >= 4 AND bool_and(regexp_matches(trim(value), '^[0-9]+$')) AND count(DISTINCT TRY_CAST(value AS HUGEINT)) >= 4 AS numbers FROM v GROUP BY 1, 2),
+ g AS (SELECT sheet, min(row) AS header FROM r WHERE contains(whole, 'обоснование') AND contains(whole, 'наименование') GROUP BY 1), b AS (SELECT r.* FROM r LEFT JOIN g USING (sheet) WHERE row > coalesce(header, 0) AND NOT numbers)"""
+CLEAN = "nullif(trim(regexp_replace({0}, '\\s+', ' ', 'g')), '')"
+
+
+def estimate(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(ESTIMATE, lineitem=table(spark, d, "lineitem"))
+
+
+def number_sql(column: str) -> str:
+    return NUM.replace("value", column)
+
+
+SECTIONS = f"""{ROWS}, h AS (SELECT *, regexp_matches(f, '(?i)^раздел\s+(\d+)') AS heading FROM b), i AS (SELECT *, NOT heading AND coalesce(regexp_matches(trim(c1), '^[0-9]+$') AND {CLEAN.format('c3')} IS NOT NULL AND {CLEAN.format('c6')} IS NOT NULL, false) AS item FROM h),
+ w AS (SELECT *, CAST(sum(heading::INT) OVER o AS BIGINT) AS section, max((item OR heading)::INT) OVER o = 1 AS begun FROM i WINDOW o AS (PARTITION BY sheet ORDER BY row)), k AS (SELECT *, CASE WHEN NOT heading AND begun AND NOT contains(t, 'по смете') THEN {KINDS} END AS total FROM w)"""
+
+
+@query("do20_estimate_sections", "WITH " + SECTIONS + f""", s AS (SELECT sheet, section, max(regexp_extract(f, '(?i)^раздел\s+(\d+)', 1)) FILTER (heading) AS section_number, max({CLEAN.format('f')}) FILTER (heading) AS title, count(*) FILTER (item) AS items,
+  {', '.join(f"arg_max(largest, row) FILTER (total = '{x}' AND largest IS NOT NULL) AS {x}" for x in ('overhead', 'estimated_profit', 'total_cost'))} FROM k WHERE begun GROUP BY 1, 2)
+ SELECT *, CASE WHEN sum(items) OVER (PARTITION BY sheet) = 0 THEN 'local_estimate_items_missing' END AS warning FROM s""")
+def estimate_sections(spark: SparkSession, d: str) -> DataFrame:
+    return ce.local_estimate(estimate(spark, d))[0]
+
+
+@query("do20_estimate_items", "WITH " + SECTIONS + f"""SELECT sheet, section, row, trim(c1) AS position, {CLEAN.format('c2')} AS basis, {CLEAN.format('c3')} AS name, {CLEAN.format('c6')} AS unit, {number_sql('coalesce(c8, c7)')} AS quantity,
+  {', '.join(f"{number_sql(f'c{9 + j}')} AS {x}" for j, x in enumerate(('unit_cost', 'total_cost', 'labor_cost', 'machine_cost', 'machinist_labor_cost', 'material_cost')))} FROM k WHERE item""")
+def estimate_items(spark: SparkSession, d: str) -> DataFrame:
+    return ce.local_estimate(estimate(spark, d))[1]
+
+
+RESOURCES = f"""{ROWS}, h AS (SELECT *, t IN ('трудозатраты', 'машины и механизмы', 'материалы') AS heading, starts_with(t, 'итого') AS total FROM b), w AS (SELECT *, CAST(sum(heading::INT) OVER (PARTITION BY sheet ORDER BY row) AS BIGINT) AS "group" FROM h),
+ k AS (SELECT *, NOT heading AND NOT total AND coalesce(regexp_matches(trim(c1), '^[0-9]+$') AND {CLEAN.format('c3')} IS NOT NULL AND {CLEAN.format('c4')} IS NOT NULL, false) AS item FROM w WHERE "group" > 0)"""
+
+
+@query("do21_resource_groups", "WITH " + RESOURCES + f""", s AS (SELECT sheet, "group", max({CLEAN.format('f')}) FILTER (heading) AS title, count(*) FILTER (item) AS resources, arg_max(last, row) FILTER (total AND last IS NOT NULL) AS total_cost FROM k GROUP BY 1, 2)
+ SELECT *, CASE WHEN sum(resources) OVER (PARTITION BY sheet) = 0 THEN 'resource_statement_rows_missing' END AS warning FROM s""")
+def resource_groups(spark: SparkSession, d: str) -> DataFrame:
+    return ce.resource_statement(estimate(spark, d))[0]
+
+
+@query("do21_resource_rows", "WITH " + RESOURCES + f"""SELECT sheet, "group", row, trim(c1) AS position, {CLEAN.format('c2')} AS code, {CLEAN.format('c3')} AS name, {CLEAN.format('c4')} AS unit, {number_sql('c5')} AS quantity, {number_sql('c6')} AS unit_cost, {number_sql('c7')} AS total_cost FROM k WHERE item""")
+def resource_rows(spark: SparkSession, d: str) -> DataFrame:
+    return ce.resource_statement(estimate(spark, d))[1]
 
 
 FILL = "f AS (SELECT sheet, row, price, last_value(CASE WHEN line % 3 = 1 THEN concat('Раздел ', line) END IGNORE NULLS) OVER (PARTITION BY sheet ORDER BY row) AS section FROM line_rows)"

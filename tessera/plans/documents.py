@@ -263,7 +263,7 @@ ROWS = f"""c AS ({ESTIMATE.replace('{lineitem}', 'lineitem')}), v AS (SELECT *,
  r AS (SELECT sheet, row, trim(arg_min(value, {{'c': col, 'p': pos}})) AS f, arg_min(s, {{'c': col, 'p': pos}}) AS t, arg_max(n, {{'s': abs(n), 'c': -col}}) FILTER (n IS NOT NULL) AS largest, arg_max(n, {{'c': col, 'p': pos}}) FILTER (n IS NOT NULL) AS last,
    {', '.join(f"arg_max(value, pos) FILTER (col = {k}) AS c{k}" for k in range(1, 15))}, string_agg(s, ' ' ORDER BY col) AS whole, count(*) >= 4 AND bool_and(regexp_matches(trim(value), '^[0-9]+$')) AND count(DISTINCT TRY_CAST(value AS HUGEINT)) >= 4 AS numbers FROM v GROUP BY 1, 2),
  g AS (SELECT sheet, min(row) AS header FROM r WHERE contains(whole, 'обоснование') AND contains(whole, 'наименование') GROUP BY 1), b AS (SELECT r.* FROM r LEFT JOIN g USING (sheet) WHERE row > coalesce(header, 0) AND NOT numbers)"""
-CLEAN = "nullif(trim(regexp_replace({0}, '\\s+', ' ', 'g')), '')"
+CLEAN = r"nullif(trim(regexp_replace({0}, '\s+', ' ', 'g')), '')"
 
 
 def estimate(spark: SparkSession, d: str) -> DataFrame:
@@ -274,34 +274,34 @@ def number_sql(column: str) -> str:
     return NUM.replace("value", column)
 
 
-SECTIONS = f"""{ROWS}, h AS (SELECT *, regexp_matches(f, '(?i)^раздел\s+(\d+)') AS heading FROM b), i AS (SELECT *, NOT heading AND coalesce(regexp_matches(trim(c1), '^[0-9]+$') AND {CLEAN.format('c3')} IS NOT NULL AND {CLEAN.format('c6')} IS NOT NULL, false) AS item FROM h),
+SECTIONS = rf"""{ROWS}, h AS (SELECT *, regexp_matches(f, '(?i)^раздел\s+(\d+)') AS heading FROM b), i AS (SELECT *, NOT heading AND coalesce(regexp_matches(trim(c1), '^[0-9]+$') AND {CLEAN.format('c3')} IS NOT NULL AND {CLEAN.format('c6')} IS NOT NULL, false) AS item FROM h),
  w AS (SELECT *, CAST(sum(heading::INT) OVER o AS BIGINT) AS section, max((item OR heading)::INT) OVER o = 1 AS begun FROM i WINDOW o AS (PARTITION BY sheet ORDER BY row)), k AS (SELECT *, CASE WHEN NOT heading AND begun AND NOT contains(t, 'по смете') THEN {KINDS} END AS total FROM w)"""
 
 
-@query("do20_estimate_sections", "WITH " + SECTIONS + f""", s AS (SELECT sheet, section, max(regexp_extract(f, '(?i)^раздел\s+(\d+)', 1)) FILTER (heading) AS section_number, max({CLEAN.format('f')}) FILTER (heading) AS title, count(*) FILTER (item) AS items,
+@query("do20_estimate_sections", "WITH " + SECTIONS + rf""", s AS (SELECT sheet, section, max(regexp_extract(f, '(?i)^раздел\s+(\d+)', 1)) FILTER (heading) AS section_number, max({CLEAN.format('f')}) FILTER (heading) AS title, count(*) FILTER (item) AS items,
   {', '.join(f"arg_max(largest, row) FILTER (total = '{x}' AND largest IS NOT NULL) AS {x}" for x in ('overhead', 'estimated_profit', 'total_cost'))} FROM k WHERE begun GROUP BY 1, 2)
  SELECT *, CASE WHEN sum(items) OVER (PARTITION BY sheet) = 0 THEN 'local_estimate_items_missing' END AS warning FROM s""")
 def estimate_sections(spark: SparkSession, d: str) -> DataFrame:
     return ce.local_estimate(estimate(spark, d))[0]
 
 
-@query("do20_estimate_items", "WITH " + SECTIONS + f"""SELECT sheet, section, row, trim(c1) AS position, {CLEAN.format('c2')} AS basis, {CLEAN.format('c3')} AS name, {CLEAN.format('c6')} AS unit, {number_sql('coalesce(c8, c7)')} AS quantity,
+@query("do20_estimate_items", "WITH " + SECTIONS + rf"""SELECT sheet, section, row, trim(c1) AS position, {CLEAN.format('c2')} AS basis, {CLEAN.format('c3')} AS name, {CLEAN.format('c6')} AS unit, {number_sql('coalesce(c8, c7)')} AS quantity,
   {', '.join(f"{number_sql(f'c{9 + j}')} AS {x}" for j, x in enumerate(('unit_cost', 'total_cost', 'labor_cost', 'machine_cost', 'machinist_labor_cost', 'material_cost')))} FROM k WHERE item""")
 def estimate_items(spark: SparkSession, d: str) -> DataFrame:
     return ce.local_estimate(estimate(spark, d))[1]
 
 
-RESOURCES = f"""{ROWS}, h AS (SELECT *, t IN ('трудозатраты', 'машины и механизмы', 'материалы') AS heading, starts_with(t, 'итого') AS total FROM b), w AS (SELECT *, CAST(sum(heading::INT) OVER (PARTITION BY sheet ORDER BY row) AS BIGINT) AS "group" FROM h),
+RESOURCES = rf"""{ROWS}, h AS (SELECT *, t IN ('трудозатраты', 'машины и механизмы', 'материалы') AS heading, starts_with(t, 'итого') AS total FROM b), w AS (SELECT *, CAST(sum(heading::INT) OVER (PARTITION BY sheet ORDER BY row) AS BIGINT) AS "group" FROM h),
  k AS (SELECT *, NOT heading AND NOT total AND coalesce(regexp_matches(trim(c1), '^[0-9]+$') AND {CLEAN.format('c3')} IS NOT NULL AND {CLEAN.format('c4')} IS NOT NULL, false) AS item FROM w WHERE "group" > 0)"""
 
 
-@query("do21_resource_groups", "WITH " + RESOURCES + f""", s AS (SELECT sheet, "group", max({CLEAN.format('f')}) FILTER (heading) AS title, count(*) FILTER (item) AS resources, arg_max(last, row) FILTER (total AND last IS NOT NULL) AS total_cost FROM k GROUP BY 1, 2)
+@query("do21_resource_groups", "WITH " + RESOURCES + rf""", s AS (SELECT sheet, "group", max({CLEAN.format('f')}) FILTER (heading) AS title, count(*) FILTER (item) AS resources, arg_max(last, row) FILTER (total AND last IS NOT NULL) AS total_cost FROM k GROUP BY 1, 2)
  SELECT *, CASE WHEN sum(resources) OVER (PARTITION BY sheet) = 0 THEN 'resource_statement_rows_missing' END AS warning FROM s""")
 def resource_groups(spark: SparkSession, d: str) -> DataFrame:
     return ce.resource_statement(estimate(spark, d))[0]
 
 
-@query("do21_resource_rows", "WITH " + RESOURCES + f"""SELECT sheet, "group", row, trim(c1) AS position, {CLEAN.format('c2')} AS code, {CLEAN.format('c3')} AS name, {CLEAN.format('c4')} AS unit, {number_sql('c5')} AS quantity, {number_sql('c6')} AS unit_cost, {number_sql('c7')} AS total_cost FROM k WHERE item""")
+@query("do21_resource_rows", "WITH " + RESOURCES + rf"""SELECT sheet, "group", row, trim(c1) AS position, {CLEAN.format('c2')} AS code, {CLEAN.format('c3')} AS name, {CLEAN.format('c4')} AS unit, {number_sql('c5')} AS quantity, {number_sql('c6')} AS unit_cost, {number_sql('c7')} AS total_cost FROM k WHERE item""")
 def resource_rows(spark: SparkSession, d: str) -> DataFrame:
     return ce.resource_statement(estimate(spark, d))[1]
 

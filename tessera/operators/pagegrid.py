@@ -52,12 +52,25 @@ def islands(positions: DataFrame, gap: int) -> DataFrame:
     return rows.groupBy("grp", "island").agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.count("*").alias("n")).withColumn("middle", F.bround((F.col("low") + F.col("high")) / 2).cast("long"))
 
 
-def without_containers(rects: DataFrame, page_area: int) -> DataFrame:
-    """CV4: rectangles but the large ones that hold nearly all of a clearly smaller one of their page."""
-    a, b = rects.alias("a"), rects.alias("b")
+def without_containers(rects: DataFrame, page_area: int, tiles: int = 16) -> DataFrame:
+    """CV4: rectangles but the large ones that hold nearly all of a clearly smaller one of their page.
+
+    Equal boxes of a page are one class, with the least and the largest of their ids. A box that is held
+    has its centre in the holder, so classes meet by the one tile of that centre and the tiles that the
+    holder touches; what lies outside the page counts to its outermost tiles.
+    """
+    box, tile = ["page", "x", "y", "w", "h"], page_area**0.5 / tiles
     area = lambda t: F.col(f"{t}.w") * F.col(f"{t}.h")
-    holds = (F.col("a.page") == F.col("b.page")) & (F.col("a.id") != F.col("b.id")) & (area("a") >= 0.08 * page_area) & (area("b") < 0.72 * area("a")) & (over_first("b", "a") >= 0.92)
-    return a.join(b, holds, "left_anti").select("id")
+    at = lambda c: F.floor(F.least(F.greatest(c / tile, F.lit(-1)), F.lit(tiles)))
+    span = lambda a, s: F.explode(F.sequence(at(F.col(a)), at(F.col(a) + F.col(s))))
+    classes = rects.where("id is not null AND w * h > 0").groupBy(*box).agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    a = classes.where(F.col("w") * F.col("h") >= 0.08 * page_area).where("w > 0").withColumn("tx", span("x", "w")).withColumn("ty", span("y", "h")).alias("a")
+    b = classes.where("w > 0").withColumn("tx", at(F.col("x") + F.col("w") / 2)).withColumn("ty", at(F.col("y") + F.col("h") / 2)).alias("b")
+    on = (F.col("a.page") == F.col("b.page")) & (F.col("a.tx") == F.col("b.tx")) & (F.col("a.ty") == F.col("b.ty"))
+    holds = (area("b") < 0.72 * area("a")) & (over_first("b", "a") >= 0.92)
+    held = a.join(b, on & holds).groupBy(*[F.col(f"a.{c}").alias(c) for c in box]).agg(F.min("b.low").alias("low"), F.max("b.high").alias("high"))
+    out = rects.join(held, box, "left").where(F.col("low").isNull() | F.col("id").isNull() | ((F.col("low") == F.col("id")) & (F.col("high") == F.col("id"))))
+    return out.select("id")
 
 
 def text_mark() -> Column:

@@ -17,3 +17,16 @@ def test_codes_are_parsed_once_not_in_filters(spark):
     df = materialise(co.parse(rows.select(co.normalize(F.col("raw")).alias("code"))))
     assert not [x for x in plan(df).splitlines() if re.search(r"\bFilter\b", x) and "regexp_replace" in x]
     assert {(r.path, r.parent_id is None) for r in df.collect()} == {("project:12", True), ("project:12/documentation_stage:П", False), ("project:12/documentation_stage:П/mark:КС", False), ("project:7", True)}
+
+
+def test_copies_of_boxes_meet_once(spark):
+    from tessera.operators.pagegrid import without_containers
+
+    box = "id long, page int, x double, y double, w double, h double"
+    many = spark.range(30_000).selectExpr("id", "1 AS page", "5e0 AS x", "5e0 AS y", "40e0 AS w", "40e0 AS h").union(spark.range(30_000, 60_000).selectExpr("id", "1", "10e0", "10e0", "20e0", "20e0"))
+    df = without_containers(many, 10_000)
+    assert re.search(r"HashJoin \[[^\]]*tx#\d+[^\]]*ty#\d+|SortMergeJoin \[[^\]]*tx#\d+[^\]]*ty#\d+", plan(df))
+    assert [tuple(r) for r in df.agg(F.count("*"), F.min("id")).collect()] == [(30_000, 30_000)]
+    # ids that repeat or are null; a box that only its namesake would lie in; boxes off the page
+    odd = [(1, 1, 0.0, 0.0, 50.0, 50.0), (1, 1, 5.0, 5.0, 9.0, 9.0), (2, 2, -900.0, 900.0, 50.0, 50.0), (3, 2, -895.0, 905.0, 9.0, 9.0), (None, 3, 0.0, 0.0, 50.0, 50.0), (4, 3, 5.0, 5.0, 9.0, 9.0), (5, 4, 0.0, 0.0, 50.0, 50.0), (None, 4, 5.0, 5.0, 9.0, 9.0), (6, None, 0.0, 0.0, 50.0, 50.0)]
+    assert sorted(r.id or 0 for r in without_containers(spark.createDataFrame(odd, box), 10_000).collect()) == [0, 0, 1, 1, 3, 4, 5, 6]

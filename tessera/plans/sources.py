@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.intake import MAX_ENTRIES
 from tessera.operators.lineage import shared_folder
 from tessera.plans.fixtures import table
 from tessera.sources import formats as fm
@@ -44,12 +46,44 @@ def base(column: str) -> F.Column:
     return F.substring_index(column, "/", -1)
 
 
-def zipped(b: pd.DataFrame) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, content in zip(b["name"], b["content"]):
-            z.writestr(name, content)
-    return out.getvalue()
+#: Ids that lie so close may be members of one volume.
+VOLUME_IDS = 50_000
+
+
+def archives(rows: DataFrame, folder: str, entries: int = MAX_ENTRIES) -> None:
+    """Archives of members (id, file, name, content) in the order of ``id``, in volumes: files of one name, each in a folder of its own and with no more entries than an archive may have.
+
+    A task writes volume by volume as rows come in and holds one; volumes are named by what
+    they hold, so a task that is repeated writes the same.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = fm._system(folder)
+        key, n, volume, out, z = None, 0, 0, None, None
+
+        def close() -> None:
+            if z is None:
+                return
+            z.close()
+            home = f"{root}/{key[1]}-{volume}"
+            system.create_dir(home, recursive=True)
+            with system.open_output_stream(f"{home}/{key[0]}") as f:
+                f.write(out.getbuffer())
+
+        for b in batches:
+            for file, part, name, content in zip(b["file"], b["part"], b["name"], b["content"]):
+                if (file, part) != key or n == entries:
+                    close()
+                    volume = volume + 1 if (file, part) == key else 0
+                    key, n, out = (file, part), 0, io.BytesIO()
+                    z = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                z.writestr(name, content)
+                n += 1
+            yield pd.DataFrame({"n": [len(b)]})
+        close()
+
+    parts = rows.withColumn("part", F.floor(F.col("id") / VOLUME_IDS)).repartition("file", "part").sortWithinPartitions("file", "part", "id", "name", "content")
+    parts.mapInPandas(run, "n long").agg(F.sum("n")).collect()
 
 
 MEMBERS = "SELECT o_orderkey AS id, concat('a', o_custkey % 20, '.zip') AS file, CASE WHEN o_orderkey % 17 = 0 THEN concat('../', o_orderkey, '.pdf') WHEN o_orderkey % 3 = 0 THEN concat('notes/', o_orderkey, '.txt') WHEN o_orderkey % 3 = 1 THEN concat('d/', o_orderkey, '.PDF') ELSE concat(o_orderkey, '.xlsx') END AS name, concat(o_orderpriority, repeat('-', CAST(o_orderkey % 50 AS INT)), o_orderkey) AS content FROM {orders}"
@@ -58,9 +92,9 @@ MEMBERS = "SELECT o_orderkey AS id, concat('a', o_custkey % 20, '.zip') AS file,
 @query("sc10_zip_members", f"WITH m AS ({MEMBERS.format(orders='orders')}) SELECT file AS archive, name AS path, CAST(strlen(content) AS BIGINT) AS size_bytes, sha256(content) AS checksum FROM m WHERE name NOT LIKE '../%' AND name NOT LIKE '%.txt'")
 def zip_members(spark: SparkSession, d: str) -> DataFrame:
     folder = shared_folder(spark, "zips")
-    files(spark.sql(MEMBERS, orders=table(spark, d, "orders")), "file", folder, zipped)
+    archives(spark.sql(MEMBERS, orders=table(spark, d, "orders")), folder)
     fm.register(spark)
-    return spark.read.format("tessera_zip").option("bytes", 20_000).load(folder).select(base("archive").alias("archive"), "path", "size_bytes", "checksum")
+    return spark.read.format("tessera_zip").option("bytes", 4 << 20).load(folder).select(base("archive").alias("archive"), "path", "size_bytes", "checksum")
 
 
 NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'

@@ -2,8 +2,8 @@
 
 ``register(spark)`` makes them usable as ``spark.read.format("tessera_zip").load(folder)``. A
 folder is read where all executors reach it, by Arrow's file systems (a local path, or a URI
-such as ``hdfs://``). The driver looks at directories only: file names, the tables of contents
-of archives and workbooks; every partition opens its own file and reads its own members.
+such as ``hdfs://``). The driver looks at directories only: file names and sizes, the tables of contents
+of workbooks and of archives too large for one partition; every partition opens its own files and reads its own members.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql.types import Row, StructType
 from tessera.operators.intake import EXTRACTED, MAX_BYTES, MAX_ENTRIES
 from tessera.sources import xlsx
 
-#: Uncompressed bytes of members that one partition reads, unless the option ``bytes`` says otherwise; a larger member has a partition of its own.
+#: Bytes of whole archives, or uncompressed bytes of members of a larger archive, that one partition reads, unless the option ``bytes`` says otherwise; a larger member has a partition of its own.
 PARTITION_BYTES = 128 << 20
 INLINE_BYTES = 512 * 1024
 
@@ -93,41 +93,84 @@ class _Reader(DataSourceReader):
             return [p for found in pool.map(lambda f: self.plan(system, f), files) for p in found]
 
 
+@dataclass
+class Archives(InputPartition):
+    """Whole archives; or, of one archive, the entries from ``first`` to before ``end``; or what is wrong with it."""
+
+    files: tuple[str, ...]
+    first: int = 0
+    end: int | None = None
+    error: str | None = None
+
+
 class ZipReader(_Reader):
     suffix = ".zip"
 
-    def plan(self, system: object, file: str) -> list[Members]:
+    def entries(self, z: zipfile.ZipFile) -> list[zipfile.ZipInfo] | None:
+        """The files of an archive that may be read, by place; None if there are more, or larger ones, than allowed."""
+        entries = [i for i in z.infolist() if not i.is_dir()]
+        if len(entries) > int(self.options.get("maxentries", MAX_ENTRIES)) or sum(i.file_size for i in entries) > int(self.options.get("maxbytes", MAX_BYTES)):
+            return None
+        return [i for i in entries if i.filename.lower().endswith(EXTRACTED) and is_safe(i.filename)]
+
+    def partitions(self) -> list[Archives]:
+        from pyarrow import fs
+
+        system, path = _system(self.folder)
+        found = sorted((f.path, f.size or 0) for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.is_file and f.path.lower().endswith(self.suffix))
+        most = int(self.options.get("bytes", PARTITION_BYTES))
+        groups, size = [], 0
+        for file, n in found:
+            if n > most:
+                continue
+            if not groups or size + n > most:
+                groups.append([])
+                size = 0
+            groups[-1].append(file)
+            size += n
+        with ThreadPoolExecutor(16) as pool:  # tables of contents only, of large archives only
+            parts = [p for x in pool.map(lambda f: self.plan(system, f), [f for f, n in found if n > most]) for p in x]
+        return parts + [Archives(tuple(g)) for g in groups]
+
+    def plan(self, system: object, file: str) -> list[Archives]:
         try:
             with _zip(system, file) as z:
-                entries = [i for i in z.infolist() if not i.is_dir()]
+                entries = self.entries(z)
         except (zipfile.BadZipFile, NotImplementedError, OSError) as e:
-            return [Members(file, error=type(e).__name__)]
-        if len(entries) > int(self.options.get("maxentries", MAX_ENTRIES)) or sum(i.file_size for i in entries) > int(self.options.get("maxbytes", MAX_BYTES)):
-            return [Members(file, error="archive_limits")]
-        most, out, size = int(self.options.get("bytes", PARTITION_BYTES)), [], 0
-        for i in entries:
-            if not (i.filename.lower().endswith(EXTRACTED) and is_safe(i.filename)):
-                continue
-            if not out or size + i.file_size > most:
-                out.append([])
+            return [Archives((file,), error=type(e).__name__)]
+        if entries is None:
+            return [Archives((file,), error="archive_limits")]
+        most, starts, size = int(self.options.get("bytes", PARTITION_BYTES)), [], 0
+        for k, i in enumerate(entries):
+            if not starts or size + i.file_size > most:
+                starts.append(k)
                 size = 0
-            out[-1].append(i.filename)
             size += i.file_size
-        return [Members(file, tuple(names)) for names in out]
+        return [Archives((file,), a, b) for a, b in zip(starts, [*starts[1:], len(entries)])]
 
-    def read(self, partition: Members) -> Iterator[tuple]:
-        if partition.error:
-            yield partition.file, None, None, None, None, partition.error
-            return
+    def read(self, partition: Archives) -> Iterator[tuple]:
         system, _ = _system(self.folder)
-        with _zip(system, partition.file) as z:
-            for name in partition.names:
-                try:
-                    data = z.read(name)
-                except (zipfile.BadZipFile, NotImplementedError, RuntimeError) as e:  # a broken or locked member
-                    yield partition.file, name, None, None, None, type(e).__name__
-                    continue
-                yield partition.file, name, len(data), hashlib.sha256(data).hexdigest(), data, None
+        for file in partition.files:
+            if partition.error:
+                yield file, None, None, None, None, partition.error
+                continue
+            try:
+                with _zip(system, file) as z:
+                    entries = self.entries(z)
+                    if entries is None:
+                        yield file, None, None, None, None, "archive_limits"
+                        continue
+                    for i in entries[partition.first : partition.end]:
+                        try:
+                            data = z.read(i)  # by its place: names may repeat
+                        except (zipfile.BadZipFile, NotImplementedError, RuntimeError) as e:  # a broken or locked member
+                            yield file, i.filename, None, None, None, type(e).__name__
+                            continue
+                        yield file, i.filename, len(data), hashlib.sha256(data).hexdigest(), data, None
+            except (zipfile.BadZipFile, NotImplementedError, OSError) as e:
+                if partition.end is not None:
+                    raise  # its table of contents was read before
+                yield file, None, None, None, None, type(e).__name__
 
 
 class WorkbookReader(_Reader):

@@ -33,6 +33,27 @@ def test_members_of_one_archive_in_several_partitions(formats, tmp_path):
     assert {r.error for r in formats.read.format("tessera_zip").option("maxBytes", 3).load(str(tmp_path)).collect()} == {"archive_limits", "BadZipFile"}
 
 
+def test_many_members_come_in_volumes(formats, tmp_path):
+    from tessera.plans import sources
+
+    orders = formats.range(30_000).selectExpr("id AS o_orderkey", "id % 40 AS o_custkey", "'2-HIGH' AS o_orderpriority").union(formats.range(1, 2).selectExpr("id", "1L", "'1-URGENT'"))
+    orders = orders.selectExpr("o_orderkey", "20 * (o_custkey % 2) AS o_custkey", "o_orderpriority")  # one archive, three times what one may hold; a name twice
+    (tmp_path / "sf").mkdir()
+    orders.write.parquet(str(tmp_path / "sf" / "orders.parquet"))
+    got = sources.zip_members(formats, str(tmp_path / "sf"))
+    want = formats.sql(sources.MEMBERS, orders=orders).where("name not like '../%' and name not like '%.txt'").selectExpr("file", "name", "octet_length(content)", "sha2(content, 256)")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 10_000
+
+
+def test_small_archives_share_a_partition(formats, tmp_path):
+    for i in range(20):
+        with zipfile.ZipFile(tmp_path / f"{i}.zip", "w") as z:
+            z.writestr("x.pdf", str(i))
+    (tmp_path / "bad.zip").write_bytes(b"?")
+    df = formats.read.format("tessera_zip").option("bytes", 10_000).load(str(tmp_path))
+    assert df.rdd.getNumPartitions() == 1 and df.where("error is null").count() == 20 and df.where("error is not null").count() == 1
+
+
 def test_a_sheet_is_a_partition(formats, tmp_path):
     workbook(tmp_path / "a.xlsx")
     (tmp_path / "broken.xlsx").write_bytes(b"no zip")

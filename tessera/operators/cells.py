@@ -25,9 +25,14 @@ def any_of(c: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
+def row_text() -> Column:
+    """The text of a row's cells in their order, as an aggregate of (col, value)."""
+    return F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda x: search_text(x["value"])))
+
+
 def header_rows(cells: DataFrame, labels: tuple[str, ...]) -> DataFrame:
     """DO19: the first row of each sheet whose text has all labels."""
-    rows = cells.groupBy(*keyed(cells, "sheet", "row")).agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda x: search_text(x["value"]))).alias("t"))
+    rows = cells.groupBy(*keyed(cells, "sheet", "row")).agg(row_text().alias("t"))
     hit = rows
     for label in labels:
         hit = hit.where(F.col("t").contains(label))
@@ -98,12 +103,13 @@ def section_totals(items: DataFrame) -> DataFrame:
 def table_rows(cells: DataFrame, columns: int) -> DataFrame:
     """Rows below the first table header of each sheet, but for those that number columns: first text, the last cell of each column, largest and last number.
 
-    cells: (sheet, row, col, value, pos); a sheet without a header is taken whole.
+    cells: (sheet, row, col, value, pos); a sheet without a header is taken whole, and so are rows
+    without a sheet. The header comes from a window over the rows themselves, so cells are read once.
     """
     keys = keyed(cells, "sheet")
-    header = header_rows(cells, ("обоснование", "наименование"))
+    cells = cells.withColumn("_v", number(F.col("value")))  # below the aggregation, which would work it out for every mention
     integer = F.trim("value").rlike("^[0-9]+$")
-    v = number(F.col("value"))
+    v = F.col("_v")
     place = F.struct("col", "pos")
     rows = cells.groupBy(*keys, "row").agg(
         F.trim(F.min_by("value", place)).alias("first"),
@@ -111,8 +117,11 @@ def table_rows(cells: DataFrame, columns: int) -> DataFrame:
         F.max_by(v, F.when(v.isNotNull(), F.struct(F.abs(v).alias("size"), (-F.col("col")).alias("at")))).alias("largest"),
         F.max_by(v, F.when(v.isNotNull(), place)).alias("last"),
         ((F.count("*") >= 4) & (F.count_if(integer) == F.count("*")) & (F.size(F.collect_set(F.when(integer, F.trim("value").cast("decimal(38,0)")))) >= 4)).alias("numbers"),
+        row_text().alias("whole"),
     )
-    rows = rows.join(header, keys, "left").where((F.col("row") > F.coalesce("header_row", F.lit(0))) & ~F.col("numbers")).drop("header_row", "numbers")
+    header = F.col("whole").contains("обоснование") & F.col("whole").contains("наименование") & reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    rows = rows.withColumn("header_row", F.min(F.when(header, F.col("row"))).over(Window.partitionBy(*keys)))
+    rows = rows.where((F.col("row") > F.coalesce("header_row", F.lit(0))) & ~F.col("numbers")).drop("header_row", "numbers", "whole")
     return rows.withColumn("text", search_text(F.col("first")))
 
 

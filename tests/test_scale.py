@@ -30,3 +30,35 @@ def test_copies_of_boxes_meet_once(spark):
     # ids that repeat or are null; a box that only its namesake would lie in; boxes off the page
     odd = [(1, 1, 0.0, 0.0, 50.0, 50.0), (1, 1, 5.0, 5.0, 9.0, 9.0), (2, 2, -900.0, 900.0, 50.0, 50.0), (3, 2, -895.0, 905.0, 9.0, 9.0), (None, 3, 0.0, 0.0, 50.0, 50.0), (4, 3, 5.0, 5.0, 9.0, 9.0), (5, 4, 0.0, 0.0, 50.0, 50.0), (None, 4, 5.0, 5.0, 9.0, 9.0), (6, None, 0.0, 0.0, 50.0, 50.0)]
     assert sorted(r.id or 0 for r in without_containers(spark.createDataFrame(odd, box), 10_000).collect()) == [0, 0, 1, 1, 3, 4, 5, 6]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def shuffles(df) -> int:
+    """Exchanges of a plan that move rows."""
+    return len(re.findall(r"Exchange hashpartitioning", plan(df)))
+
+
+def same(a, b) -> bool:
+    assert a.dtypes == b.dtypes
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_cells_of_a_sheet_move_once(spark):
+    from tessera.plans import documents, fixtures
+
+    tables = {t: fixtures.table(spark, SF, t) for t in ("lineitem", "orders")}
+    cells = fixtures.fixture(spark, SF, "cells")
+    assert same(cells, spark.sql(fixtures.FIXTURES["cells"], **tables))
+    for name in ("do19_header_row", "do18_template_detect", "do20_row_items", "do24_grid_rows"):
+        assert shuffles(documents.Q[name](spark, SF)) == 1, name
+
+
+def test_lines_of_an_estimate_move_once(spark):
+    from tessera.plans import documents, fixtures
+
+    lineitem = fixtures.table(spark, SF, "lineitem")
+    assert same(documents.estimate(spark, SF), spark.sql(documents.ESTIMATE, lineitem=lineitem))
+    for name in ("do20_estimate_sections", "do20_estimate_items", "do21_resource_groups", "do21_resource_rows"):
+        assert shuffles(documents.Q[name](spark, SF)) == 1, name

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import tables as tb
+from tessera.operators.lineage import stored
 from tessera.plans.fixtures import FIXTURES, table
 
 Q: dict[str, object] = {}
@@ -102,46 +103,52 @@ def query(name: str, last: str):
     return add
 
 
-def part(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.sql(PARTS[name], lineitem=table(spark, d, "lineitem"))
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """line_rows as the parts need them, numbered once and stored: each part would number all lines anew."""
+    return stored(spark.sql(FIXTURES["line_rows"], lineitem=table(spark, d, "lineitem")).drop("price"))
 
 
-def kept(spark: SparkSession, d: str) -> DataFrame:
-    return tb.table_cells(part(spark, d, "cells"), part(spark, d, "regions"), part(spark, d, "wide"))
+def part(rows: DataFrame, name: str) -> DataFrame:
+    return rows.sparkSession.sql(PARTS[name].replace(f"({FIXTURES['line_rows']})", "{lines}"), lines=rows)
 
 
-def read(spark: SparkSession, d: str) -> DataFrame:
-    return tb.readings(part(spark, d, "candidates"), part(spark, d, "texts"))
+def kept(rows: DataFrame) -> DataFrame:
+    return tb.table_cells(part(rows, "cells"), part(rows, "regions"), part(rows, "wide"))
 
 
-def made(spark: SparkSession, d: str) -> DataFrame:
-    return tb.rebuilt_cells(tb.table_grid(kept(spark, d), read(spark, d)))
+def read(rows: DataFrame) -> DataFrame:
+    return tb.readings(part(rows, "candidates"), part(rows, "texts"))
+
+
+def made(rows: DataFrame) -> DataFrame:
+    return tb.rebuilt_cells(tb.table_grid(kept(rows), read(rows)))
 
 
 @query("cv16_strip_exclude", "SELECT doc, page, region, row, col, round(confidence, 6) AS confidence, mode FROM kept")
 def strip_exclude(spark: SparkSession, d: str) -> DataFrame:
-    return kept(spark, d).select("doc", "page", "region", "row", "col", F.round("confidence", 6).alias("confidence"), "mode")
+    return kept(lines(spark, d)).select("doc", "page", "region", "row", "col", F.round("confidence", 6).alias("confidence"), "mode")
 
 
 @query("cv16_strip_branches", "SELECT doc, page, region, branch FROM lim")
 def strip_branches(spark: SparkSession, d: str) -> DataFrame:
-    return tb.strip_limits(part(spark, d, "cells").where("mode = 'cv_grid'"), part(spark, d, "regions")).select("doc", "page", "region", "branch")
+    rows = lines(spark, d)
+    return tb.strip_limits(part(rows, "cells").where("mode = 'cv_grid'"), part(rows, "regions")).select("doc", "page", "region", "branch")
 
 
 @query("w4_joined_fragments", "SELECT doc, page, region, row, col, table_id, table_row FROM joined")
 def joined_fragments(spark: SparkSession, d: str) -> DataFrame:
-    return tb.joined_fragments(kept(spark, d)).select("doc", "page", "region", "row", "col", "table_id", "table_row")
+    return tb.joined_fragments(kept(lines(spark, d))).select("doc", "page", "region", "row", "col", "table_id", "table_row")
 
 
 @query("cv13_table_cells", "SELECT doc, region, row, col, s.candidate AS candidate, s.text AS text, s.status AS status, candidates, flags FROM chosen")
 def chosen(spark: SparkSession, d: str) -> DataFrame:
-    out = tb.chosen_readings(read(spark, d))
+    out = tb.chosen_readings(read(lines(spark, d)))
     return out.select("doc", "region", "row", "col", "s.candidate", "s.text", "s.status", F.array_join("candidates", ",").alias("candidates"), F.array_join("flags", "|").alias("flags"))
 
 
 @query("cv14_table_cells", "SELECT doc, table_id, page, region, row_index, column_index, row_span, text, x, y, round(confidence, 6) AS confidence, candidates, selected, status, flags FROM made")
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    out = made(spark, d)
+    out = made(lines(spark, d))
     return out.select("doc", "table_id", "page", "region", "row_index", "column_index", "row_span", "text", "x", "y", F.round("confidence", 6).alias("confidence"), F.array_join("candidates", ",").alias("candidates"), "selected", "status", F.array_join("flags", "|").alias("flags"))
 
 
@@ -156,7 +163,7 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
     coalesce(nullif(concat_ws('|', CASE WHEN wide THEN 'wide_table_inferred_grid' END, CASE WHEN missing_candidates > 0 THEN 'partial_ocr_coverage' END, CASE WHEN low_confidence > 0 THEN 'low_confidence_ocr' END, CASE WHEN empty_texts > 0 THEN 'empty_ocr_text' END, CASE WHEN gaps THEN 'irregular_grid_indexes' END), ''), 'ok') AS flags
  FROM t JOIN q USING (doc, table_id)""")
 def quality(spark: SparkSession, d: str) -> DataFrame:
-    out = tb.rebuilt_tables(made(spark, d))
+    out = tb.rebuilt_tables(made(lines(spark, d)))
     selected = F.array_join(F.flatten(F.transform("rows", lambda r: F.transform(r["cells"], lambda c: c["selected"]))), ",")
     return out.select("doc", "table_id", "x", "y", "w", "h", "row_count", "cell_count", "text_cells", "empty_cells", "missing_candidates", "low_confidence", "empty_texts", F.array_join("source_regions", ",").alias("source_regions"), selected.alias("selected"), "coverage_policy", F.array_join("flags", "|").alias("flags"))
 
@@ -165,6 +172,7 @@ def quality(spark: SparkSession, d: str) -> DataFrame:
  SELECT d.doc, CASE WHEN asked IS NULL AND d.doc NOT IN (SELECT doc FROM kept) THEN 'table_reconstruction_skipped_no_candidates' WHEN asked = unread THEN 'table_reconstruction_skipped_no_ocr_text' ELSE 'table_reconstruction_completed' END AS code,
     coalesce(tables, 0) AS tables, coalesce(cells, 0) AS cells, coalesce(unread, 0) AS unread FROM d LEFT JOIN a USING (doc) LEFT JOIN m USING (doc)""")
 def status(spark: SparkSession, d: str) -> DataFrame:
-    grid, r = kept(spark, d), read(spark, d)
+    rows = lines(spark, d)
+    grid, r = kept(rows), read(rows)
     documents = table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc"))
     return tb.reconstruction_status(documents, grid, r, tb.rebuilt_tables(tb.rebuilt_cells(tb.table_grid(grid, r))))

@@ -62,3 +62,11 @@ def test_lines_of_an_estimate_move_once(spark):
     assert same(documents.estimate(spark, SF), spark.sql(documents.ESTIMATE, lineitem=lineitem))
     for name in ("do20_estimate_sections", "do20_estimate_items", "do21_resource_groups", "do21_resource_rows"):
         assert shuffles(documents.Q[name](spark, SF)) == 1, name
+
+
+def test_lines_of_crops_are_numbered_once(spark):
+    from tessera.plans import tables
+
+    for name in ("cv14_table_cells", "cv14_table_quality", "cv14_reconstruction_status"):
+        text = plan(tables.Q[name](spark, SF))
+        assert "l_orderkey" not in text and "row_number() windowspecdefinition(l_" not in text, name

@@ -11,22 +11,45 @@ from pyspark.sql import functions as F
 from tessera.functions.geometry import has_centre, over_first
 
 
+#: So many ids of equal boxes, about, stand in one list; two lists meet as one row.
+BOX_LIST = 1024
+
+
 def words_in_crops(words: DataFrame, crops: DataFrame, tile: int = 50) -> DataFrame:
     """J12/CV11: words that lie half in a crop of their page or have their centre in it.
 
-    Both sides are listed by the tiles of the page that they touch, so that words meet
-    only crops near them; a pair counts at the tile of its first shared corner.
+    Equal boxes are one class, and only classes are compared: both sides are listed by the tiles of
+    the page that they touch, and a pair counts at the tile of its first shared corner. The ids of a class
+    stand in lists of bounded length; each list of words meets each list of crops, wherever that pair
+    falls, and only there becomes a row for every word and crop.
     """
+    box = ["page", "x", "y", "w", "h"]
 
     def tiled(df: DataFrame) -> DataFrame:
         span = lambda a, s: F.explode(F.sequence(F.floor(F.col(a) / tile), F.floor((F.col(a) + F.col(s)) / tile)))
         return df.withColumn("tx", span("x", "w")).withColumn("ty", span("y", "h"))
 
-    a, b = tiled(words).alias("a"), tiled(crops).alias("b")
+    def classes(df: DataFrame, side: str) -> DataFrame:
+        n = df.where("page is not null").groupBy(*box).agg(F.ceil(F.count("*") / BOX_LIST).alias("lists"))
+        return n.select(*box, F.struct(*box).alias(side), F.col("lists").alias(f"{side}_lists"))
+
+    def lists(df: DataFrame, classes: DataFrame, side: str) -> DataFrame:
+        rows = df.select(F.struct(*box).alias(side), "id", F.xxhash64(*df.columns).alias("mix"))
+        rows = rows.join(classes.select(side, f"{side}_lists"), side).withColumn(f"{side}_list", F.pmod("mix", f"{side}_lists"))
+        return rows.groupBy(side, f"{side}_list").agg(F.collect_list(F.struct("id"))["id"].alias(f"{side}_ids"))  # null ids stay
+
+    word, crop = classes(words, "word"), classes(crops, "crop")
+    a, b = tiled(word).alias("a"), tiled(crop).alias("b")
     on = (F.col("a.page") == F.col("b.page")) & (F.col("a.tx") == F.col("b.tx")) & (F.col("a.ty") == F.col("b.ty"))
     here = (F.floor(F.greatest("a.x", "b.x") / tile) == F.col("a.tx")) & (F.floor(F.greatest("a.y", "b.y") / tile) == F.col("a.ty"))
     hit = (over_first("a", "b") >= 0.5) | has_centre("b", "a")
-    return a.join(b, on & here & hit).select(F.col("b.id").alias("crop"), F.col("a.id").alias("word"))
+    met = a.join(b, on & here & hit).select("word", "crop", "word_lists", "crop_lists")
+    each = lambda side: F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{side}_lists") - 1))
+    met = met.withColumn("word_list", each("word")).withColumn("crop_list", each("crop")).drop("word_lists", "crop_lists")
+    met = met.join(lists(words, word, "word"), ["word", "word_list"]).join(lists(crops, crop, "crop"), ["crop", "crop_list"])
+    # dealt evenly: pairs of lists are few and short, and each stands for many rows
+    met = met.select("word_ids", "crop_ids").repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return met.select("word_ids", F.explode("crop_ids").alias("crop")).select("crop", F.explode("word_ids").alias("word"))
 
 
 def line_text(words: DataFrame, keys: list[str]) -> DataFrame:

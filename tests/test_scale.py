@@ -32,6 +32,26 @@ def test_copies_of_boxes_meet_once(spark):
     assert sorted(r.id or 0 for r in without_containers(spark.createDataFrame(odd, box), 10_000).collect()) == [0, 0, 1, 1, 3, 4, 5, 6]
 
 
+def test_equal_boxes_meet_once_and_all_pairs_are_there(spark):
+    from tessera.operators.pagegrid import BOX_LIST, words_in_crops
+
+    box = "id long, page int, x double, y double, w double, h double"
+    n, m = 2 * BOX_LIST + 7, BOX_LIST + 1
+    words = spark.range(n).selectExpr("id", "1 AS page", "5e0 AS x", "5e0 AS y", "4e0 AS w", "4e0 AS h")
+    crops = spark.range(m).selectExpr("id", "1 AS page", "0e0 AS x", "0e0 AS y", "60e0 AS w", "60e0 AS h")
+    df = words_in_crops(words, crops)
+    got = df.agg(F.count("*"), F.countDistinct("crop", "word")).first()
+    assert tuple(got) == (n * m, n * m)
+    # no join has rows of the result on its way: boxes meet, then lists of ids
+    assert df.columns == ["crop", "word"]
+    assert re.search(r"Generate explode\(word_ids#", plan(df)) and re.search(r"Generate explode\(crop_ids#", plan(df))
+    # rows that repeat, null ids, null pages and places, boxes without area
+    odd_words = [(1, 1, 5.0, 5.0, 4.0, 4.0), (1, 1, 5.0, 5.0, 4.0, 4.0), (None, 1, 5.0, 5.0, 4.0, 4.0), (2, None, 5.0, 5.0, 4.0, 4.0), (3, 1, None, 5.0, 4.0, 4.0), (4, 1, 5.0, 5.0, 0.0, 0.0), (5, 2, 5.0, 5.0, 4.0, 4.0)]
+    odd_crops = [(7, 1, 0.0, 0.0, 60.0, 60.0), (7, 1, 0.0, 0.0, 60.0, 60.0), (None, 1, 0.0, 0.0, 60.0, 60.0), (8, 2, 7.0, 7.0, 60.0, 60.0), (9, 2, 7.5, 7.5, 60.0, 60.0)]
+    shown = sorted((r.crop or 0, r.word or 0) for r in words_in_crops(spark.createDataFrame(odd_words, box), spark.createDataFrame(odd_crops, box)).collect())
+    assert shown == sorted([(c, w) for c in (7, 7, 0) for w in (1, 1, 0, 4)] + [(8, 5)])
+
+
 SF = "/root/testdata/sf0.001"
 
 

@@ -14,7 +14,6 @@ from tessera.operators.intake import MAX_ENTRIES
 from tessera.operators.lineage import shared_folder
 from tessera.plans.fixtures import table
 from tessera.sources import formats as fm
-from tessera.sources import stores as so
 
 Q: dict[str, object] = {}
 SQL: dict[str, str] = {}
@@ -147,6 +146,5 @@ def spilled_payloads(spark: SparkSession, d: str) -> DataFrame:
     folder = shared_folder(spark, "payloads")
     fm.register(spark)
     table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("payload")).write.format("tessera_payloads").option("inline", 2000).mode("append").save(folder)
-    rows = spark.read.format("tessera_payloads").load(folder)
-    store = so.objects(spark, f"{folder}/jobs").where("path like '%/payloads/%'").select(F.concat(F.lit("jobs/"), F.substring_index("path", "/jobs/", -1)).alias("ref"), F.col("content").cast("string").alias("body"))
-    return so.hydrate(rows, store).join(rows.select("id", "storage"), "id").select("id", "storage", F.md5("payload").alias("digest"))
+    rows = spark.read.format("tessera_payloads").option("bodies", "true").load(folder)
+    return rows.select("id", "storage", F.md5("payload").alias("digest"))

@@ -28,6 +28,8 @@ from tessera.sources import xlsx
 #: Bytes of whole archives, or uncompressed bytes of members of a larger archive, that one partition reads, unless the option ``bytes`` says otherwise; a larger member has a partition of its own.
 PARTITION_BYTES = 128 << 20
 INLINE_BYTES = 512 * 1024
+#: A partition opens so many objects at once, and puts out rows, as it writes them, when their payloads have so many bytes.
+OPEN_AT_ONCE, BODY_BYTES = 8, 4 << 20
 
 
 def _system(path: str) -> tuple[object, str]:
@@ -270,6 +272,7 @@ class PayloadWriter(DataSourceWriter):
         home, file = f"{root}/jobs/{self.job}", f"part-{uuid.uuid4().hex}.parquet"
         system.create_dir(f"{home}/payloads", recursive=True)
         schema, n, batch = pa.schema([("id", pa.int64()), ("storage", pa.string()), ("payload", pa.string()), ("ref", pa.string())]), 0, []
+        held = 0
         with system.open_output_stream(f"{home}/{file}") as out, pq.ParquetWriter(out, schema) as table:
 
             def flush() -> None:
@@ -286,8 +289,10 @@ class PayloadWriter(DataSourceWriter):
                         f.write(body)
                 batch.append({"id": row["id"], "storage": "payload_ref" if ref else "inline", "payload": None if ref else row["payload"], "ref": ref})
                 n += 1
-                if len(batch) >= 1000:
+                held += 0 if ref else len(body or b"")
+                if len(batch) >= 1000 or held >= BODY_BYTES:
                     flush()
+                    held = 0
             flush()
         return Written(f"jobs/{self.job}/{file}", n)
 
@@ -342,8 +347,10 @@ def vacuum(folder: str, older_than: float = 86_400.0) -> list[str]:
 
 
 class PayloadReader(DataSourceReader):
+    """Rows as written. With the option ``bodies``, a large payload too stands in its row: each partition opens the objects that its own rows name, so none is listed and no payload is moved. An object that is gone is an error."""
+
     def __init__(self, options: dict[str, str]) -> None:
-        self.folder = options["path"]
+        self.folder, self.bodies = options["path"], options.get("bodies", "false").lower() == "true"
 
     def partitions(self) -> list[Members]:
         return [Members(f) for f in manifest(self.folder)[1]]
@@ -353,7 +360,34 @@ class PayloadReader(DataSourceReader):
 
         system, root = _system(self.folder)
         with system.open_input_file(f"{root}/{partition.file}") as f:
-            yield from pq.ParquetFile(f).iter_batches(10_000)
+            if not self.bodies:
+                yield from pq.ParquetFile(f).iter_batches(10_000)
+            else:
+                with ThreadPoolExecutor(OPEN_AT_ONCE) as pool:
+                    for batch in pq.ParquetFile(f).iter_batches(10_000):
+                        yield from self.filled(system, root, batch, pool)
+
+    def filled(self, system: object, root: str, batch: object, pool: ThreadPoolExecutor) -> Iterator[object]:
+        """Stretches of a batch with the payloads of its objects, each of BODY_BYTES and one window of objects more at most."""
+        import pyarrow as pa
+
+        def body(ref: str | None) -> bytes | None:
+            if ref is None:
+                return None
+            with system.open_input_stream(f"{root}/{ref}") as f:
+                return f.read()
+
+        refs, own, at = batch["ref"].to_pylist(), batch["payload"].to_pylist(), 0
+        place = batch.schema.get_field_index("payload")
+        while at < len(refs):
+            texts, size = [], 0
+            while at + len(texts) < len(refs) and size < BODY_BYTES:
+                low = at + len(texts)
+                for text, found in zip(own[low : low + OPEN_AT_ONCE], pool.map(body, refs[low : low + OPEN_AT_ONCE])):
+                    texts.append(text if found is None else found.decode())
+                    size += len(found or b"")
+            yield batch.slice(at, len(texts)).set_column(place, "payload", pa.array(texts, pa.string()))
+            at += len(texts)
 
 
 class Payloads(DataSource):

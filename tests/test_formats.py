@@ -94,6 +94,32 @@ def test_large_payloads_are_objects(formats, tmp_path):
     assert {r.id: r.payload for r in so.hydrate(payloads(formats, folder), store).collect()} == {1: "small", 2: "L" * 300, 3: None, 4: "L" * 300, 5: "é" * 60}
 
 
+def test_payloads_are_read_back_with_their_rows(formats, tmp_path, monkeypatch):
+    from tessera.plans.sources import spilled_payloads
+
+    folder = f"{tmp_path}/store"
+    want = [(k, None if k % 7 == 0 else "é" * (k % 90)) for k in range(300)] + [(5, "L" * 400), (None, "L" * 400), (5, "")]
+    formats.createDataFrame(want, "id long, payload string").repartition(3).write.format("tessera_payloads").option("inline", 60).mode("append").save(folder)
+    got = formats.read.format("tessera_payloads").option("bodies", "true").load(folder).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[1] is None)
+    assert sorted(((r.id, r.payload) for r in got), key=key) == sorted(want, key=key)
+    assert all((r.storage == "payload_ref") == (r.ref is not None) == (len((r.payload or "").encode()) > 60) for r in got)
+    # stretches of a batch end by bytes
+    reader = fm.PayloadReader({"path": folder, "bodies": "TRUE"})
+    monkeypatch.setattr(fm, "BODY_BYTES", 500)
+    sizes = [sum(len(x or "") for x in b["payload"].to_pylist()) for p in reader.partitions() for b in reader.read(p)]
+    assert sum(sizes) == sum(len(t or "") for _, t in want) and len(sizes) > 10 and max(sizes) < 500 + 8 * 400
+    # ids that repeat give their own rows, and nothing is joined
+    docs = [(1, "a" * 2001), (1, "b"), (1, "a" * 2001), (2, None)]
+    formats.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/in/documents.parquet")
+    df = spilled_payloads(formats, f"{tmp_path}/in")
+    assert sorted((r.id, r.storage, r.digest is None) for r in df.collect()) == [(1, "inline", False), (1, "payload_ref", False), (1, "payload_ref", False), (2, "inline", True)]
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    os.remove(next(os.path.join(d, f) for d, _, fs in os.walk(f"{folder}/jobs") for f in fs if d.endswith("/payloads")))
+    with pytest.raises(Exception, match="payloads/"):
+        formats.read.format("tessera_payloads").option("bodies", "true").load(folder).collect()
+
+
 def test_a_task_that_fails_leaves_the_old_table(formats, tmp_path):
     folder = f"{tmp_path}/store"
     save = lambda df, mode: df.write.format("tessera_payloads").option("inline", 10).mode(mode).save(folder)

@@ -8,7 +8,7 @@ The score of a document is the sum of the log-probabilities of all its tokens.
 The vocabulary comes from counts over the whole corpus and grows with it: every word whose
 count is at least a share of the square root of all tokens has a symbol. The others share
 symbols, and the probability of such a symbol is split among its words by their counts. Each task trains a copy of the
-network on masked positions of its documents; copies are averaged, weighted by tokens,
+network on its documents, every position masked in one of the rounds; copies are averaged, weighted by tokens,
 in a tree of bounded fan-in, and the average is the start of the next round.
 """
 
@@ -40,6 +40,8 @@ LOG_UNIT = 1 << 32
 BLOCK = 1 << 16
 #: Scores come from products of so many rows each: one step of the matrix kernels, in which every row is rounded alike.
 TILE = 8
+#: Training takes so many documents at once.
+STRETCH = 500
 HASH_BITS = (1 << 60) - 1
 
 
@@ -120,8 +122,7 @@ class Network:
             np.matmul(h[a:b].T, d[a:b], out=grad[i])
             back[a:b] += d[a:b] @ self.to_token[c].T
         grad /= n
-        memory[1][here] += grad * grad
-        self.to_token[here] -= rate * grad / np.sqrt(memory[1][here])
+        self.to_token[here] -= _scaled(memory[1], here, grad, rate)
         dx = back[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2) / n
         memory[0] += grad_class * grad_class
         self.to_class -= rate * grad_class / np.sqrt(memory[0])
@@ -130,8 +131,7 @@ class Network:
             row = context[order, k]
             first = _starts(row)
             symbols, grad = row[first], np.add.reduceat(dx[order], first, axis=0)
-            memory[2][k][symbols] += grad * grad
-            self.embed[k][symbols] -= rate * grad / np.sqrt(memory[2][k][symbols])
+            self.embed[k][symbols] -= _scaled(memory[2][k], symbols, grad, rate)
 
     def memory(self) -> list[np.ndarray]:
         return [np.full_like(x, 1e-6) for x in (self.to_class, self.to_token, self.embed)]
@@ -164,8 +164,20 @@ def _log_sum(z: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _soft(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    """Softmax of each row; z is overwritten."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def _scaled(memory: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float) -> np.ndarray:
+    """The step of some rows, which their memory of squares scales; grad is overwritten."""
+    now = memory[rows] + grad * grad
+    memory[rows] = now
+    grad *= rate
+    grad /= np.sqrt(now, out=now)
+    return grad
 
 
 @dataclass
@@ -265,16 +277,27 @@ def count_words(docs: DataFrame, text_col: str = "text") -> Vocabulary:
     return Vocabulary(words, totals, rest.where("n > 1"))
 
 
-def chosen(context: np.ndarray, target: np.ndarray, share: float, seed: int) -> np.ndarray:
-    """About that share of the positions, in mixed order: by a hash of what stands there and how often it has in this block, not of where the files are split."""
+def chosen(context: np.ndarray, target: np.ndarray, place: np.ndarray, low: float, high: float, seed: int) -> np.ndarray:
+    """The positions whose hash, a number from 0 to 1, is in [low, high), in mixed order.
+
+    The hash is of what stands there and its place in the document, so files, batches
+    and partitions do not change it, and every position is in one of the parts that cover 0 to 1.
+    """
     x = np.full(len(target), seed, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for column in (target, *context.T, np.arange(len(target)) // 64):
+    for column in (target, *context.T, place):
         x = (x ^ column.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(29)
-    at = np.flatnonzero(x >> np.uint64(11) < np.uint64(int(share * (1 << 53))))
+    at = x >> np.uint64(11)
+    at = np.flatnonzero((at >= np.uint64(int(low * (1 << 53)))) & (at < np.uint64(int(high * (1 << 53)))))
     return at[np.argsort(x[at] * np.uint64(0x94D049BB133111EB), kind="stable")]
 
 
+def places(ids: list[np.ndarray]) -> np.ndarray:
+    """The place of every token in its document."""
+    n = np.array([len(d) for d in ids], np.int64)
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 def encoded(docs: DataFrame, words: Vocabulary, id_col: str | None = "doc_id", text_col: str = "text") -> DataFrame:
     """One stored row for each document, which training and scoring read: its id as k, n_tokens, its symbols as bytes, and the hashes of its words without a symbol of their own."""
     local, kind = words.local(), words.kind
@@ -291,14 +314,31 @@ def encoded(docs: DataFrame, words: Vocabulary, id_col: str | None = "doc_id", t
     return written(rows.select("row", "k", "x.*"))
 
 
+def parts(turn: int, share: float) -> list[tuple[float, float]]:
+    """What a round masks of the circle of hashes from 0 to 1: a share of it from where the round before ended."""
+    low = turn * share % 1
+    low = 0.0 if math.isclose(low, 1) else low
+    if low + share < 1 or math.isclose(low + share, 1):
+        return [(low, 1.0 if math.isclose(low + share, 1) else low + share)]
+    return [(low, 1.0), (0.0, low + share - 1)]
+
+
 def train(docs: DataFrame, words: Vocabulary, text_col: str = "text", **options: object) -> Network:
     """The network trained on docs; options are those of train_encoded."""
     return train_encoded(encoded(docs, words, None, text_col), words, **options)
 
 
-def train_encoded(rows: DataFrame, words: Vocabulary, rounds: int = 2, share: float = 0.08, rate: float = 0.05, batch: int = 1024, seed: int = 0) -> Network:
-    """The network after ``rounds`` of training; in each, a share of the positions of every document is masked and predicted."""
+def train_encoded(rows: DataFrame, words: Vocabulary, rounds: int = 2, share: float | None = None, rate: float = 0.05, batch: int | None = None, seed: int = 0) -> Network:
+    """The network after ``rounds`` of training; in each, a share of the positions of every document is masked and predicted.
+
+    Unless a share is given, it is 1 / rounds, and every position is masked in exactly one
+    round. Shares follow each other around the circle of position hashes. Unless its
+    size is given, a gradient step takes a sixteenth of what STRETCH documents have masked,
+    from 256 to as many as one matrix of the network has entries, 8192 at least.
+    """
     classes, kind = words.classes, words.kind
+    share = 1 / rounds if share is None else share
+    most = max(8192, classes**2)
     flat = Network.fresh(seed, classes).flat()
     for turn in range(rounds):
         start = flat
@@ -309,11 +349,14 @@ def train_encoded(rows: DataFrame, words: Vocabulary, rounds: int = 2, share: fl
             net, task, seen = Network.of(start, classes), TaskContext.get().partitionId(), 0
             memory = net.memory()
             for b in batches:
-                for at in range(0, len(b), 500):
-                    context, target = windows([np.frombuffer(x, kind) for x in b["symbols"].iloc[at : at + 500]], classes * classes)
-                    masked = chosen(context, target, share, seed + turn)
-                    for i in range(0, len(masked), batch):
-                        some = masked[i : i + batch]
+                for at in range(0, len(b), STRETCH):
+                    ids = [np.frombuffer(x, kind) for x in b["symbols"].iloc[at : at + STRETCH]]
+                    context, target = windows(ids, classes * classes)
+                    masked = [chosen(context, target, places(ids), low, high, seed) for low, high in parts(turn, share)]
+                    masked = np.concatenate(masked)
+                    size = batch or min(max(256, len(masked) // 16), most)
+                    for i in range(0, len(masked), size):
+                        some = masked[i : i + size]
                         net.step(context[some], target[some], memory, rate)
                     seen += len(masked)
             if seen:

@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from tessera.llm.pseudolm import CLASSES, SIDE, SYMBOLS, Network, Symbols, count_words, pseudo_likelihood, score, train, windows
+from tessera.llm import pseudolm
+from tessera.llm.pseudolm import CLASSES, SIDE, SYMBOLS, Network, Symbols, chosen, count_words, parts, places, pseudo_likelihood, score, train, windows
 
 
 def test_a_distribution_over_all_symbols():
@@ -106,3 +108,27 @@ def test_repeated_texts_score_alike_under_any_partitioning(spark):
     net = train(docs, words)
     got = [{r.doc_id: r.log_prob for r in score(docs.repartition(n), words, net).collect()} for n in (1, 7)]
     assert got[0] == got[1] and all(got[0][i] == got[0][i % 60] for i in got[0])
+
+
+def test_every_position_is_masked_in_one_round():
+    rng = np.random.default_rng(7)
+    docs = [rng.integers(0, 9, n) for n in (0, 1, 700, 3, 0, 90)]
+    context, target = windows(docs)
+    assert places(docs).tolist() == [i for d in docs for i in range(len(d))]
+    for rounds in (1, 2, 3, 7):
+        took = [np.concatenate([chosen(context, target, places(docs), *p, 0) for p in parts(k, 1 / rounds)]) for k in range(rounds)]
+        assert sorted(np.concatenate(took)) == list(range(len(target)))
+        assert rounds > 3 or min(map(len, took)) > len(target) / rounds / 2
+    # a document's positions are the same ones in any company
+    whole = chosen(context, target, places(docs), *parts(1, 0.5)[0], 0)
+    alone = chosen(*windows(docs[2:3]), places(docs[2:3]), *parts(1, 0.5)[0], 0)
+    assert sorted(x - 1 for x in whole if 1 <= x < 701) == sorted(alone)
+    assert np.allclose(parts(3, 0.4), [(0.2, 0.6)]) and np.allclose(parts(2, 0.4), [(0.8, 1), (0, 0.2)])
+
+
+def test_training_sees_every_token(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 13}" for k in range(40))) for i in range(50)], "doc_id long, text string").repartition(3)
+    seen = []
+    monkeypatch.setattr(pseudolm, "drop_written", lambda copies: seen.append(copies.where("slice = 0").agg(F.sum("n")).first()[0]))
+    train(docs, count_words(docs))
+    assert len(seen) == 2 and sum(seen) == 2000

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held, written
+from tessera.llm.common import forget, held, written
 
 SPACE = "▁"
 #: Longest chunk, in code points of the prepared text.
@@ -76,7 +76,7 @@ class Lookup:
 class Vocabulary:
     """A SentencePiece byte-pair model with byte fallback, read from its file."""
 
-    REMEMBERED = 200_000
+    REMEMBERED = 50_000
     CACHE = 1 << 21
 
     def __init__(self, path: str) -> None:
@@ -502,7 +502,7 @@ def encode_text(v: Vocabulary, text: str, chunk: int = CHUNK) -> bytes:
 
 
 def vocabulary(path: str) -> Vocabulary:
-    """The worker's own, kept from task to task."""
+    """The worker's own, kept until ``forget``."""
     return held(("maxplus", path), lambda: Vocabulary(path))
 
 
@@ -583,14 +583,21 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     size = F.length("t") + 1  # with the space put before it
     result = ["n_ids", "ids_crc32", "decoded_sha256"] if digest else ["ids"]
 
-    @F.pandas_udf(DIGEST if digest else "ids binary")
-    def short(texts: pd.Series) -> pd.DataFrame:
+    def encoded(texts: pd.Series) -> pd.DataFrame:
         v, parts = vocabulary(model), []
         for at in range(0, len(texts), 600):
             ids = v.encode_short([v.prepare(t) for t in texts.iloc[at : at + 600]])
             parts.append(digested(v, ids) if digest else pd.DataFrame({"ids": ids}))
         return pd.concat(parts) if parts else pd.DataFrame(columns=result)
 
+    # more workers wait their turn than work at once: none keeps its tables after a task
+    @F.pandas_udf(DIGEST if digest else "ids binary")
+    def short(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from map(encoded, batches)
+        finally:
+            forget()
+
     small = slim.where(size <= chunk).select("k", short("t").alias("x")).select("k", "x.*")
 
     prepared = F.concat(F.lit(SPACE), F.translate("t", " ", SPACE))
@@ -600,28 +607,44 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     cut = cut.select("k", "row", "n", "begin", (F.col("begin") / chunk).cast("int").alias("at"), low.alias("low"), F.least(F.col("begin") + chunk, "n").alias("end"), F.substring("t", low + 1, F.least(F.col("begin") + chunk, "n") + 1 - low).alias("t"))
     pieces = written(cut)
 
-    def flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def flattened(b: pd.DataFrame) -> pd.DataFrame:
         v = vocabulary(model)
         if v.longest >= LONGEST:
             raise ValueError(f"a piece of {v.longest} code points")
-        for b in batches:
-            rows = [(r.row, r.at, listed(chunk_matrix(v, r.t, r.low, r.begin, r.end, r.end == r.n))) for r in b.itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=["row", "at", "m"])
+        rows = [(r.row, r.at, listed(chunk_matrix(v, r.t, r.low, r.begin, r.end, r.end == r.n))) for r in b.itertuples(index=False)]
+        return pd.DataFrame(rows, columns=["row", "at", "m"])
 
-    @F.pandas_udf("binary")
-    def back(t: pd.Series, low: pd.Series, begin: pd.Series, end: pd.Series, x: pd.Series) -> pd.Series:
+    def flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from map(flattened, batches)
+        finally:
+            forget()
+
+    def traced_back(t: pd.Series, low: pd.Series, begin: pd.Series, end: pd.Series, x: pd.Series) -> pd.Series:
         v = vocabulary(model)
-        return pd.Series([v.trace(t, b - o, e - o, (x[0] - o, x[1]), (x[2] - o, x[3]))[1] for t, o, b, e, x in zip(t, low, begin, end, x)])
+        return pd.Series([v.trace(t, b - o, e - o, (x[0] - o, x[1]), (x[2] - o, x[3]))[1] for t, o, b, e, x in zip(t, low, begin, end, x)], dtype=object)
+
+    @F.pandas_udf("binary")
+    def back(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        try:
+            yield from (traced_back(*b) for b in batches)
+        finally:
+            forget()
 
     matrices = pieces.select("row", "at", "n", "begin", "low", "end", "t").mapInPandas(flat, "row string, at int, m array<array<int>>")
-    traced = pieces.join(borders(matrices), ["row", "at"]).select("k", "row", "at", back("t", "low", "begin", "end", "x").alias("ids"))
+    # stored, so that no task has a worker that settles beside one that traces, each with its own memory
+    settled = written(borders(matrices))
+    traced = pieces.join(settled, ["row", "at"]).select("k", "row", "at", back("t", "low", "begin", "end", "x").alias("ids"))
     parts = traced.groupBy("row", "k").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("x"))
     joined = F.aggregate("x", F.lit(b"").cast("binary"), lambda a, y: F.concat(a, y["ids"]))
     whole = parts.select("k", joined.alias("ids"))
 
     @F.pandas_udf(DIGEST)
-    def sum_up(ids: pd.Series) -> pd.DataFrame:
-        return digested(vocabulary(model), ids)
+    def sum_up(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from (digested(vocabulary(model), ids) for ids in batches)
+        finally:
+            forget()
 
     if digest:
         whole = whole.select("k", sum_up("ids").alias("x")).select("k", "x.*")

@@ -276,22 +276,30 @@ def mask_pii(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") ->
     alike; an empty table gives no rows.
     """
 
+    # workers wait for other steps after this: they give their memory back at both ends of a task
     def patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forget()
-        for b in batches:
-            yield pd.DataFrame({"x": pd.Series([x for t in b["t"] for x in scanned(t)], dtype=object)})
+        try:
+            yield from (pd.DataFrame({"x": pd.Series([x for t in b["t"] for x in scanned(t)], dtype=object)}) for b in batches)
+        finally:
+            forget()
 
     small_batches(docs.sparkSession)
     theta = fit(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInPandas(patterns, "x array<int>"))
 
+    def masked_texts(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            found = scanned(t)
+            out.append(masked(t, [s for some in decided(found, theta, threshold) for s in some]) if found else t)
+        return pd.Series(out, index=texts.index, dtype=object)
+
     @F.pandas_udf("string")
     def mask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         forget()
-        for texts in batches:
-            out = []
-            for t in texts:
-                found = scanned(t)
-                out.append(masked(t, [s for some in decided(found, theta, threshold) for s in some]) if found else t)
-            yield pd.Series(out, index=texts.index, dtype=object)
+        try:
+            yield from map(masked_texts, batches)
+        finally:
+            forget()
 
     return docs.withColumn(text_col, mask(F.col(text_col)))

@@ -71,3 +71,24 @@ def test_digests(spark):
     for r, t in zip(sorted(encode(df, PATH, chunk=128, digest=True).collect()), ["a b", "", "x" * 300, "é漢 \n"]):
         ids = np.array(MODEL.encode(t), "<u4")
         assert (r.n_ids, r.ids_crc32, r.decoded_sha256) == (len(ids), zlib.crc32(ids.tobytes()), hashlib.sha256(t.encode()).hexdigest())
+
+
+def test_a_task_has_one_python_worker(spark):
+    docs = spark.createDataFrame([(1, "one two " * 300), (2, "short"), (3, None)], "doc_id long, text string")
+    df = encode(docs, PATH, chunk=100)
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in df.collect()} == {k: MODEL.encode(t or "") for k, t in docs.collect()}
+
+
+def test_workers_keep_no_tables_after_a_task(spark):
+    def kept(batches):
+        from tessera.llm import common
+
+        for b in batches:
+            yield b.assign(n=len(common._HELD))
+
+    texts = [(i, "short text " * 5 if i % 2 else "one two " * 300) for i in range(40)]
+    for digest in (False, True):
+        assert encode(spark.createDataFrame(texts, "doc_id long, text string").repartition(8), PATH, chunk=500, digest=digest).count() == 40
+        encode(spark.createDataFrame(texts, "doc_id long, text string").repartition(8), PATH, chunk=500, digest=digest).collect()
+        assert {r.n for r in spark.range(64, numPartitions=16).mapInPandas(kept, "id long, n int").collect()} == {0}

@@ -38,8 +38,12 @@ SLICE = 1 << 18
 #: Logarithms are added up as whole numbers of this size, so that the order does not matter.
 LOG_UNIT = 1 << 32
 BLOCK = 1 << 16
-#: Scores come from products of so many rows each: one step of the matrix kernels, in which every row is rounded alike.
-TILE = 8
+#: Scores come from products of so many rows each: one step of the matrix kernels, in which every row, being a column there, is rounded alike.
+TILE = 16
+#: So many rows of scores are worked on at once, which a core's own cache holds.
+ROWS = 960
+#: Rows of a run are added up so many at a time, beside those of other runs.
+FEW = 16
 #: Training takes so many documents at once.
 STRETCH = 500
 HASH_BITS = (1 << 60) - 1
@@ -75,28 +79,25 @@ class Network:
     def hidden(self, context: np.ndarray) -> np.ndarray:
         """(n, HIDDEN + 1) with a last column of ones, from (n, 2*SIDE) symbols."""
         h = np.ones((len(context), HIDDEN + 1), np.float32)
-        x = self.embed[0][context[:, 0]]
-        for k in range(1, 2 * SIDE):
-            x += self.embed[k][context[:, k]]
-        np.tanh(x, out=h[:, :HIDDEN])
+        for at in range(0, len(context), ROWS):
+            some = context[at : at + ROWS]
+            x = self.embed[0].take(some[:, 0], axis=0)
+            for k in range(1, 2 * SIDE):
+                x += self.embed[k].take(some[:, k], axis=0)
+            np.tanh(x, out=h[at : at + ROWS, :HIDDEN])
         return h
 
     def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target given its context."""
         classes = self.classes
         order = np.argsort(_short(target // classes, classes), kind="stable")
-        context, target = context[order], target[order]
-        h, group, member = self.hidden(context), target // classes, target % classes
-        z = _tiled(h, self.to_class)
-        out = z[np.arange(len(z)), group]
-        out -= _log_sum(z, self.to_class)
+        h, (group, member) = self.hidden(_taken(context, order)), np.divmod(target.take(order), classes)
+        out = _tiled(h, self.to_class, group)
         ends = np.searchsorted(group, np.arange(classes + 1))
         for c in range(classes):
             a, b = ends[c], ends[c + 1]
             if a < b:
-                z = _tiled(h[a:b], self.to_token[c])
-                out[a:b] += z[np.arange(b - a), member[a:b]]
-                out[a:b] -= _log_sum(z, self.to_token[c])
+                out[a:b] += _tiled(h[a:b], self.to_token[c], member[a:b])
         back = np.empty_like(out)
         back[order] = out
         return back
@@ -105,79 +106,138 @@ class Network:
         """One adaptive gradient step on a batch."""
         n, classes = len(target), self.classes
         order = np.argsort(_short(target // classes, classes), kind="stable")
-        context, target = context[order], target[order]
-        h, group, member = self.hidden(context), target // classes, target % classes
-        d = _soft(h @ self.to_class)
-        d[np.arange(n), group] -= 1
-        grad_class = h.T @ d / n
-        back = d @ self.to_class.T
+        context, (group, member) = _taken(context, order), np.divmod(target.take(order), classes)
+        h, dx, room = self.hidden(context), np.empty((n, HIDDEN), np.float32), np.empty((min(n, ROWS), classes), np.float32)
+        grad_class, grad = np.zeros_like(self.to_class), np.zeros_like(self.to_token)
+        back_class, back = self.to_class[:HIDDEN].T, self.to_token[:, :HIDDEN].transpose(0, 2, 1)
+        calm, calm_token = _calm(self.to_class), _calm(self.to_token)
         starts = _starts(group)
-        here, spans = group[starts], list(zip(group[starts], starts, [*starts[1:], n]))
-        for c, a, b in spans:
-            np.matmul(h[a:b], self.to_token[c], out=d[a:b])
-        d = _soft(d)
-        d[np.arange(n), member] -= 1
-        grad = np.empty((len(here), HIDDEN + 1, classes), np.float32)
-        for i, (c, a, b) in enumerate(spans):
-            np.matmul(h[a:b].T, d[a:b], out=grad[i])
-            back[a:b] += d[a:b] @ self.to_token[c].T
-        grad /= n
-        self.to_token[here] -= _scaled(memory[1], here, grad, rate)
-        dx = back[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2) / n
-        memory[0] += grad_class * grad_class
-        self.to_class -= rate * grad_class / np.sqrt(memory[0])
+        for low in range(0, n, ROWS):
+            some = slice(low, min(low + ROWS, n))
+            x, d, dx_some = h[some], room[: some.stop - low], dx[some]
+            np.matmul(x, self.to_class, out=d)
+            part = _missed(d, group[some], calm)
+            part /= n
+            grad_class += (d.T @ (x * part)).T
+            np.matmul(d, back_class, out=dx_some)
+            dx_some *= part
+            # the same for tokens, whose classes follow each other
+            cuts = [low, *starts[np.searchsorted(starts, low, "right") : np.searchsorted(starts, some.stop)].tolist(), some.stop]
+            spans = [(c, slice(a - low, b - low)) for c, a, b in zip(group[cuts[:-1]].tolist(), cuts, cuts[1:])]
+            begun = group[low - 1] if low else -1
+            for c, i in spans:
+                np.matmul(x[i], self.to_token[c], out=d[i])
+            part = _missed(d, member[some], calm_token)
+            part /= n
+            scaled, more = x * part, np.empty_like(dx_some)
+            for c, i in spans:
+                if c == begun:
+                    grad[c] += scaled[i].T @ d[i]
+                else:
+                    np.matmul(scaled[i].T, d[i], out=grad[c])
+                np.matmul(d[i], back[c], out=more[i])
+            more *= part
+            dx_some += more
+            dx_some *= 1 - x[:, :HIDDEN] ** 2
+        for w, squares, g in ((self.to_class, memory[0], grad_class), (self.to_token, memory[1], grad)):
+            squares += g * g
+            g *= rate
+            g /= np.sqrt(squares)
+            w -= g
+        orders, rows, counts = [], [], []
         for k in range(2 * SIDE):
             order = np.argsort(_short(context[:, k], classes * classes), kind="stable")
-            row = context[order, k]
+            row = context[:, k].take(order)
             first = _starts(row)
-            symbols, grad = row[first], np.add.reduceat(dx[order], first, axis=0)
-            self.embed[k][symbols] -= _scaled(memory[2][k], symbols, grad, rate)
+            orders.append(order)
+            rows.append(row[first] + k * self.embed.shape[1])
+            counts.append(np.diff(first, append=n))
+        grad, rows = _run_sums(dx, np.concatenate(orders), np.concatenate(counts)), np.concatenate(rows)
+        table, squares = self.embed.reshape(-1, HIDDEN), memory[2].reshape(-1, HIDDEN)
+        now = squares.take(rows, axis=0)
+        now += grad * grad
+        squares[rows] = now
+        grad *= rate
+        grad /= np.sqrt(now, out=now)
+        table[rows] = np.subtract(table.take(rows, axis=0), grad, out=grad)
 
     def memory(self) -> list[np.ndarray]:
         return [np.full_like(x, 1e-6) for x in (self.to_class, self.to_token, self.embed)]
 
 
+def _taken(context: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """context[order], with each column in one piece."""
+    return context.T.take(order, axis=1).T
+
+
 def _starts(x: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin."""
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
 
 
-def _tiled(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """h @ w by tiles of one height, the last one filled up: rounding depends on how many rows a product has and on a row's place."""
-    n = -(-len(h) // TILE) * TILE
-    full = np.zeros((n, h.shape[1]), h.dtype)
-    full[: len(h)] = h
-    return (full.reshape(-1, TILE, h.shape[1]) @ w).reshape(n, -1)[: len(h)]
+def _tiled(h: np.ndarray, w: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """The log of the softmax of each row of h @ w at its hit, by tiles of one height, the last one filled up: rounding depends on how many rows a product has and on a row's place."""
+    out, calm, room = np.empty(len(h), np.float32), _calm(w), np.empty((w.shape[1], min(ROWS, -(-len(h) // TILE) * TILE)), np.float32)
+    for at in range(0, len(h), ROWS):
+        some, found = h[at : at + ROWS], hit[at : at + ROWS]
+        n = -(-len(some) // TILE)
+        if n * TILE > len(some):
+            some = np.concatenate([some, np.zeros((n * TILE - len(some), h.shape[1]), h.dtype)])
+        z = room[:, : n * TILE]
+        np.matmul(w.T, some.reshape(n, TILE, -1).transpose(0, 2, 1), out=z.reshape(-1, n, TILE).transpose(1, 0, 2))
+        part = z[found, np.arange(len(found))]
+        part -= _log_sum(z, calm)[: len(found)]
+        out[at : at + ROWS] = part
+    return out
 
 
-def _short(x: np.ndarray, most: int) -> np.ndarray:
-    """x, at most ``most``, in the type that sorts fastest."""
-    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int64)
+def _calm(w: np.ndarray) -> bool:
+    """Whether exponents of h @ w need no scaling, whatever the row: entries of h are within 1."""
+    return bool(max(w.max(), -w.min()) * w.shape[-2] < 60 or np.abs(w).sum(axis=-2).max() < 60)
 
 
-def _log_sum(z: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Of each row of z = h @ w, which is overwritten. Entries of h are within 1, so w tells whether exponents need scaling, alike for all rows."""
-    if np.abs(w).sum(axis=0).max() < 60:
-        return np.log(np.exp(z, out=z).sum(axis=1))
-    top = z.max(axis=1)
-    return top + np.log(np.exp(z - top[:, None]).sum(axis=1))
+def _missed(z: np.ndarray, hit: np.ndarray, calm: bool) -> np.ndarray:
+    """A column p, for which z * p then is the softmax of each row of z, less 1 at its hit; z is overwritten."""
+    if not calm:
+        z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    z[np.arange(len(z)), hit] -= total
+    return 1 / total[:, None]
+
+
+def _run_sums(x: np.ndarray, order: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The sums of the rows x[order], for runs of ``count`` of them: first rows of all runs, then all second ones, and so on; longer runs in pieces of FEW."""
+    pieces = -(-count // FEW)
+    if (pieces > 1).any():
+        size = np.full(pieces.sum(), FEW)
+        size[np.cumsum(pieces) - 1] = count - (pieces - 1) * FEW
+        part = _run_sums(x, order, size)
+        return _run_sums(part, np.arange(len(part)), pieces)
+    by = np.argsort((FEW - count).astype(np.uint8), kind="stable")
+    first = (np.cumsum(count) - count).take(by)
+    ends = np.searchsorted(-count.take(by), -np.arange(FEW)).tolist()  # how many runs have more than 0, 1, 2, ... rows
+    total = x.take(order.take(first), axis=0)
+    for j in range(1, FEW):
+        if ends[j]:
+            total[: ends[j]] += x.take(order.take(first[: ends[j]] + j), axis=0)
+    out = np.empty_like(total)
+    out[by] = total
+    return out
 
 
-def _soft(z: np.ndarray) -> np.ndarray:
-    """Softmax of each row; z is overwritten."""
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+def _short(x: np.ndarray, most: int) -> np.ndarray:
+    """x, at most ``most``, in the type that sorts fastest."""
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int64)
 
 
-def _scaled(memory: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float) -> np.ndarray:
-    """The step of some rows, which their memory of squares scales; grad is overwritten."""
-    now = memory[rows] + grad * grad
-    memory[rows] = now
-    grad *= rate
-    grad /= np.sqrt(now, out=now)
-    return grad
+def _log_sum(z: np.ndarray, calm: bool) -> np.ndarray:
+    """Of each column of z, which is overwritten."""
+    if calm:
+        return np.log(np.exp(z, out=z).sum(axis=0))
+    top = z.max(axis=0)
+    z -= top
+    return top + np.log(np.exp(z, out=z).sum(axis=0))
 
 
 @dataclass
@@ -247,7 +307,7 @@ def windows(ids: list[np.ndarray], symbols: int = SYMBOLS) -> tuple[np.ndarray,
     at = np.flatnonzero(row < symbols)
     if not len(at):
         return np.empty((0, 2 * SIDE), np.int64), np.empty(0, np.int64)
-    return np.stack([row[at + k] for k in range(-SIDE, SIDE + 1) if k], axis=1), row[at]
+    return np.stack([row.take(at + k) for k in range(-SIDE, SIDE + 1) if k]).T, row.take(at)
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> Vocabulary:
@@ -285,11 +345,12 @@ def chosen(context: np.ndarray, target: np.ndarray, place: np.ndarray, low: floa
     """
     x = np.full(len(target), seed, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for column in (target, *context.T, place):
-        x = (x ^ column.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= column.astype(np.uint64, copy=False)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(29)
     at = x >> np.uint64(11)
     at = np.flatnonzero((at >= np.uint64(int(low * (1 << 53)))) & (at < np.uint64(int(high * (1 << 53)))))
-    return at[np.argsort(x[at] * np.uint64(0x94D049BB133111EB), kind="stable")]
+    return at[np.argsort((x[at] * np.uint64(0x94D049BB133111EB) >> np.uint64(48)).astype(np.uint16), kind="stable")]
 
 
 def places(ids: list[np.ndarray]) -> np.ndarray:
@@ -354,10 +415,10 @@ def train_encoded(rows: DataFrame, words: Vocabulary, rounds: int = 2, share: fl
                     context, target = windows(ids, classes * classes)
                     masked = [chosen(context, target, places(ids), low, high, seed) for low, high in parts(turn, share)]
                     masked = np.concatenate(masked)
+                    context, target = _taken(context, masked), target.take(masked)
                     size = batch or min(max(256, len(masked) // 16), most)
                     for i in range(0, len(masked), size):
-                        some = masked[i : i + size]
-                        net.step(context[some], target[some], memory, rate)
+                        net.step(context[i : i + size], target[i : i + size], memory, rate)
                     seen += len(masked)
             if seen:
                 found = net.flat()

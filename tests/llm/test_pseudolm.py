@@ -1,10 +1,11 @@
 import random
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm import pseudolm
-from tessera.llm.pseudolm import CLASSES, SIDE, SYMBOLS, Network, Symbols, chosen, count_words, parts, places, pseudo_likelihood, score, train, windows
+from tessera.llm.pseudolm import CLASSES, HIDDEN, SIDE, SYMBOLS, Network, Symbols, chosen, count_words, parts, places, pseudo_likelihood, score, train, windows
 
 
 def test_a_distribution_over_all_symbols():
@@ -132,3 +133,41 @@ def test_training_sees_every_token(spark, monkeypatch):
     monkeypatch.setattr(pseudolm, "drop_written", lambda copies: seen.append(copies.where("slice = 0").agg(F.sum("n")).first()[0]))
     train(docs, count_words(docs))
     assert len(seen) == 2 and sum(seen) == 2000
+
+
+def test_a_step_follows_the_gradient_and_holds_no_batch_of_logits():
+    rng, n, classes = np.random.default_rng(9), 2500, 64
+    context = np.minimum(rng.zipf(1.3, (n, 2 * SIDE)), classes**2)
+    target = np.minimum(rng.zipf(1.2, n), classes**2) - 1
+    net, w = Network.fresh(5, classes), Network.fresh(5, classes)
+    memory = net.memory()
+    tracemalloc.start()
+    net.step(context, target, memory, 0.05)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    tables = 4 * (w.to_class.size + w.to_token.size)
+    assert peak - 3 * tables < n * classes * 4 + n * HIDDEN * 4 * 4
+    grad = [np.zeros(x.shape) for x in (w.to_class, w.to_token, w.embed)]
+    h = w.hidden(context).astype(float)
+    for i, t in enumerate(target):
+        c, back = t // classes, np.zeros(HIDDEN + 1)
+        for g, layer, hit in ((grad[0], w.to_class, c), (grad[1][c], w.to_token[c], t % classes)):
+            p = np.exp(h[i] @ layer)
+            p /= p.sum()
+            p[hit] -= 1
+            g += np.outer(h[i], p) / n
+            back += layer @ p / n
+        for k in range(2 * SIDE):
+            grad[2][k, context[i, k]] += back[:HIDDEN] * (1 - h[i, :HIDDEN] ** 2)
+    for squares, g in zip(memory, grad):
+        assert np.allclose(squares - 1e-6, g * g, rtol=1e-2, atol=2e-9)
+    for now, before, g in zip((net.to_class, net.to_token, net.embed), (w.to_class, w.to_token, w.embed), grad):
+        assert np.allclose(now, before - 0.05 * g / np.sqrt(1e-6 + g * g), atol=1e-4)
+
+
+def test_sums_of_runs_of_any_length():
+    rng = np.random.default_rng(4)
+    count = np.array([1, 2, 700, 15, 16, 17, 256, 257, 1, 33])
+    x, order = rng.standard_normal((90, 3)), rng.integers(0, 90, count.sum())
+    want = [x[order[end - n : end]].sum(axis=0) for n, end in zip(count, np.cumsum(count))]
+    assert np.allclose(pseudolm._run_sums(x, order, count), want)

@@ -61,8 +61,11 @@ class Lookup:
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         slot = self._slot(keys)
-        out = np.where(self.keys[slot] == keys, self.values[slot], -1)
-        left = np.flatnonzero((out < 0) & (self.keys[slot] != keys) & (self.values[slot] >= 0))
+        there = self.keys.take(slot)
+        hit = there == keys
+        out = np.full(len(keys), -1, np.int32)
+        out[hit] = self.values.take(slot[hit])
+        left = np.flatnonzero(~hit & (there != np.iinfo(np.int64).min))
         for _ in range(self.probes):
             if not len(left):
                 break
@@ -78,6 +81,8 @@ class Vocabulary:
 
     REMEMBERED = 50_000
     CACHE = 1 << 21
+    #: Stretches are solved together up to so many letters, filled up to one length.
+    CELLS = 1 << 18
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -144,6 +149,9 @@ class Vocabulary:
         self.bytes_of = [SPACE.join(x.split(SPACE)).replace(SPACE, " ").encode() for x in self.text]
         for b, i in self.byte.items():
             self.bytes_of[i] = bytes([b])
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.n_bytes = np.array([len(x) for x in self.bytes_of])
+        self.first_byte = np.cumsum(self.n_bytes) - self.n_bytes
 
     @staticmethod
     def _hash(points: np.ndarray) -> np.ndarray:
@@ -198,17 +206,14 @@ class Vocabulary:
             x, y = new // self.V, new % self.V
             nx, ny = self.length[x], self.length[y]
             ok = np.zeros(len(new), bool)
-            for w in np.unique(nx + ny):
-                for i in range(0, len(sel := np.flatnonzero(nx + ny == w)), 30_000):
-                    part = sel[i : i + 30_000]
-                    rows = np.full((len(part), w), -1, np.int64)
-                    cols = np.arange(w)
-                    left = cols < nx[part][:, None]
-                    rows[left] = self.chars[x[part]][:, :w][left[:, : self.longest]] if w <= self.longest else np.concatenate([self.chars[x[part]], np.full((len(part), w - self.longest), -1)], axis=1)[left]
-                    right = ~left
-                    take = np.clip(cols - nx[part][:, None], 0, self.longest - 1)
-                    rows[right] = np.take_along_axis(self.chars[y[part]], take, axis=1)[right]
-                    ok[part] = self._merge(rows, nx[part])[0]
+            by = np.argsort(nx + ny, kind="stable")
+            for i in range(0, len(new), 30_000):
+                part = by[i : i + 30_000]
+                size = (nx + ny)[part][:, None]
+                cols = np.arange(size.max())
+                second = np.take_along_axis(self.chars[y[part]], np.clip(cols - nx[part][:, None], 0, self.longest - 1), axis=1)
+                rows = np.where(cols < nx[part][:, None], self.chars[x[part]][:, np.minimum(cols, self.longest - 1)], np.where(cols < size, second, -1))
+                ok[part] = self._merge(rows, nx[part])[0]
             out = out.copy()
             out[miss] = ok[back]
             s = ((new.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(43)).astype(np.int64)
@@ -234,27 +239,32 @@ class Vocabulary:
     # -- stretches ----------------------------------------------------------
 
     def solve(self, stretches: list[str]) -> list[bytes]:
-        """The ids of each stretch, in binary: position by position, all stretches of one length at once."""
+        """The ids of each stretch, in binary: position by position, many stretches of about one length at once."""
         out: list[bytes] = [b""] * len(stretches)
-        sizes = np.array([len(s) for s in stretches])
-        for w in np.unique(sizes):
-            for i in range(0, len(sel := np.flatnonzero(sizes == w)), 20_000):
-                some = sel[i : i + 20_000]
-                points = np.frombuffer("".join(stretches[k] for k in some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), w)
-                path = self._solve(points)
-                strange = (path == self.last_rank).any(axis=1)
-                kept = path >= 0
-                ids = self.of_rank[path[kept]].astype("<u4").tobytes()
-                ends = (4 * np.cumsum(kept.sum(axis=1))).tolist()
-                for k, begin, end in zip(some.tolist(), [0, *ends], ends):
-                    out[k] = ids[begin:end]
-                for j in np.flatnonzero(strange):
-                    k = int(some[j])
-                    out[k] = np.array(self.ids_of(path[j][kept[j]].tolist(), stretches[k]), "<u4").tobytes()
+        sizes = np.array([len(s) for s in stretches], np.int64)
+        by = np.argsort(sizes, kind="stable")
+        sizes, at = sizes[by], 0
+        while at < len(by):
+            # up to half longer than the shortest of them, or 8
+            longest = max(8, int(sizes[at]) * 3 // 2)
+            until = min(int(np.searchsorted(sizes, longest, "right")), at + max(1, self.CELLS // longest))
+            some, w = by[at:until].tolist(), int(sizes[until - 1])
+            points = np.frombuffer("".join(stretches[k].ljust(w, "\0") for k in some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), w)
+            path = self._solve(points, sizes[at:until])
+            strange = (path == self.last_rank).any(axis=1)
+            kept = path >= 0
+            ids = self.of_rank[path[kept]].astype("<u4").tobytes()
+            ends = (4 * np.cumsum(kept.sum(axis=1))).tolist()
+            for k, begin, end in zip(some, [0, *ends], ends):
+                out[k] = ids[begin:end]
+            for j in np.flatnonzero(strange):
+                k = some[j]
+                out[k] = np.array(self.ids_of(path[j][kept[j]].tolist(), stretches[k]), "<u4").tobytes()
+            at = until
         return out
 
-    def _solve(self, points: np.ndarray) -> np.ndarray:
-        """The pieces (ranks) of each row, -1 before the first; at each place at most one piece ends a path of weight 0."""
+    def _solve(self, points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The pieces (ranks) of each row, -1 before the first; at each place at most one piece ends a path of weight 0. sizes: how much of each row is text, ascending."""
         n, w = points.shape
         uniq, back = np.unique(points, return_inverse=True)
         letter = np.array([self.letter.get(chr(c), self.last_rank) for c in uniq], np.int64)[back.reshape(points.shape)]
@@ -270,22 +280,25 @@ class Vocabulary:
             hashes.append(letter if size == 1 else self.whole[size](h.view(np.int64).reshape(-1)).reshape(n, span).astype(np.int64))
         for end in range(1, w + 1):
             r, t, p = [], [], []
+            begin = int(np.searchsorted(sizes, end))
             for size in range(1, min(end, self.longest) + 1):
-                piece = hashes[size - 1][:, end - size]
+                piece = hashes[size - 1][begin:, end - size]
                 ok = piece >= 0
                 if size < end:
-                    ok &= last[:, end - size] != NONE
-                sel = rows[ok]
-                sel = sel[self.proper[piece[sel]]]
+                    ok &= last[begin:, end - size] != NONE
+                ok = np.flatnonzero(ok)
+                piece = piece[ok]
+                proper = self.proper[piece]
+                sel, piece = ok[proper] + begin, piece[proper]
                 r.append(sel)
-                t.append(piece[sel])
+                t.append(piece)
                 p.append(last[sel, end - size] if size < end else np.full(len(sel), START))
             r, t, p = np.concatenate(r), np.concatenate(t), np.concatenate(p)
             free = p == START
             good = free.copy()
             good[~free] = self.compatible(p[~free], t[~free])
             last[r[good], end] = t[good]
-        steps, at = [], np.full(n, w)
+        steps, at = [], sizes.copy()
         while (at > 0).any():
             piece = np.where(at > 0, last[rows, at], NONE)
             steps.append(piece)
@@ -313,7 +326,11 @@ class Vocabulary:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; the space put before it is taken off."""
-        text = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        some = np.frombuffer(ids, "<u4")
+        n = self.n_bytes[some]
+        at = np.repeat(self.first_byte[some] - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        text = self.all_bytes.take(at).tobytes().decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
     # -- chunks of giant texts ----------------------------------------------

@@ -92,3 +92,17 @@ def test_workers_keep_no_tables_after_a_task(spark):
         assert encode(spark.createDataFrame(texts, "doc_id long, text string").repartition(8), PATH, chunk=500, digest=digest).count() == 40
         encode(spark.createDataFrame(texts, "doc_id long, text string").repartition(8), PATH, chunk=500, digest=digest).collect()
         assert {r.n for r in spark.range(64, numPartitions=16).mapInPandas(kept, "id long, n int").collect()} == {0}
+
+
+def test_stretches_of_different_lengths_are_solved_together(monkeypatch):
+    v, rng = vocabulary(PATH), random.Random(11)
+    words = ["\u2581" + "".join(rng.choice("abcdet\xe9hinors\U00013000\0") for _ in range(n)) for n in range(1, 60) for _ in range(5)]
+    shapes, solve = [], v._solve
+    monkeypatch.setattr(v, "_solve", lambda points, *more: shapes.append(points.shape) or solve(points, *more))
+    want = [MODEL.encode(w[1:]) for w in words]
+    assert [ints(x) for x in v.solve(words)] == want
+    assert len(shapes) <= 8  # of 59 lengths
+    monkeypatch.setattr(v, "CELLS", 500, raising=False)
+    shapes.clear()
+    assert [ints(x) for x in v.solve(words)] == want
+    assert max(n * w for n, w in shapes) <= 500

@@ -14,13 +14,15 @@ in a tree of bounded fan-in, and the average is the start of the next round.
 
 from __future__ import annotations
 
+import functools
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,13 +34,17 @@ CLASSES, HIDDEN, SIDE, BUCKETS = 32, 32, 2, 256
 SYMBOLS = CLASSES * CLASSES
 #: A word is frequent from a count of sqrt(tokens) / RARE on.
 RARE = 10
+#: The counts of words that are up to so many times rarer than that go to the executors as a list; those of the rest are joined.
+COMMON = 16
 FAN_IN = 64
 #: Copies are averaged in slices of so many numbers, so that a task holds FAN_IN slices whatever the size of the network.
 SLICE = 1 << 18
 #: Logarithms are added up as whole numbers of this size, so that the order does not matter.
 LOG_UNIT = 1 << 32
 BLOCK = 1 << 16
-#: Scores come from products of so many rows each: one step of the matrix kernels, in which every row, being a column there, is rounded alike.
+#: Scores come from products of at most so many rows, between so many at both ends that are not used: the kernels of many machines round all rows between alike,
+TALL, MARGIN = 320, 8
+#: and elsewhere from products of so many rows each: one step of the matrix kernels, in which every row, being a column there, is rounded alike.
 TILE = 16
 #: So many rows of scores are worked on at once, which a core's own cache holds.
 ROWS = 960
@@ -46,6 +52,8 @@ ROWS = 960
 FEW = 16
 #: Training takes so many documents at once.
 STRETCH = 500
+#: A task's counts of words are put together from so many rows or bytes on, and leave it if so many words or bytes are left.
+COUNTED, COUNTED_BYTES = 400_000, 32 << 20
 HASH_BITS = (1 << 60) - 1
 
 
@@ -84,7 +92,7 @@ class Network:
             x = self.embed[0].take(some[:, 0], axis=0)
             for k in range(1, 2 * SIDE):
                 x += self.embed[k].take(some[:, k], axis=0)
-            np.tanh(x, out=h[at : at + ROWS, :HIDDEN])
+            _tanh(x, h[at : at + ROWS, :HIDDEN])
         return h
 
     def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -118,7 +126,8 @@ class Network:
             np.matmul(x, self.to_class, out=d)
             part = _missed(d, group[some], calm)
             part /= n
-            grad_class += (d.T @ (x * part)).T
+            grad_class[:HIDDEN] += (d.T @ (x[:, :HIDDEN] * part)).T
+            grad_class[HIDDEN] += part[:, 0] @ d
             np.matmul(d, back_class, out=dx_some)
             dx_some *= part
             # the same for tokens, whose classes follow each other
@@ -126,7 +135,7 @@ class Network:
             spans = [(c, slice(a - low, b - low)) for c, a, b in zip(group[cuts[:-1]].tolist(), cuts, cuts[1:])]
             begun = group[low - 1] if low else -1
             for c, i in spans:
-                np.matmul(x[i], self.to_token[c], out=d[i])
+                np.dot(x[i], self.to_token[c], out=d[i])
             part = _missed(d, member[some], calm_token)
             part /= n
             scaled, more = x * part, np.empty_like(dx_some)
@@ -134,8 +143,8 @@ class Network:
                 if c == begun:
                     grad[c] += scaled[i].T @ d[i]
                 else:
-                    np.matmul(scaled[i].T, d[i], out=grad[c])
-                np.matmul(d[i], back[c], out=more[i])
+                    np.dot(scaled[i].T, d[i], out=grad[c])
+                np.dot(d[i], back[c], out=more[i])
             more *= part
             dx_some += more
             dx_some *= 1 - x[:, :HIDDEN] ** 2
@@ -165,6 +174,16 @@ class Network:
         return [np.full_like(x, 1e-6) for x in (self.to_class, self.to_token, self.embed)]
 
 
+def _tanh(x: np.ndarray, out: np.ndarray) -> None:
+    """The tanh of x, which is overwritten, as 1 - 2 / (exp(2x) + 1): exponents take numpy less time."""
+    x += x
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.divide(-2, x, out=x)
+    np.add(x, 1, out=out)
+
+
 def _taken(context: np.ndarray, order: np.ndarray) -> np.ndarray:
     """context[order], with each column in one piece."""
     return context.T.take(order, axis=1).T
@@ -176,8 +195,21 @@ def _starts(x: np.ndarray) -> np.ndarray:
 
 
 def _tiled(h: np.ndarray, w: np.ndarray, hit: np.ndarray) -> np.ndarray:
-    """The log of the softmax of each row of h @ w at its hit, by tiles of one height, the last one filled up: rounding depends on how many rows a product has and on a row's place."""
-    out, calm, room = np.empty(len(h), np.float32), _calm(w), np.empty((w.shape[1], min(ROWS, -(-len(h) // TILE) * TILE)), np.float32)
+    """The log of the softmax of each row of h @ w at its hit, rounded alike whatever stands beside it: rounding depends on how many rows a product has and on a row's place."""
+    out, calm = np.empty(len(h), np.float32), _calm(w)
+    if _even(w.shape):
+        x, room = np.zeros((TALL, h.shape[1]), np.float32), np.empty(w.shape[1] * TALL, np.float32)
+        for at in range(0, len(h), TALL - 2 * MARGIN):
+            found = hit[at : at + TALL - 2 * MARGIN]
+            mid = slice(MARGIN, MARGIN + len(found))
+            x[mid] = h[at : at + len(found)]
+            z = _between(x[: _height(len(found))], w, room)
+            part = z[found, np.arange(mid.start, mid.stop)]
+            part -= _log_sum(z, calm)[mid]
+            out[at : at + len(found)] = part
+        return out
+    # tiles of one height, the last one filled up
+    room = np.empty((w.shape[1], min(ROWS, -(-len(h) // TILE) * TILE)), np.float32)
     for at in range(0, len(h), ROWS):
         some, found = h[at : at + ROWS], hit[at : at + ROWS]
         n = -(-len(some) // TILE)
@@ -191,6 +223,26 @@ def _tiled(h: np.ndarray, w: np.ndarray, hit: np.ndarray) -> np.ndarray:
     return out
 
 
+def _height(n: int) -> int:
+    """Of the product for n rows: whole steps of the kernels, four at least."""
+    return max(4 * MARGIN, -(-n // MARGIN) * MARGIN + 2 * MARGIN)
+
+
+def _between(x: np.ndarray, w: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The columns w.T @ x.T."""
+    return np.matmul(w.T, x.T, out=room[: w.shape[1] * len(x)].reshape(w.shape[1], len(x)))
+
+
+@functools.cache
+def _even(shape: tuple[int, int]) -> bool:
+    """Whether this machine rounds equal rows alike, in any place but the ends of a product of any height in use."""
+    rng = np.random.default_rng(0)
+    w, row = (rng.standard_normal(s).astype(np.float32) for s in (shape, shape[0]))
+    x, room = np.tile(row, (TALL, 1)), np.empty(shape[1] * TALL, np.float32)
+    first = _between(x[: _height(1)], w, room)[:, MARGIN : MARGIN + 1].copy()
+    return all((_between(x[:n], w, room)[:, MARGIN:-MARGIN] == first).all() for n in range(_height(1), TALL + 1, MARGIN))
+
+
 def _calm(w: np.ndarray) -> bool:
     """Whether exponents of h @ w need no scaling, whatever the row: entries of h are within 1."""
     return bool(max(w.max(), -w.min()) * w.shape[-2] < 60 or np.abs(w).sum(axis=-2).max() < 60)
@@ -202,25 +254,31 @@ def _missed(z: np.ndarray, hit: np.ndarray, calm: bool) -> np.ndarray:
         z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     total = z @ np.ones(z.shape[1], z.dtype)
-    z[np.arange(len(z)), hit] -= total
+    z.reshape(-1)[np.arange(0, z.size, z.shape[1]) + hit] -= total
     return 1 / total[:, None]
 
 
 def _run_sums(x: np.ndarray, order: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The sums of the rows x[order], for runs of ``count`` of them: first rows of all runs, then all second ones, and so on; longer runs in pieces of FEW."""
     pieces = -(-count // FEW)
-    if (pieces > 1).any():
-        size = np.full(pieces.sum(), FEW)
-        size[np.cumsum(pieces) - 1] = count - (pieces - 1) * FEW
+    many = pieces > 1
+    if many.any():
+        size, last = np.full(pieces.sum(), FEW), np.cumsum(pieces) - 1
+        size[last] = count - (pieces - 1) * FEW
         part = _run_sums(x, order, size)
-        return _run_sums(part, np.arange(len(part)), pieces)
+        out = part.take(last, axis=0)
+        out[many] = _run_sums(part, np.flatnonzero(np.repeat(many, pieces)), pieces[many])
+        return out
     by = np.argsort((FEW - count).astype(np.uint8), kind="stable")
     first = (np.cumsum(count) - count).take(by)
     ends = np.searchsorted(-count.take(by), -np.arange(FEW)).tolist()  # how many runs have more than 0, 1, 2, ... rows
     total = x.take(order.take(first), axis=0)
+    room = np.empty_like(total[: ends[1]])
     for j in range(1, FEW):
         if ends[j]:
-            total[: ends[j]] += x.take(order.take(first[: ends[j]] + j), axis=0)
+            more = room[: ends[j]]
+            x.take(order.take(first[: ends[j]] + j), axis=0, out=more, mode="clip")  # all are inside; this mode needs no copy of ``out``
+            total[: ends[j]] += more
     out = np.empty_like(total)
     out[by] = total
     return out
@@ -242,11 +300,12 @@ def _log_sum(z: np.ndarray, calm: bool) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """What is known of a corpus' words: the frequent ones in order, how many tokens of other words fall into each bucket, and (h, n) of each of those words that occurs twice or more, as a table on the cluster."""
+    """What is known of a corpus' words: the frequent ones in order, how many tokens of other words fall into each bucket, the counts of the commonest of those words, and (h, n) of each word rarer than these that occurs twice or more, as a table on the cluster."""
 
     words: list[bytes]
     totals: np.ndarray
     rest: DataFrame | None = None
+    common: tuple[tuple[bytes, int], ...] = ()
 
     @property
     def classes(self) -> int:
@@ -259,7 +318,7 @@ class Vocabulary:
 
     def local(self) -> Vocabulary:
         """Without the table, for executors."""
-        return Vocabulary(self.words, self.totals)
+        return Vocabulary(self.words, self.totals, None, self.common)
 
 
 def word_hash(word: bytes) -> int:
@@ -267,37 +326,40 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 42) & HASH_BITS
 
 
-class _Known(dict):
-    """Words with symbols of their own, and what other words met so far hash to."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = code = -1 - word_hash(word)
-        return code
+def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and the words of all of them: between ASCII white space, A-Z in lower case."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    # a blank text would have one empty word
+    words = pc.ascii_split_whitespace(pc.if_else(pc.equal(texts, ""), pa.scalar(None, texts.type), texts))
+    return pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64), words.flatten()
 
 
 class Symbols:
-    """Texts to symbols: words between ASCII white space, A-Z in lower case."""
-
-    REMEMBERED = 400_000
-    LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    """Words to symbols."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.own = len(vocabulary.words)
-        self.fixed = {w: i for i, w in enumerate(vocabulary.words)}
-        self.known = _Known(self.fixed)
-
-    def codes(self, text: str) -> np.ndarray:
-        """Symbols of frequent words, and -1 - word_hash of others."""
-        words = text.encode("utf-8", "surrogatepass").translate(self.LOWER).split()
-        if len(self.known) > self.REMEMBERED + self.own:
-            self.known = _Known(self.fixed)
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-
-    def of_codes(self, codes: np.ndarray) -> np.ndarray:
-        return np.where(codes < 0, self.own + (-1 - codes) % BUCKETS, codes)
+        own, common = len(vocabulary.words), [w for w, _ in vocabulary.common]
+        self.own = own
+        self.words = pa.array([*vocabulary.words, *common], pa.binary())
+        self.symbols = np.array([*range(own), *(own + word_hash(w) % BUCKETS for w in common)], np.int64)
+        self.logs = np.array([0] * own + [round(math.log(n) * LOG_UNIT) for _, n in vocabulary.common], np.int64)
+
+    def codes(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The symbol of each word, the logarithm of its count in LOG_UNITs if it shares a symbol and is in the list, and its word_hash if it isn't, else -1; each different word is looked up once."""
+        each = words.dictionary_encode()
+        different = each.dictionary.cast(pa.binary())
+        found = pc.index_in(different, value_set=self.words)
+        rare = found.is_null().to_numpy(zero_copy_only=False)
+        others = different.filter(pa.array(rare)).to_numpy(zero_copy_only=False).tolist()
+        at, hashes = found.fill_null(0).to_numpy(), np.full(len(rare), -1, np.int64)
+        symbols, logs = (np.zeros((2, len(rare)), np.int64)) if not len(self.words) else (self.symbols.take(at), self.logs.take(at))
+        hashes[rare] = np.fromiter(map(word_hash, others), np.int64, len(others))
+        symbols[rare], logs[rare] = self.own + hashes[rare] % BUCKETS, 0
+        at = each.indices.to_numpy()
+        return symbols.take(at), logs.take(at), hashes.take(at)
 
     def __call__(self, text: str) -> np.ndarray:
-        return self.of_codes(self.codes(text))
+        return self.codes(split(pa.array([text]))[1])[0]
 
 
 def windows(ids: list[np.ndarray], symbols: int = SYMBOLS) -> tuple[np.ndarray, np.ndarray]:
@@ -313,28 +375,42 @@ def windows(ids: list[np.ndarray], symbols: int = SYMBOLS) -> tuple[np.ndarray,
 def count_words(docs: DataFrame, text_col: str = "text") -> Vocabulary:
     """The words of all documents; the frequent ones by count, then bytes.
 
-    The driver gets words that are at least 1 / (RARE * sqrt(tokens)) of all tokens each, so no more than RARE * sqrt(tokens).
+    The driver gets words that are at least 1 / (COMMON * RARE * sqrt(tokens)) of all tokens each, so no more than COMMON * RARE * sqrt(tokens).
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[pa.Table] = []
         for b in batches:
-            for t in b["t"]:
-                total.update(t.encode("utf-8", "surrogatepass").translate(Symbols.LOWER).split())
-            if len(total) > 400_000:
-                yield pd.DataFrame({"w": list(total), "n": list(total.values())})
-                total = Counter()
-        yield pd.DataFrame({"w": list(total), "n": list(total.values())})
-
-    counts = docs.select(F.col(text_col).alias("t")).where("t is not null").mapInPandas(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    counts = written(counts)
+            w, n = pc.value_counts(split(b.column(0))[1]).flatten()
+            found.append(pa.table({"w": w.cast(pa.binary()), "n": n}))
+            if _large(found, 2):
+                found = [_together(found)]
+                if _large(found, 1):
+                    yield from found.pop().to_batches(max_chunksize=1 << 16)
+        if found:
+            yield from _together(found).to_batches(max_chunksize=1 << 16)
+
+    counts = docs.select(F.col(text_col).alias("t")).where("t is not null").mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    # a word that occurs once is never listed, so only its hash is stored
+    counts = written(counts.select(F.when(F.col("n") > 1, F.col("w")).alias("w"), F.xxhash64("w").bitwiseAND(F.lit(HASH_BITS)).alias("h"), "n"))
     least = max(2, math.isqrt(counts.agg(F.sum("n")).first()[0] or 0) // RARE)
-    words = [bytes(r[0]) for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "w").collect()]
-    rest = counts.where(F.col("n") < least).select(F.xxhash64("w").bitwiseAND(F.lit(HASH_BITS)).alias("h"), "n")
+    some = max(2, least // COMMON)
+    found = sorted((-n, bytes(w)) for w, n in counts.where(F.col("n") >= some).select("w", "n").collect())
+    own = sum(-n >= least for n, _ in found)
+    rest = counts.where(F.col("n") < least).select("h", "n")
     totals = np.zeros(BUCKETS, np.int64)
     for b, n in rest.groupBy((F.col("h") % BUCKETS).alias("b")).agg(F.sum("n")).collect():
         totals[b] = n
-    return Vocabulary(words, totals, rest.where("n > 1"))
+    return Vocabulary([w for _, w in found[:own]], totals, rest.where((F.col("n") > 1) & (F.col("n") < some)), tuple((w, -n) for n, w in found[own:]))
+
+
+def _large(counts: list[pa.Table], times: int) -> bool:
+    return sum(t.num_rows for t in counts) > times * COUNTED or sum(t.nbytes for t in counts) > times * COUNTED_BYTES
+
+
+def _together(counts: list[pa.Table]) -> pa.Table:
+    """One row (w, n) for each word."""
+    return pa.concat_tables(counts).group_by("w", use_threads=False).aggregate([("n", "sum")]).select(["w", "n_sum"]).rename_columns(["w", "n"])
 
 
 def chosen(context: np.ndarray, target: np.ndarray, place: np.ndarray, low: float, high: float, seed: int) -> np.ndarray:
@@ -360,16 +436,21 @@ def places(ids: list[np.ndarray]) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, words: Vocabulary, id_col: str | None = "doc_id", text_col: str = "text") -> DataFrame:
-    """One stored row for each document, which training and scoring read: its id as k, n_tokens, its symbols as bytes, and the hashes of its words without a symbol of their own."""
+    """One stored row for each document, which training and scoring read: its id as k, n_tokens, its symbols as bytes, and of its words without a symbol of their own the summed logarithms of counts in the vocabulary's list, and the hashes of those that it lacks."""
     local, kind = words.local(), words.kind
 
-    @F.pandas_udf("n_tokens long, symbols binary, rest array<long>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n_tokens long, symbols binary, more long, rest array<long>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         forget()
         symbols = Symbols(local)
-        for b in batches:
-            codes = [symbols.codes(t or "") for t in b]
-            yield pd.DataFrame({"n_tokens": [len(c) for c in codes], "symbols": [symbols.of_codes(c).astype(kind).tobytes() for c in codes], "rest": [-1 - c[c < 0] for c in codes]})
+        for texts in batches:
+            n, words = split(texts)
+            stored, logs, hashes = symbols.codes(words)
+            ends, rare, stored = np.concatenate([[0], np.cumsum(n)]), hashes >= 0, stored.astype(kind)
+            summed = lambda x: np.concatenate([[0], np.cumsum(x)])[ends]
+            stored = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * stored.itemsize).astype(np.int32)), pa.py_buffer(stored)])
+            rest = pa.ListArray.from_arrays(summed(rare).astype(np.int32), pa.array(hashes[rare]))
+            yield pa.StructArray.from_arrays([pa.array(n), stored, pa.array(np.diff(summed(logs))), rest], ["n_tokens", "symbols", "more", "rest"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), (F.col(id_col) if id_col else F.lit(0)).alias("k"), run(F.col(text_col)).alias("x"))
     return written(rows.select("row", "k", "x.*"))
@@ -479,11 +560,12 @@ def score_encoded(rows: DataFrame, words: Vocabulary, network: Network, id_col:
                 parts.append((sums[ends] - sums[ends - n]) / LOG_UNIT)
             yield pd.Series(np.concatenate(parts))
 
-    log = F.round(F.log("n") * LOG_UNIT).cast("long")
+    # a logarithm is rounded once for each word, not for each token
+    logs = words.rest.select("h", F.round(F.log("n") * LOG_UNIT).cast("long").alias("log"))
     # words of words.rest are distinct and spread by hash, so a part of them fits a task; the tokens need no sorting
-    more = rows.select("row", F.explode("rest").alias("h")).join(words.rest.hint("shuffle_hash"), "h").groupBy("row").agg(F.sum(log).alias("more"))
-    total = F.col("log_prob") + F.coalesce(F.col("more"), F.lit(0)) / LOG_UNIT
-    scored = rows.select("row", "k", "n_tokens", run("symbols").alias("log_prob"))
+    more = rows.select("row", F.explode("rest").alias("h")).join(logs.hint("shuffle_hash"), "h").groupBy("row").agg(F.sum("log").alias("rest"))
+    total = F.col("log_prob") + (F.col("more") + F.coalesce(F.col("rest"), F.lit(0))) / LOG_UNIT
+    scored = rows.select("row", "k", "n_tokens", "more", run("symbols").alias("log_prob"))
     out = scored.join(more, "row", "left").select(F.col("k").alias(id_col), "n_tokens", total.alias("log_prob"))
     return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
 

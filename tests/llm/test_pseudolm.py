@@ -2,6 +2,8 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import pseudolm
@@ -171,3 +173,57 @@ def test_sums_of_runs_of_any_length():
     x, order = rng.standard_normal((90, 3)), rng.integers(0, 90, count.sum())
     want = [x[order[end - n : end]].sum(axis=0) for n, end in zip(count, np.cumsum(count))]
     assert np.allclose(pseudolm._run_sums(x, order, count), want)
+
+
+def test_words_stand_between_ascii_white_space():
+    texts = [" A\x0bb\t\n c ", "", None, " \n", "\xc4 \xa0X\x85 \x1c\x1fq", "\x00 Z\r\f", "one"]
+    n, words = pseudolm.split(pa.array(texts))
+    want = [(t or "").encode().translate(bytes.maketrans(b"AXZ", b"axz")).split() for t in texts]
+    assert n.tolist() == [len(w) for w in want] and [w.encode() for w in words.to_pylist()] == [w for ws in want for w in ws]
+
+
+def test_counts_of_common_words_need_no_join(spark, monkeypatch):
+    rng = random.Random(11)
+    tokens = [f"w{int(rng.paretovariate(0.7))}" for _ in range(40_000)]
+    docs = spark.createDataFrame([(i // 80, " ".join(tokens[i : i + 80])) for i in range(0, len(tokens), 80)], "doc_id long, text string")
+
+    def run():
+        words = count_words(docs)
+        found = score(docs, words, Network.fresh(0, words.classes))
+        return words, found, {r.doc_id: (r.n_tokens, r.log_prob) for r in found.collect()}
+
+    monkeypatch.setattr(pseudolm, "COMMON", 4)
+    words, found, listed = run()
+    assert words.common and words.rest.count()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Join Inner") < plan.index("ln(")  # logarithms are taken of the words' table, below the join with tokens
+    monkeypatch.setattr(pseudolm, "COMMON", 1)
+    joined_words, _, joined = run()
+    assert not joined_words.common and joined_words.rest.count() == words.rest.count() + len(words.common)
+    assert listed == joined
+
+
+def test_counts_of_words_leave_a_task_before_they_grow_large(spark, monkeypatch):
+    monkeypatch.setattr(pseudolm, "COUNTED", 50)
+    rows = [(f"a b w{i} w{i + 1} " + "x" * i,) for i in range(300)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        words = count_words(spark.createDataFrame(rows, "text string").coalesce(1))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert words.words == [b"a", b"b"] and words.totals.sum() == 2 * 299 + 2 + 299
+    assert dict(words.common) == {f"w{i}".encode(): 2 for i in range(1, 300)}
+
+
+@pytest.mark.parametrize("even", [True, False])
+def test_scores_are_alike_with_either_kind_of_product(monkeypatch, even):
+    rng = np.random.default_rng(12)
+    net = Network.fresh(3, 40)
+    if not even:
+        monkeypatch.setattr(pseudolm, "_even", lambda shape: False)
+    context, target = rng.integers(0, 1601, (1400, 2 * SIDE)), np.minimum(rng.zipf(1.1, 1400), 1600) - 1
+    whole = net.log_prob(context, target)
+    for a, n in ((0, 1), (5, 303), (90, 304), (400, 305), (1100, 300)):
+        assert (net.log_prob(context[a : a + n], target[a : a + n]) == whole[a : a + n]).all()
+    monkeypatch.undo()
+    assert np.allclose(whole, net.log_prob(context, target), atol=1e-4)

@@ -16,6 +16,7 @@ LOCAL_HEADER = ("обоснование", "наименование", "един
 RESOURCE_HEADER = ("обоснование", "наименование", "единица", "общее кол")
 RESOURCE_TITLES = ("ведомость ресурсов", "ресурсы подрядчика")
 GROUPS = ("трудозатраты", "машины и механизмы", "материалы")
+INTEGER = r"^[0-9]+\z"
 
 
 def any_of(c: Column, words: tuple[str, ...]) -> Column:
@@ -107,33 +108,36 @@ def table_rows(cells: DataFrame, columns: int) -> DataFrame:
     without a sheet. The header comes from a window over the rows themselves, so cells are read once.
     """
     keys = keyed(cells, "sheet")
-    cells = cells.withColumn("_v", number(F.col("value")))  # below the aggregation, which would work it out for every mention
-    integer = F.trim("value").rlike("^[0-9]+$")
+    # below the aggregation, which would work them out for every mention; it gets by without lists, so that it is one pass over sorted cells
+    text, integer = F.when(F.length("value") >= len("обоснование"), F.lower("value")), F.trim("value").rlike(INTEGER)
+    digits = F.when(integer, F.ltrim(F.trim("value"), F.lit("0")))  # numbers of up to 38 digits
+    cells = cells.withColumns({"_v": number(F.col("value")), "_basis": text.contains("обоснование"), "_name": text.contains("наименование"), "_integer": integer, "_digits": F.when(F.length(digits) <= 38, digits)})
+    alike = F.lag("_digits").over(Window.partitionBy(*keys, "row").orderBy("_digits"))
+    cells = cells.withColumn("_new", F.col("_digits").isNotNull() & ~F.col("_digits").eqNullSafe(alike))
     v = F.col("_v")
     place = F.struct("col", "pos")
     rows = cells.groupBy(*keys, "row").agg(
         F.trim(F.min_by("value", place)).alias("first"),
-        *[F.max_by("value", F.when(F.col("col") == k, F.col("pos"))).alias(f"c{k}") for k in range(1, columns + 1)],
+        *[F.max(F.when((F.col("col") == k) & F.col("pos").isNotNull(), F.struct("pos", "value")))["value"].alias(f"c{k}") for k in range(1, columns + 1)],
         F.max_by(v, F.when(v.isNotNull(), F.struct(F.abs(v).alias("size"), (-F.col("col")).alias("at")))).alias("largest"),
         F.max_by(v, F.when(v.isNotNull(), place)).alias("last"),
-        ((F.count("*") >= 4) & (F.count_if(integer) == F.count("*")) & (F.size(F.collect_set(F.when(integer, F.trim("value").cast("decimal(38,0)")))) >= 4)).alias("numbers"),
-        row_text().alias("whole"),
+        ((F.count("*") >= 4) & (F.count_if("_integer") == F.count("*")) & (F.count_if("_new") >= 4)).alias("numbers"),
+        (F.max("_basis") & F.max("_name")).alias("labels"),
     )
-    header = F.col("whole").contains("обоснование") & F.col("whole").contains("наименование") & reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    header = F.col("labels") & reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     rows = rows.withColumn("header_row", F.min(F.when(header, F.col("row"))).over(Window.partitionBy(*keys)))
-    rows = rows.where((F.col("row") > F.coalesce("header_row", F.lit(0))) & ~F.col("numbers")).drop("header_row", "numbers", "whole")
+    rows = rows.where((F.col("row") > F.coalesce("header_row", F.lit(0))) & ~F.col("numbers")).drop("header_row", "numbers", "labels")
     return rows.withColumn("text", search_text(F.col("first")))
 
 
 def filled(c: Column) -> Column:
     """The text with single spaces; null if it has none."""
-    t = F.trim(F.regexp_replace(c, r"\s+", " "))
-    return F.when(t != "", t)
+    return F.trim(F.regexp_replace(F.when(c.rlike(r"\S"), c), r"\s+", " "))
 
 
 def is_item(unit: str) -> Column:
     """A row with a whole number as its position, a name and a unit."""
-    return F.trim("c1").rlike("^[0-9]+$") & filled(F.col("c3")).isNotNull() & filled(F.col(unit)).isNotNull()
+    return F.trim("c1").rlike(INTEGER) & F.col("c3").rlike(r"\S") & F.col(unit).rlike(r"\S")
 
 
 def local_estimate(cells: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -90,3 +90,23 @@ def test_lines_of_crops_are_numbered_once(spark):
     for name in ("cv14_table_cells", "cv14_table_quality", "cv14_reconstruction_status"):
         text = plan(tables.Q[name](spark, SF))
         assert "l_orderkey" not in text and "row_number() windowspecdefinition(l_" not in text, name
+
+
+def test_rows_of_cells_are_put_together_without_lists(spark):
+    from tessera.operators import cells as ce
+
+    def sheet(n, *rows):
+        return [(n, r, c, v, 100 * r + i) for r, values in enumerate(rows, 1) for i, (c, v) in enumerate(values)]
+
+    head = [(1, "ОБОСНОВАНИЕ"), (2, "Наименование  работ")]
+    item = [(1, " 7 "), (2, "a"), (3, "Работа\t 1"), (6, "м"), (6, "м2"), (7, "1 000,5"), (9, "-3")]
+    data = sheet(1, item, head, [(k, str(k)) for k in range(1, 5)], item, [(1, "1"), (2, "01"), (3, "2"), (6, "3")], [(1, "8"), (3, " \n"), (6, "м")], [(1, "9"), (3, "x"), (6, "\t")])
+    data += sheet(None, item) + sheet(2, [(1, "1"), (2, "9" * 45), (3, "2"), (6, "3")], [(1, "5\n"), (3, "x"), (6, "y")], [(1, "1"), (1, "2"), (3, "3"), (6, "4")])
+    df = spark.createDataFrame(data, "sheet long, row int, col int, value string, pos long")
+    rows = ce.table_rows(df, 14)
+    text = plan(rows)
+    assert "collect_" not in text and "ObjectHashAggregate" not in text and "SortAggregate" in text
+    # rows above the header, rows of numbers of columns, positions that end in a line feed and blank names fall away; numbers past 38 digits do not stop the job
+    assert sorted((r.sheet or 0, r.row) for r in rows.collect()) == [(0, 1), (1, 4), (1, 5), (1, 6), (1, 7), (2, 1), (2, 2)]
+    assert {(r.sheet, r.row, r.position, r.name, r.unit, r.quantity, r.unit_cost) for r in ce.local_estimate(df)[1].collect()} == {
+        (None, 1, "7", "Работа 1", "м2", 1000.5, -3.0), (1, 4, "7", "Работа 1", "м2", 1000.5, -3.0), (1, 5, "1", "2", "3", None, None), (2, 1, "1", "2", "3", None, None)}

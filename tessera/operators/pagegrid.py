@@ -125,12 +125,13 @@ def quality_gate(candidates: DataFrame, texts: DataFrame, by: str) -> DataFrame:
     return out.withColumn("verdict", verdict)
 
 
-def trim_grid(cells: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def trim_grid(cells: DataFrame, keep: tuple[str, ...] = (), within: tuple[str, ...] = ()) -> DataFrame:
     """CV15/W6/W7/A17: grids (grp, row, col, height, evidence, and columns to keep) without empty leading columns, without rows from the first tall blank or sparse blank one on, without tall blank rows at the end; row and column numbers closed up.
 
-    All steps are windows over one exchange by grid.
+    All steps are windows over one exchange by grid, or none if the cells are dealt out by the
+    columns that grp holds within (its document, say).
     """
-    grid, line = Window.partitionBy("grp"), Window.partitionBy("grp", "row")
+    grid, line = Window.partitionBy(*within, "grp"), Window.partitionBy(*within, "grp", "row")
     kept = cells.withColumn("_first", F.min(F.when(F.col("evidence"), F.col("col"))).over(grid)).where("col >= _first")
     rows = kept.withColumns({"_h": F.max("height").over(line), "_seen_here": F.max("evidence").over(line), "_n": F.count("*").over(line), "_lead": F.row_number().over(line.orderBy("col")) == 1})
     usual = lambda c: F.percentile(F.when(F.col("_lead") & F.col("_seen_here"), F.col(c)), 0.5).over(grid)

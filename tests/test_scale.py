@@ -110,3 +110,11 @@ def test_rows_of_cells_are_put_together_without_lists(spark):
     assert sorted((r.sheet or 0, r.row) for r in rows.collect()) == [(0, 1), (1, 4), (1, 5), (1, 6), (1, 7), (2, 1), (2, 2)]
     assert {(r.sheet, r.row, r.position, r.name, r.unit, r.quantity, r.unit_cost) for r in ce.local_estimate(df)[1].collect()} == {
         (None, 1, "7", "Работа 1", "м2", 1000.5, -3.0), (1, 4, "7", "Работа 1", "м2", 1000.5, -3.0), (1, 5, "1", "2", "3", None, None), (2, 1, "1", "2", "3", None, None)}
+
+
+def test_documents_of_tables_move_once(spark):
+    from tessera.plans import tables
+
+    for name in ("cv14_table_cells", "cv14_table_quality", "cv14_reconstruction_status"):
+        moved = re.findall(r"Exchange hashpartitioning\(([^)]*)\), ENSURE", plan(tables.Q[name](spark, SF)))
+        assert not [x for x in moved if re.search(r"\b(candidate|row|col|grp|table_id)#", x)], name
